@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from attestra.llm.quality import held_out
 from attestra.llm.storage import written
+from attestra.shipping import ship_package
 
 #: Character n-grams of these lengths, hashed to DIMS places.
 ORDERS, DIMS = (1, 2, 3), 1 << 16
@@ -114,6 +115,7 @@ def fit_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     temperature (smallest log loss on the rows kept for it) come from these rows. Without any row the model knows no
     language, and every text is `und`.
     """
+    ship_package(docs.sparkSession)
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike("\\p{L}")).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     chosen = known.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= ROWS_EACH)
@@ -143,6 +145,7 @@ def fit_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def identify_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) of each row, by its whole text alone. A null text, or one without a letter, is `und`, 0."""
+    ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # DIMS * (languages + 1) floats
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attestra.llm.storage import written
+from attestra.shipping import ship_package
 
 #: Labelled rows that the fit may use; of more, those with the smallest id hashes are used.
 SAMPLE_ROWS = 20_000
@@ -110,6 +111,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     that splits the classes best (balanced accuracy; the middle, where several do). Without both classes all
     strengths are 0 and nothing is below the cut. A null label is no label, and of a repeated id one row is used.
     """
+    ship_package(docs.sparkSession)
     marked = labels.filter("quality IN (0, 1)").select(id_col, F.col("quality").cast("int").alias("quality")).dropDuplicates([id_col])
     marked = written(marked.orderBy(F.xxhash64(id_col), id_col).limit(rows), "quality-sample")
     sample = docs.select(id_col, text_col).join(F.broadcast(marked), id_col).dropDuplicates([id_col]).select(id_col, "quality", text_col)
@@ -149,6 +151,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
 def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score, predicted) of each row, by its text alone. Null and empty texts are scored as a text without words."""
+    ship_package(docs.sparkSession)
     rows = docs.select(id_col, text_col)
     rows = rows.mapInArrow(_with_features, docs.select(id_col).schema.add("features", T.ArrayType(T.DoubleType())))
     score = model.score("features")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestra.llm import decontaminate, exact_dedup, language_id, line_dedup, ngram_join, pii, quality
+from attestra.llm import decontaminate, exact_dedup, language_id, line_dedup, ngram_join, pii, piece_lattice, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data_report(table(spark, sf_dir, "documents"))
 
 
+def op4_piece_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_lattice.piece_report(table(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup_report(table(spark, sf_dir, "documents"))
 
@@ -42,7 +46,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_personal_data, op5_line_dedup, op6_ngram_jaccard_join, op7_language_id, op8_exact_dedup, op10_decontamination)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_personal_data, op4_piece_segmentation, op5_line_dedup, op6_ngram_jaccard_join, op7_language_id, op8_exact_dedup, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
