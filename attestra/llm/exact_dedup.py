@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.storage import key_bitmap, keep_possible, written
+from attestra.llm.storage import key_bitmap, keep_possible, without_keys, written
 from attestra.llm.text import or_empty, without_spaces
 
 
@@ -54,8 +54,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    gone = exact_duplicates(docs, id_col, text_col).filter(~F.col("kept")).select(id_col).distinct()
-    return docs.join(gone.hint("merge"), id_col, "left_anti")
+    return without_keys(docs, [id_col], exact_duplicates(docs, id_col, text_col).filter(~F.col("kept")).select(id_col))
 
 
 def exact_dedup_report(docs: DataFrame) -> DataFrame:

@@ -24,6 +24,7 @@ PAIRS = 6
 #: The score that stands for the quantile at which texts are cut.
 CUT = 0.3
 CACHE = 400_000
+FEATURE_COLUMN = "quality_features"
 
 FEATURES = (
     "symbol_share", "shouted_share", "decorated_share", "digit_share", "pipe_share", "distinct_words", "distinct_trigrams",
@@ -76,12 +77,23 @@ def features(text: str | None, marks: WordMarks) -> list[float]:
     ]
 
 
-def _with_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replaces the last column, a text, by its features."""
-    marks = WordMarks()
-    for batch in batches:
-        f = pa.array([features(t.as_py(), marks) for t in batch.column(batch.num_columns - 1)], pa.list_(pa.float64()))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], f], names=[*batch.schema.names[:-1], "features"])
+def _with_features(text_at: int):
+    """Adds the features of the text in column text_at as the last column."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = WordMarks()
+        for batch in batches:
+            f = pa.array([features(t.as_py(), marks) for t in batch.column(text_at)], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, f], names=[*batch.schema.names, FEATURE_COLUMN])
+
+    return add
+
+
+def with_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with an array of FEATURES in FEATURE_COLUMN."""
+    ship_package(docs.sparkSession)
+    schema = T.StructType([*docs.schema.fields, T.StructField(FEATURE_COLUMN, T.ArrayType(T.DoubleType()))])
+    return docs.mapInArrow(_with_features(docs.columns.index(text_col)), schema)
 
 
 @dataclass(frozen=True)
@@ -111,14 +123,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     that splits the classes best (balanced accuracy; the middle, where several do). Without both classes all
     strengths are 0 and nothing is below the cut. A null label is no label, and of a repeated id one row is used.
     """
-    ship_package(docs.sparkSession)
     marked = labels.filter("quality IN (0, 1)").select(id_col, F.col("quality").cast("int").alias("quality")).dropDuplicates([id_col])
     marked = written(marked.orderBy(F.xxhash64(id_col), id_col).limit(rows), "quality-sample")
     sample = docs.select(id_col, text_col).join(F.broadcast(marked), id_col).dropDuplicates([id_col]).select(id_col, "quality", text_col)
-    sample = written(sample.mapInArrow(_with_features, sample.select(id_col, "quality").schema.add("features", T.ArrayType(T.DoubleType()))), "quality-features")
+    sample = written(with_features(sample, text_col).select(id_col, "quality", FEATURE_COLUMN), "quality-features")
 
-    found = sample.select(id_col, "quality", "features").toPandas().sort_values(id_col)
-    x, y = np.array(found["features"].tolist(), dtype=np.float64).reshape(len(found), -1), found["quality"].to_numpy()
+    found = sample.toPandas().sort_values(id_col)
+    x, y = np.array(found[FEATURE_COLUMN].tolist(), dtype=np.float64).reshape(len(found), -1), found["quality"].to_numpy()
     dims = len(FEATURES)
     if not 0 < y.sum() < len(y):
         return QualityModel((0.0,) * dims, (0.0,) * dims, (1.0,) * dims, 0.0, 0.0)
@@ -149,13 +160,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     return QualityModel(tuple(map(float, weights)), tuple(map(float, center)), tuple(map(float, scale)), cut, float((at + 1) / len(s)))
 
 
-def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score, predicted) of each row, by its text alone. Null and empty texts are scored as a text without words."""
-    ship_package(docs.sparkSession)
-    rows = docs.select(id_col, text_col)
-    rows = rows.mapInArrow(_with_features, docs.select(id_col).schema.add("features", T.ArrayType(T.DoubleType())))
-    score = model.score("features")
-    return rows.select(id_col, score.alias("score")).withColumn("predicted", (F.col("score") >= CUT).cast("int"))
+def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataFrame:
+    """docs with quality_score and quality_predicted, of each row by its text alone.
+
+    Null and empty texts are scored as a text without words; equal texts get equal scores.
+    """
+    scored = with_features(docs, text_col).withColumn("quality_score", model.score(FEATURE_COLUMN)).drop(FEATURE_COLUMN)
+    return scored.withColumn("quality_predicted", (F.col("quality_score") >= CUT).cast("int"))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -166,4 +177,12 @@ def held_out(id_col: str = "doc_id") -> Column:
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row for each document: doc_id, held_out, score, predicted. The held-out fifth's labels are not learnt from."""
     model = fit_quality(docs, labels.filter(~held_out()))
-    return score_quality(docs, model).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted")
+    return score_quality(docs.select("doc_id", "text"), model).select(
+        "doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), F.col("quality_score").alias("score"), F.col("quality_predicted").alias("predicted")
+    )
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs without those that the classifier rejects, all columns."""
+    model = fit_quality(docs, labels.filter(~held_out()))
+    return score_quality(docs, model).filter("quality_predicted = 1").select(*docs.columns)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestra.llm import decontaminate, exact_dedup, language_id, line_dedup, ngram_join, pii, piece_lattice, quality
+from attestra.llm import decontaminate, edit_counts, exact_dedup, language_id, line_dedup, ngram_join, pii, piece_lattice, quality, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data_report(table(spark, sf_dir, "documents"))
 
 
+def op3_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_counts.edited_counts_report(table(spark, sf_dir, "documents"))
+
+
 def op4_piece_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_lattice.piece_report(table(spark, sf_dir, "documents"))
 
@@ -41,13 +45,36 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup_report(table(spark, sf_dir, "documents"))
 
 
+def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives_report(table(spark, sf_dir, "pages"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_personal_data, op4_piece_segmentation, op5_line_dedup, op6_ngram_jaccard_join, op7_language_id, op8_exact_dedup, op10_decontamination)}
+    every = (
+        op1_quality_classifier,
+        op2_personal_data,
+        op3_edit_counts,
+        op4_piece_segmentation,
+        op5_line_dedup,
+        op6_ngram_jaccard_join,
+        op7_language_id,
+        op8_exact_dedup,
+        op9_warc_derivatives,
+        op10_decontamination,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": line_dedup.SQL, "op6_ngram_jaccard_join": ngram_join.SQL, "op8_exact_dedup": exact_dedup.SQL, "op10_decontamination": decontaminate.SQL}
+    """Operators 1 to 4 and 7 have none: models, trees and segmentations are tested against brute force instead."""
+    return {
+        "op5_line_dedup": line_dedup.SQL,
+        "op6_ngram_jaccard_join": ngram_join.SQL,
+        "op8_exact_dedup": exact_dedup.SQL,
+        "op9_warc_derivatives": warc.SQL,
+        "op10_decontamination": decontaminate.SQL,
+    }

@@ -60,3 +60,24 @@ def keep_possible(df: DataFrame, hash_col: str, bitmap: DataFrame) -> DataFrame:
     hit = probe.join(F.broadcast(bitmap), "bm_word")
     test = f"shiftright(bm_bits, cast(pmod(shiftright({hash_col}, 40), 64) AS int)) & 1L = 1L"
     return hit.filter(F.expr(test)).drop("bm_word", "bm_bits")
+
+
+def without_keys(df: DataFrame, keys: list[str], gone: DataFrame) -> DataFrame:
+    """Rows of df whose keys are not in gone; null keys match null keys. All other columns stay as they are.
+
+    Rows that a bitmap of bounded size rules out go straight through; only the others are shuffled to the exact
+    anti-join, so most of a table's texts never move.
+    """
+    h = F.xxhash64(*[F.col(f"`{k}`") for k in keys])
+    bitmap = written(key_bitmap(gone.select(h.alias("drop_hash")), "drop_hash"), "drop-bitmap")
+    row = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), h.alias("drop_hash"))
+    probe = row.withColumn("bm_word", F.pmod("drop_hash", F.lit(BITMAP_WORDS))).join(F.broadcast(bitmap), "bm_word", "left")
+    test = F.expr("coalesce(shiftright(bm_bits, cast(pmod(shiftright(drop_hash, 40), 64) AS int)) & 1L = 1L, false)")
+    probe = probe.select("row", test.alias("maybe"))
+    lost = gone.select(*[F.col(f"`{k}`").alias(f"gone_{i}") for i, k in enumerate(keys)]).distinct()
+    same = None
+    for i, k in enumerate(keys):
+        one = F.col(f"row.`{k}`").eqNullSafe(F.col(f"gone_{i}"))
+        same = one if same is None else same & one
+    exact = probe.filter("maybe").join(lost.hint("merge"), same, "left_anti")
+    return probe.filter("NOT maybe").unionByName(exact).select("row.*")
