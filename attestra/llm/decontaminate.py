@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.storage import written
+from attestra.llm.storage import key_bitmap, keep_possible, without_keys, written
 from attestra.llm.text import NOT_WORD, ascii_lower, or_empty
 
 #: Words of a window.
@@ -44,18 +44,50 @@ def benchmark_grams(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return long.unionByName(short).select("g.gram", "g.size", "item_id").distinct()
 
 
+def _anchored(docs: DataFrame, grams: DataFrame, sizes: list[int]) -> DataFrame:
+    """Rows (doc_id, text_hash, text) of docs that may hold a window: all that do, and few others.
+
+    Of the words of a window of m, each run of g = (m + 1) // 2 is an anchor. Wherever a window stands in a text, an
+    anchor of it starts at a multiple of m - g + 1, so texts are looked up at those places alone.
+    """
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    marked = texts.select("doc_id", "text_hash", words(F.col("text")).alias("w"))
+    looked, known = [], []
+    for m in sizes:
+        g = (m + 1) // 2
+        step = m - g + 1
+        looked.append(
+            f"IF(size(w) >= {m}, transform(sequence(0, greatest(size(w) - {g}, 0) div {step}), "
+            f"i -> concat('{g} ', array_join(slice(w, i * {step} + 1, {g}), ' '))), cast(array() AS array<string>))"
+        )
+        own = grams.filter(F.col("size") == m).select(F.split("gram", " ").alias("w"))
+        known.append(own.select(F.explode(F.expr(f"transform(sequence(0, {m - g}), i -> concat('{g} ', array_join(slice(w, i + 1, {g}), ' ')))")).alias("anchor")))
+    anchors = known[0]
+    for k in known[1:]:
+        anchors = anchors.unionByName(k)
+    anchors = written(anchors.distinct(), "bench-anchors")
+    at = F.expr(f"concat({', '.join(looked)})" if len(looked) > 1 else looked[0])
+    hint = "broadcast" if anchors.count() <= BROADCAST_ROWS else "merge"
+    hit = marked.select("doc_id", "text_hash", F.explode(at).alias("anchor")).join(anchors.hint(hint), "anchor", "left_semi")
+    keys = hit.select(F.xxhash64("doc_id", "text_hash").alias("h"))
+    bitmap = written(key_bitmap(keys, "h"), "bench-bitmap")
+    return keep_possible(texts.withColumn("h", F.xxhash64("doc_id", "text_hash")), "h", bitmap).drop("h")
+
+
 def contamination_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, text_hash, spans, items) of the documents in which a benchmark window occurs.
 
-    spans: (start, size) in words, distinct; items: item ids, distinct. The join compares the grams themselves, so every
-    hit is verified. Grams are distinct before the join; only hits are shuffled, never windows. The set is broadcast
-    after its rows are counted; over BROADCAST_ROWS it is joined by a shuffle instead.
+    spans: (start, size) in words, distinct; items: item ids, distinct. A first pass looks texts up in a broadcast hash
+    set of anchors, at a few places each; a second one scans all windows of those that passed and compares the grams
+    themselves, so every hit is verified. Only hits are shuffled, never windows. Both sets are broadcast after their
+    rows are counted; over BROADCAST_ROWS they are joined by a shuffle instead.
     """
     grams = written(benchmark_grams(benchmark, window), "bench-grams")
     by_gram = written(grams.groupBy("gram").agg(F.collect_set("item_id").alias("items")), "bench-set")
     sizes = sorted(r["size"] for r in grams.select("size").distinct().collect())  # at most `window` values
     n = by_gram.count()
-    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w"))
+    passed = _anchored(docs, grams, sizes or [window])
+    texts = passed.select("doc_id", "text_hash", words(F.col("text")).alias("w"))
     windows = texts.select("doc_id", "text_hash", F.explode(_grams("w", sizes or [window])).alias("g"))
     windows = windows.select("doc_id", "text_hash", "g.start", "g.size", "g.gram")
     hits = windows.join(by_gram.hint("broadcast" if n <= BROADCAST_ROWS else "merge"), "gram")
@@ -99,9 +131,8 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, window: int = WI
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs without the contaminated ones, all columns."""
     bad = contamination_report(docs, benchmark, window).filter("contaminated").select("doc_id", "text_hash").distinct()
-    keyed = docs.withColumn("contam_key", F.xxhash64("text"))
-    same = (keyed["contam_key"] == bad["text_hash"]) & keyed["doc_id"].eqNullSafe(bad["doc_id"])
-    return keyed.join(bad.hint("merge"), same, "left_anti").select(*docs.columns)
+    keyed = docs.withColumn("text_hash", F.xxhash64("text")) if "text_hash" not in docs.columns else docs
+    return without_keys(keyed, ["doc_id", "text_hash"], bad).select(*docs.columns)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
