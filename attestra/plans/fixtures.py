@@ -114,6 +114,8 @@ def duck(name: str) -> str:
 
 def with_views(names: str, sql: str) -> str:
     """DuckDB SQL: the named views before a query that starts with SELECT, or with further WITH terms after a comma."""
-    head = "WITH RECURSIVE " + ", ".join(f"{n} AS ({duck(n)})" for n in names.split())
+    terms = ", ".join(f"{n} AS ({duck(n)})" for n in names.split() if n in VIEWS or n == "policy")
     sql = sql.strip()
-    return f"{head}{sql}" if sql.startswith(",") else f"{head} {sql}"
+    if sql.startswith(","):
+        return f"WITH RECURSIVE {terms}{sql if terms else sql[1:]}"
+    return f"WITH RECURSIVE {terms} {sql}" if terms else sql
