@@ -1,6 +1,6 @@
 """Registered queries over the given tables."""
 
-from attestra.plans import audit_queries, calibration_queries, claims_queries, decision_queries, evaluation_queries, series_queries
+from attestra.plans import audit_queries, calibration_queries, claims_queries, decision_queries, evaluation_queries, measure_queries, series_queries
 from attestra.plans.registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "audit_queries", "calibration_queries", "claims_queries", "decision_queries", "evaluation_queries", "series_queries"]
+__all__ = ["ORACLE", "QUERIES", "audit_queries", "calibration_queries", "claims_queries", "decision_queries", "evaluation_queries", "measure_queries", "series_queries"]
