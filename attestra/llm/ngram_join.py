@@ -11,16 +11,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestra.llm.components import connected_components
-from attestra.llm.storage import key_bitmap, keep_possible, written
+from attestra.llm.storage import key_bitmap, keep_possible, without_keys, written
+from attestra.shipping import ship_package
 
 #: Words of a shingle. Two sets link when 4 * intersection >= 3 * union; what follows from that ratio is in `candidates`.
 SHINGLE = 5
 #: Blocks that a size band's sketch is cut into, as a share of the largest size in the band.
 BLOCKS = 0.4
-#: Bits of the dense sketch that each distinct set keeps for the Hamming test.
-SKETCH_BITS = 1024
-#: A shingle is common when at least so many documents of one batch hold it; so many common shingles are sent out.
-COMMON_IN_BATCH, COMMON_SENT = 32, 500_000
+#: A shingle is common when at least so many different sets of one batch hold it; so many common shingles are sent out.
+COMMON_IN_BATCH, COMMON_SENT = 6, 500_000
+#: Further rounds of stars, before the candidates that are left are all compared.
+TURNS = 2
+#: Pairs of a signature up to which they are made in a join; larger ones are screened in blocks of at most BLOCK_ROWS nodes.
+SMALL, BLOCK_ROWS = 64, 2_048
+#: Sizes of linked sets are as 3 to 4 at most.
+SIZES_ALLOW = "4 * least({0}, {1}) >= 3 * greatest({0}, {1})"
 #: Members of a star that one task compares with the star's centre.
 STAR = 256
 #: Words whose hash a worker remembers.
@@ -61,8 +66,13 @@ def shingle_set(text: str | None, hashes: WordHashes) -> np.ndarray:
 
 
 def dense_sketch(s: np.ndarray) -> np.ndarray:
-    """Bit i: the parity of the number of shingles that hash to i. Sets differ in at least as many shingles as bits."""
-    counts = np.bincount((s & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS)
+    """Bit i: the parity of the number of shingles that hash to i. Sets differ in at least as many shingles as bits.
+
+    The sketch has the power of two over the set's size as bits, 64 at least, so unrelated sets of any size differ in
+    about half of their size. One of twice the bits folds to the smaller one by the exclusive or of its halves.
+    """
+    bits = max(64, 1 << len(s).bit_length())
+    counts = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits(counts.astype(np.uint8) & 1).view(np.int64)
 
 
@@ -71,13 +81,15 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes, width = WordHashes(), np.uint64((1 << 20) - 1)
     for batch in batches:
         ids, marks, texts = batch.column(0), batch.column(1), batch.column(2)
-        n, nodes, sketches, every = [], [], [], []
+        n, nodes, sketches, every, seen = [], [], [], [], set()
         for text in texts:
             s = shingle_set(text.as_py(), hashes)
             n.append(len(s))
             nodes.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None)
             sketches.append(dense_sketch(s) if len(s) else None)
-            every.append(s)
+            if nodes[-1] not in seen:
+                every.append(s)
+                seen.add(nodes[-1])
         yield pa.RecordBatch.from_arrays(
             [ids, marks, pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.list_(pa.int64())), pa.nulls(len(n), pa.int64())],
             names=["doc_id", "text_hash", "n", "node", "sketch", "common"],
@@ -201,11 +213,98 @@ def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     own = ["rep", "mark", "n", "sketch"]
     for side in ("x", "y"):
         pairs = pairs.join(nodes.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in own]).hint("merge"), side)
-    near = pairs.filter((4 * F.least("n_x", "n_y") >= 3 * F.greatest("n_x", "n_y")))
-    apart = F.expr("aggregate(zip_with(sketch_x, sketch_y, (p, q) -> bit_count(p ^ q)), 0, (total, d) -> total + d)")
+    near = pairs.filter(SIZES_ALLOW.format("n_x", "n_y"))
+    fold = "IF(size({0}) > size({1}), zip_with(slice({0}, 1, size({1})), slice({0}, size({1}) + 1, size({1})), (p, q) -> p ^ q), {0})"
+    x, y = fold.format("sketch_x", "sketch_y"), fold.format("sketch_y", "sketch_x")
+    apart = F.expr(f"aggregate(zip_with({x}, {y}, (p, q) -> bit_count(p ^ q)), 0, (total, d) -> total + d)")
     return near.filter(7 * apart <= F.col("n_x") + F.col("n_y")).select("x", "y", "rep_x", "mark_x", "rep_y", "mark_y")
 
 
+def _fold(sketches: np.ndarray, words: int) -> np.ndarray:
+    while sketches.shape[1] > words:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
+
+
+def _near(own: list, other: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Nodes of own and of other that may link: in different components, of allowed sizes, their sketches near enough.
+
+    own and other: (node, n, label, sketch words, flat sketches) by sketch length, so that each block is a matrix.
+    """
+    for an, ac, al, aw, ask in own:
+        for on, oc, ol, ow, osk in other:
+            if max(aw, ow) > 2 * min(aw, ow):
+                continue
+            words = min(aw, ow)
+            a, o = _fold(ask, words), _fold(osk, words)
+            step = max(1, (1 << 22) // max(1, len(o) * words))
+            for i in range(0, len(a), step):
+                ok = (al[i : i + step, None] != ol) & (4 * np.minimum(ac[i : i + step, None], oc) >= 3 * np.maximum(ac[i : i + step, None], oc))
+                if not ok.any():
+                    continue
+                apart = np.bitwise_count(a[i : i + step, None, :] ^ o[None, :, :]).sum(axis=2, dtype=np.int64)
+                x, y = np.nonzero(ok & (7 * apart <= ac[i : i + step, None] + oc))
+                if len(x):
+                    yield an[i : i + step][x], on[y]
+
+
+def _by_length(node: np.ndarray, n: np.ndarray, label: np.ndarray, flat: np.ndarray, starts: np.ndarray, words: np.ndarray) -> list:
+    out = []
+    for w in np.unique(words):
+        at = np.flatnonzero(words == w)
+        out.append((node[at], n[at], label[at], int(w), flat[starts[at][:, None] + np.arange(int(w))]))
+    return out
+
+
+def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (sig, part, other, node, n, label, sketch), a part's own nodes (other = 0) before the ones that they meet:
+    pairs (x, y) that may link. Keeps the own nodes of one part, BLOCK_ROWS on average at most."""
+    key, own = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sig, part, other, node, n, label = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+        lists = batch.column(6)
+        flat, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+        starts, words = offsets[:-1], np.diff(offsets)
+        new = np.flatnonzero(np.r_[True, (sig[1:] != sig[:-1]) | (part[1:] != part[:-1]) | (other[1:] != other[:-1])])
+        xs, ys = [], []
+        for i, j in zip(new, np.r_[new[1:], len(sig)], strict=True):
+            block = _by_length(node[i:j], n[i:j], label[i:j], flat, starts[i:j], words[i:j])
+            if other[i] == 0:
+                own = own + block if key == (sig[i], part[i]) else block
+                key = (sig[i], part[i])
+            elif key == (sig[i], part[i]):
+                for x, y in _near(own, block):
+                    xs.append(np.minimum(x, y))
+                    ys.append(np.maximum(x, y))
+        if xs:
+            pairs = np.unique(np.stack([np.concatenate(xs), np.concatenate(ys)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["x", "y"])
+
+
+def _left(mixed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (x, y), some more than once: of each signature the nodes outside its centre's component, with all nodes of
+    other components. Signatures with few such pairs are joined with themselves; large ones are dealt to parts of the
+    outside nodes, and each part's nodes are held against a stream of all the signature's nodes, by size and sketch."""
+    mixed = written(mixed, "join-astray")
+    count = mixed.groupBy("sig").agg(F.count_if(F.col("label") != F.col("c_label")).alias("outside"), F.count("*").alias("all_nodes"))
+    count = written(count, "join-sizes")
+    few, many = count.filter(F.col("outside") * F.col("all_nodes") <= SMALL), count.filter(F.col("outside") * F.col("all_nodes") > SMALL)
+    rows = mixed.join(few.select("sig").hint("merge"), "sig")
+    outside = rows.filter("label <> c_label").select("sig", F.col("node").alias("other"), F.col("label").alias("other_label"), F.col("n").alias("other_n"))
+    small = rows.drop("c_label").join(outside.hint("merge"), "sig").filter("label <> other_label").filter(SIZES_ALLOW.format("n", "other_n"))
+    parts = many.select("sig", F.ceil(F.col("outside") / F.lit(BLOCK_ROWS)).cast("int").alias("parts"))
+    rows = mixed.join(parts.hint("merge"), "sig").join(nodes.select("node", "sketch").hint("merge"), "node")
+    one = rows.filter("label <> c_label").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.lit(0))
+    every = rows.withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).withColumn("other", F.lit(1))
+    order = ["sig", "part", "other", "node", "n", "label", "sketch"]
+    large = one.select(*order).unionByName(every.select(*order)).repartition("sig", "part").sortWithinPartitions("sig", "part", "other")
+    large = written(large.mapInArrow(_screen, "x long, y long"), "join-screened")
+    return small.select(*_ordered("node", "other")).unionByName(large)
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, label: str) -> DataFrame:
     """Those of the pairs that link, as (a, b) of representatives' ids. Only texts that a pair needs are shuffled.
 
@@ -232,6 +331,29 @@ def _verified(pairs: DataFrame, docs: DataFrame, label: str) -> DataFrame:
     return written(rows.mapInArrow(_compare, "a long, b long"), f"{label}-links")
 
 
+def _ordered(a: str, b: str) -> list:
+    return [F.least(a, b).alias("x"), F.greatest(a, b).alias("y")]
+
+
+def _placed(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, n, label): each node's size and component by the links so far."""
+    label = connected_components(links).select(F.col("id").alias("rep"), "label")
+    placed = nodes.select("node", "rep", "n").join(label.hint("merge"), "rep", "left")
+    return written(placed.select("node", "n", F.coalesce("label", "rep").alias("label")), "join-places")
+
+
+def _mixed(members: DataFrame, placed: DataFrame, turn: int) -> DataFrame:
+    """(sig, node, n, label, c, c_label) of signatures held in several components; c: one of its nodes, another each turn.
+
+    With turn 0, rows of all the signature's nodes; else of those outside c's component.
+    """
+    lab = written(members.join(placed.hint("merge"), "node"), "join-labelled")
+    c = F.min_by(F.struct("node", "n", "label"), F.xxhash64("node", F.lit(turn)))
+    several = lab.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), c.alias("c")).filter("low <> high")
+    out = lab.join(several.select("sig", "c").hint("merge"), "sig").withColumn("c_label", F.col("c.label"))
+    return out.filter("label <> c_label") if turn else out
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: id, n_shingles, component_id (the smallest id that it reaches by links).
 
@@ -248,14 +370,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets of which one has enough blocks share one of its signatures, whatever was held to be common.
 
     **Links.** Nodes with an equal signature are a star around the first of them. Each node is first compared with the
-    centre that it shares most signatures with. Of the remaining candidates, those in different components are all
-    compared, and a node that left its star also with the star's other nodes: no link between components is lost, and
-    links inside one need no test. Sizes, then the Hamming distance of dense sketches, go before the comparison of texts.
+    centre that it shares most signatures with. For signatures held in several components, further turns take other
+    centres. At last the candidates that are left are all compared: of each signature, the nodes outside its centre's
+    component with the nodes of other components. No link between components is lost, and links inside one need no
+    test. Sizes, then the Hamming distance of dense sketches, go before the comparison of texts.
 
     Null and empty texts have empty sets, and stand alone. Rows that repeat an id are one document to the result's ids.
     A null id is not linked. Texts of any length are read whole. An empty table gives an empty result; other columns are
     not looked at. Two different sets get one node with a chance of 2**-64 for each pair.
     """
+    ship_package(docs.sparkSession)
     base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
     described = written(
         base.mapInArrow(_describe, "doc_id long, text_hash long, n long, node long, sketch array<long>, common long"), "join-sets"
@@ -275,24 +399,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = written(grouped.groupBy("center", "member").agg(F.count("*").alias("shared")), "join-candidates")
 
     best = pairs.groupBy("member").agg(F.max_by("center", F.struct("shared", "center")).alias("center"))
-    first = _possible(best.select(F.col("center").alias("x"), F.col("member").alias("y")), nodes)
-    links = _verified(first, base, "join-first")
-
-    label = connected_components(links)
-    place = nodes.select("node", "rep").join(label.select(F.col("id").alias("rep"), "label").hint("merge"), "rep", "left")
-    place = written(place.select("node", F.coalesce("label", "rep").alias("label")), "join-places")
-    side = lambda name: place.select(F.col("node").alias(name), F.col("label").alias(f"{name}_label")).hint("merge")
-    astray = grouped.join(side("center"), "center").join(side("member"), "member").filter("center_label <> member_label")
-    astray = written(astray.select("sig", "center", "member", "member_label"), "join-astray")
-    others = grouped.join(astray.select("sig").distinct().hint("merge"), "sig", "left_semi").select("sig", F.col("member").alias("other"))
-    beside = astray.join(others.hint("merge"), "sig").filter("member <> other").select(
-        F.least("member", "other").alias("x"), F.greatest("member", "other").alias("y")
-    )
-    rest = astray.select(F.col("center").alias("x"), F.col("member").alias("y")).unionByName(beside).distinct()
-    rest = rest.join(side("x").withColumnRenamed("x_label", "lx"), "x").join(side("y").withColumnRenamed("y_label", "ly"), "y")
-    rest = rest.filter("lx <> ly").select("x", "y")
-    done = best.select(F.col("center").alias("x"), F.col("member").alias("y"))
-    rest = rest.join(done.hint("merge"), ["x", "y"], "left_anti")
+    tried = written(best.select(*_ordered("center", "member")), "join-first")
+    links = _verified(_possible(tried, nodes), base, "join-first")
+    members = grouped.select("sig", F.col("member").alias("node")).unionByName(grouped.select("sig", F.col("center").alias("node")))
+    members = written(members.distinct(), "join-members")
+    for turn in range(1, TURNS + 1):
+        mixed = _mixed(members, _placed(nodes, links), turn)
+        pairs = mixed.filter(SIZES_ALLOW.format("n", "c.n")).groupBy("node", "c.node").agg(F.count("*").alias("shared"))
+        pairs = pairs.toDF("node", "center", "shared").groupBy("node").agg(F.max_by("center", F.struct("shared", "center")).alias("center"))
+        new = pairs.select(*_ordered("node", "center")).distinct().join(tried.hint("merge"), ["x", "y"], "left_anti")
+        new = written(new, f"join-turn{turn}")
+        tried = tried.unionByName(new)
+        links = links.unionByName(_verified(_possible(new, nodes), base, f"join-turn{turn}"))
+    rest = _left(_mixed(members, _placed(nodes, links), 0).drop("c"), nodes)
+    rest = rest.distinct().join(tried.hint("merge"), ["x", "y"], "left_anti")
     more = _verified(_possible(rest, nodes), base, "join-rest")
 
     label = connected_components(links.unionByName(more)).select(F.col("id").alias("rep"), "label")
@@ -305,8 +425,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without those whose component has a smaller id, all columns."""
     found = near_duplicates(docs, id_col, text_col)
-    gone = found.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return docs.join(gone.hint("merge"), id_col, "left_anti")
+    return without_keys(docs, [id_col], found.filter(F.col(id_col) != F.col("component_id")).select(id_col))
 
 
 def near_duplicate_report(docs: DataFrame) -> DataFrame:

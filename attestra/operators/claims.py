@@ -154,3 +154,57 @@ def monthly_quota(requests: DataFrame, limit: int) -> DataFrame:
     w = Window.partitionBy("month").orderBy("ts", "request_id")
     rows = requests.withColumn("month", F.date_format("ts", "yyyy-MM"))
     return rows.withColumn("allowed", (F.row_number().over(w) <= limit) & F.lit(limit > 0))
+
+
+WEB_DETECTION = """struct<responses:array<struct<webDetection:struct<fullMatchingImages:array<struct<url:string>>,partialMatchingImages:array<struct<url:string>>,
+ visuallySimilarImages:array<struct<url:string>>,pagesWithMatchingImages:array<struct<url:string,pageTitle:string,fullMatchingImages:array<struct<url:string>>,partialMatchingImages:array<struct<url:string>>>>,
+ bestGuessLabels:array<struct<label:string>>,webEntities:array<struct<description:string,score:double>>>>>>"""
+
+
+def web_detection_parse(responses: DataFrame, column: str = "body") -> DataFrame:
+    """id, counts of each kind of match, labels (5 at most), entities (8 at most), the best match and its citations.
+
+    What is no JSON, or has no such part, gives counts of 0."""
+    r = responses.select("id", F.from_json(column, WEB_DETECTION).alias("j")).select("id", F.get("j.responses", F.lit(0))["webDetection"].alias("w"))
+    none = F.array().cast("array<string>")
+    urls = lambda c: F.coalesce(F.filter(F.transform(c, lambda x: x["url"]), lambda u: F.coalesce(u, F.lit("")) != ""), none)
+    pages = F.filter(F.col("w.pagesWithMatchingImages"), lambda p: F.coalesce(p["url"], F.lit("")) != "")
+    total = lambda f: F.coalesce(F.aggregate(pages, F.lit(0), lambda a, p: a + F.size(urls(p[f]))), F.lit(0))
+    out = r.select(
+        "id", urls(F.col("w.fullMatchingImages")).alias("full"), urls(F.col("w.partialMatchingImages")).alias("partial"), urls(F.col("w.visuallySimilarImages")).alias("similar"),
+        F.coalesce(F.transform(pages, lambda p: p["url"]), none).alias("pages"), total("fullMatchingImages").alias("page_full"), total("partialMatchingImages").alias("page_partial"),
+        F.slice(F.coalesce(F.filter(F.transform("w.bestGuessLabels", lambda x: x["label"]), lambda x: F.coalesce(x, F.lit("")) != ""), none), 1, 5).alias("labels"),
+        F.slice(F.coalesce(F.filter(F.transform("w.webEntities", lambda x: x["description"]), lambda x: F.coalesce(x, F.lit("")) != ""), none), 1, 8).alias("entities"),
+    )
+    tier = source_match_tier(F.size("full") + F.col("page_full"), F.size("partial") + F.col("page_partial"), F.size("pages"), F.size("similar"))
+    cited = F.array_distinct(F.concat("full", "partial", "pages", F.slice("similar", 1, 3)))
+    return out.withColumns({"match": tier, "citations": cited})
+
+
+def search_parse(responses: DataFrame, kind: str, column: str = "body") -> DataFrame:
+    """(id, pos, title, url, source, snippet) of a search response's results: `results` of an image search, else `web.results`."""
+    item = "array<struct<url:string,title:string,page_title:string,description:string,page_fetched:string,properties:struct<url:string>>>"
+    schema = f"struct<results:{item},web:struct<results:{item}>>"
+    j = responses.select("id", F.from_json(column, schema).alias("j"))
+    rows = j.select("id", F.posexplode(F.col("j.results") if kind == "image" else F.col("j.web.results")).alias("pos", "x"))
+    url = F.coalesce(F.nullif("x.url", F.lit("")), F.col("x.properties.url"))
+    rows = rows.withColumn("url", url).filter(F.coalesce("url", F.lit("")) != "")
+    title = F.coalesce(F.nullif("x.title", F.lit("")), F.nullif("x.page_title", F.lit("")), F.lit("Search result"))
+    snippet = F.coalesce(F.nullif("x.description", F.lit("")), F.col("x.page_fetched"), F.lit(""))
+    return rows.select(
+        "id", "pos", F.substring(clean_text(title), 1, 140).alias("title"), "url", url_domain(F.col("url")).alias("source"), F.nullif(F.substring(clean_text(snippet), 1, 260), F.lit("")).alias("snippet")
+    )
+
+
+def research_outcome(status: Column, citations: Column) -> Column:
+    """The score of a search by how it ended."""
+    found = F.least(F.lit(82.0), 64.0 + 4.0 * citations)
+    return (
+        F.when(status == "not_configured", 50.0).when(status == "quota", 50.0).when(status == "no_query", 48.0).when(status == "error", 50.0)
+        .when((status == "completed") & (citations > 0), F.greatest(F.lit(68.0), found)).otherwise(38.0)
+    )
+
+
+def manifest_key_count(body: Column) -> Column:
+    """How many keys of a JSON text name a manifest or a claim, at any depth."""
+    return F.regexp_count(F.lower(F.coalesce(body, F.lit(""))), F.lit(r'"[^"]*(?:manifest|claim)[^"]*"\s*:'))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -183,3 +184,44 @@ def frame_selection(frames: DataFrame, stride: int) -> DataFrame:
 
 def frame_score_summary(frames: DataFrame, value: str) -> DataFrame:
     return frames.groupBy("video_id").agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("minimum"), F.percentile(value, 0.1).alias("p10"), F.max(value).alias("maximum"))
+
+
+def temporal_windows(frames: DataFrame, limit: int = 6, fps: float = 30.0) -> DataFrame:
+    """(video_id, start_frame, end_frame, reason): windows around anomaly peaks in order of their score, then around uniform
+    positions; one that overlaps a chosen window is skipped. Each choice depends on the ones before it, so a series is
+    one pandas group: one video's scores, two columns."""
+    d = frame_deltas(frames).select("video_id", "frame_index", "anomaly")
+    half = max(2, round(fps * 0.75)) if fps > 0 else None
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = len(pdf)
+        reach = half if half is not None else max(2, n // 40)
+        peaks = pdf.dropna(subset=["anomaly"]).sort_values(["anomaly", "frame_index"], ascending=[False, True])["frame_index"].tolist()
+        k = min(4, limit, n)
+        uniform = [round(i * (n - 1) / max(1, k - 1)) for i in range(k)]
+        chosen: list[tuple[int, int, str]] = []
+        for place, center in enumerate([*peaks, *uniform]):
+            if len(chosen) >= limit:
+                break
+            start, end = max(0, center - reach), min(n - 1, center + reach)
+            if all(end < s or start > e for s, e, _ in chosen):
+                chosen.append((start, end, "anomaly_peak" if place < len(peaks) else "uniform_coverage"))
+        rows = sorted(chosen)
+        return pd.DataFrame({"video_id": pdf["video_id"].iloc[0], "start_frame": [r[0] for r in rows], "end_frame": [r[1] for r in rows], "reason": [r[2] for r in rows]})
+
+    return d.groupBy("video_id").applyInPandas(choose, "video_id long, start_frame int, end_frame int, reason string")
+
+
+def video_context_score(frames: DataFrame, width: int, height: int, fps: float = 30.0) -> DataFrame:
+    """(video_id, score): the mean frame score, less for suspicious frames, missing metadata, short and small videos."""
+    bad = (F.col("truth_score") < 50) | (F.col("ai_probability") >= HIGH) | (F.col("manipulation_probability") >= HIGH)
+    v = frames.groupBy("video_id").agg(F.avg("truth_score").alias("mean"), F.avg(bad.cast("double")).alias("share"), F.count("*").alias("n"))
+    share = F.col("share")
+    loss = F.when(share >= 0.20, F.least(F.lit(14.0), 5.0 + share * 15.0)).when(share > 0, F.least(F.lit(5.0), share * 20.0)).otherwise(0.0)
+    if fps <= 0:
+        loss = loss + 8
+    else:
+        loss = loss + F.when(F.col("n") / fps < 1.5, 5.0).otherwise(0.0)
+    if width < 360 or height < 240:
+        loss = loss + 8
+    return v.select("video_id", clamp(F.bround(F.col("mean") - loss), 0, 100).cast("int").alias("score"))

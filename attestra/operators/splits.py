@@ -89,3 +89,33 @@ def plan_filter(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """Generated rows of a planned (split, source); others stay."""
     keep = rows.filter("class_label = 'ai_generated'").join(F.broadcast(plan), ["split", "source"], "left_semi")
     return keep.select(*rows.columns).unionByName(rows.filter("class_label IS NULL OR class_label <> 'ai_generated'"))
+
+
+def planned_sample(rows: DataFrame, plan: DataFrame, used_groups: DataFrame, seed: int) -> DataFrame:
+    """The first `count` groups of each planned (split, source) by a seeded draw, one row of each group, without used groups."""
+    free = rows.join(used_groups.select("source_group").distinct().hint("merge"), "source_group", "left_anti")
+    one = first_per_group(free, ["source_group"], seeded(seed, "path"), F.col("path"))
+    w = Window.partitionBy("split", "source").orderBy(seeded(seed, "source_group"), F.col("path"))
+    return one.join(F.broadcast(plan), ["split", "source"]).withColumn("_rank", F.row_number().over(w)).filter("_rank <= count").drop("_rank")
+
+
+def derive_pairs(parents: DataFrame, editors: DataFrame) -> DataFrame:
+    """Records of each authentic parent: two authentic ones (the parent, a transformed copy) and two manipulated ones, with
+    lineage; the editor comes from the split. editors: (split, editor)."""
+    p = parents.join(F.broadcast(editors), "split", "left")
+    one = lambda suffix, label, editor, how: F.struct(
+        F.concat("path", F.lit(suffix)).alias("path"), F.lit(label).alias("class_label"), editor.alias("generator_or_editor"), F.lit(how).alias("transformation")
+    )
+    records = F.array(
+        one("#original", "real_camera", F.lit("authentic"), "none"), one("#recompressed", "real_camera", F.lit("authentic"), "recompressed"),
+        one("#edit", "ai_manipulated", F.col("editor"), "none"), one("#edit-recompressed", "ai_manipulated", F.col("editor"), "recompressed"),
+    )
+    return p.select(F.col("path").alias("parent_media"), "split", "source_group", F.explode(records).alias("r")).select("r.*", "parent_media", "split", "source_group")
+
+
+def completed_parents(records: DataFrame, listing: DataFrame, version: str, variants: int) -> DataFrame:
+    """(parent) of bundles that are done: of that version, with enough variants, every one's file listed."""
+    own = records.filter(F.col("version") == version)
+    there = own.join(listing.select("path", F.lit(True).alias("_there")).distinct().hint("merge"), "path", "left")
+    done = there.groupBy("parent").agg(F.count("*").alias("n"), F.bool_and(F.coalesce("_there", F.lit(False))).alias("whole"))
+    return done.filter(F.col("whole") & (F.col("n") >= variants)).select("parent")

@@ -150,3 +150,35 @@ def oversample_train(manifest):
     rows = manifest.filter("split = 'train' AND class_label IS NOT NULL").select("path", "class_label")
     y = F.col("class_label").isin("ai_generated", "ai_manipulated")
     return splits.oversample(rows, y, "path").agg(F.count_if(~y).alias("negatives"), F.count_if(y).alias("positives"))
+
+
+@query(
+    "manifest",
+    """, f AS (SELECT *, row_number() OVER (PARTITION BY source_group ORDER BY sha256('9|' || path), path) AS r FROM manifest WHERE source_group NOT IN (SELECT source_group FROM manifest WHERE split = 'tuning')),
+p AS (SELECT f.*, CASE source WHEN 'src1' THEN 3 ELSE 2 END AS k, row_number() OVER (PARTITION BY split, source ORDER BY sha256('9|' || source_group), path) AS q FROM f WHERE r = 1 AND split IN ('train', 'locked_test') AND source IN ('src1', 'src2'))
+SELECT path, split, source, source_group FROM p WHERE q <= k""",
+)
+def planned_sample(manifest):
+    plan = manifest.sparkSession.createDataFrame([(s, g, 3 if g == "src1" else 2) for s in ("train", "locked_test") for g in ("src1", "src2")], "split string, source string, count int")
+    return splits.planned_sample(manifest, plan, manifest.filter("split = 'tuning'"), 9).select("path", "split", "source", "source_group")
+
+
+@query(
+    "manifest",
+    """, e AS (SELECT *, CASE split WHEN 'train' THEN 'editor_a' WHEN 'tuning' THEN 'editor_b' ELSE 'editor_c' END AS editor FROM manifest WHERE class_label = 'real_camera')
+SELECT path || s AS path, l AS class_label, CASE WHEN l = 'real_camera' THEN 'authentic' ELSE editor END AS generator_or_editor, t AS transformation, path AS parent_media, split, source_group
+FROM (SELECT *, unnest(['#original', '#recompressed', '#edit', '#edit-recompressed']) AS s, unnest(['real_camera', 'real_camera', 'ai_manipulated', 'ai_manipulated']) AS l, unnest(['none', 'recompressed', 'none', 'recompressed']) AS t FROM (SELECT path, split, source_group, editor FROM e))""",
+)
+def derive_pairs(manifest):
+    editors = manifest.sparkSession.createDataFrame([("train", "editor_a"), ("tuning", "editor_b"), ("calibration", "editor_c"), ("locked_test", "editor_c")], "split string, editor string")
+    return splits.derive_pairs(manifest.filter("class_label = 'real_camera'"), editors)
+
+
+@query(
+    "manifest",
+    """, r AS (SELECT source AS parent, path, CASE WHEN split = 'tuning' THEN 'v1' ELSE 'v2' END AS version FROM manifest WHERE lang_ok), l AS (SELECT 1)
+SELECT parent FROM r WHERE version = 'v2' GROUP BY parent HAVING count(*) >= 10 AND bool_and(path NOT LIKE '%77')""".replace(" WHERE lang_ok", ""),
+)
+def completed_parents(manifest):
+    records = manifest.select(F.col("source").alias("parent"), "path", F.when(F.col("split") == "tuning", "v1").otherwise("v2").alias("version"))
+    return splits.completed_parents(records, manifest.filter("path NOT LIKE '%77'"), "v2", 10)

@@ -148,3 +148,61 @@ def forensic_rules(image_stats):
 @query("image_stats")
 def heuristic_fallback(image_stats):
     return image_stats.select("media_id", forensics.heuristic_fallback().alias("probability"))
+
+
+@query(
+    "image_stats",
+    FORENSIC
+    + """, g AS (SELECT *, least(98, greatest(5, 100 - (72 * s + 28 * m))) AS fs FROM f)
+SELECT media_id, least(100, greatest(0, 70 + CASE WHEN media_id % 3 = 0 THEN 8 + CASE WHEN media_id % 2 = 0 THEN 8 ELSE 0 END ELSE 0 END - CASE WHEN media_id % 10 = 0 THEN 10 ELSE 0 END
+ + CASE WHEN least(width, height) >= 300 AND greatest(width, height) <= 12000 AND greatest(width, height) / least(width, height) <= 4.5 THEN 4 ELSE -5 END + CASE WHEN entropy BETWEEN 3.5 AND 7.8 THEN 5 ELSE -8 END - CASE WHEN blur < 35 THEN 8 ELSE 0 END
+ + CASE WHEN block_noise_cv > 0.7 THEN CASE WHEN caption_likely THEN -2 ELSE -7 END ELSE 5 END + CASE WHEN s >= 0.62 THEN -12 WHEN s <= 0.28 THEN 6 ELSE 0 END + CASE WHEN fs >= 75 THEN 5 WHEN fs < 45 THEN -8 ELSE 0 END))::int AS score FROM g""",
+)
+def image_context_score(image_stats):
+    m = F.col("media_id")
+    return image_stats.select("media_id", forensics.image_context_score(m % 3 == 0, m % 2 == 0, m % 10 == 0).alias("score"))
+
+
+@query(
+    "pages",
+    """SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'metadata_absent' WHEN page_id % 5 = 1 THEN 'explicit_ai_software_tag' WHEN page_id % 5 = 2 THEN 'camera_metadata_present' ELSE 'metadata_present' END AS status,
+ CASE WHEN page_id % 5 = 1 THEN 'Midjourney' END AS ai_marker, CASE WHEN page_id % 5 = 3 THEN 'GIMP' END AS editing_marker, page_id % 5 = 2 AS camera, CASE WHEN page_id % 5 = 2 THEN ['FNumber', 'Make'] ELSE [] END AS capture_fields,
+ CASE WHEN page_id % 5 = 0 THEN 0 WHEN page_id % 5 = 2 THEN 2 ELSE 1 END AS field_count FROM pages""",
+)
+def metadata_evidence(pages):
+    k = F.col("page_id") % 5
+    tags = F.when(k == 1, F.create_map(F.lit("Software"), F.lit("MidJourney 6"))).when(k == 2, F.create_map(F.lit("Make"), F.lit("X"), F.lit("FNumber"), F.lit("2.8")))
+    tags = tags.when(k == 3, F.create_map(F.lit("Software"), F.lit("gimp 2"))).when(k == 4, F.create_map(F.lit("Artist"), F.lit("n")))
+    return pages.select("page_id", forensics.metadata_evidence(tags).alias("m")).select("page_id", "m.*")
+
+
+_RESPONSE = """concat('{"responses":[{"webDetection":{"fullMatchingImages":[', IF(page_id % 3 = 0, concat('{"url":"', url, '"},{"url":""}'), ''), '],"pagesWithMatchingImages":[{"url":"p', page_id, '","partialMatchingImages":[{"url":"q"}]},{"url":""}],"bestGuessLabels":[{"label":"L', page_id % 7, '"}],"webEntities":[{"description":"E","score":0.5},{"score":1}]}}]}')"""
+
+
+@query(
+    "pages",
+    """SELECT page_id AS id, CASE WHEN page_id % 3 = 0 THEN 1 ELSE 0 END AS n_full, 1 AS n_pages, 1 AS page_partial, ['L' || (page_id % 7)] AS labels, ['E'] AS entities, CASE WHEN page_id % 3 = 0 THEN 'exact_visual_match' ELSE 'partial_visual_match' END AS status,
+ CASE WHEN page_id % 3 = 0 THEN [url, 'p' || page_id] ELSE ['p' || page_id] END AS citations FROM pages""",
+)
+def web_detection_parse(pages):
+    parsed = claims.web_detection_parse(pages.select(F.col("page_id").alias("id"), F.expr(_RESPONSE).alias("body")))
+    return parsed.select("id", F.size("full").alias("n_full"), F.size("pages").alias("n_pages"), "page_partial", "labels", "entities", F.col("match.status").alias("status"), "citations")
+
+
+@query("pages", r"SELECT page_id AS id, 0 AS pos, 'A b' AS title, url, regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '^www\.', '') AS source, 's' AS snippet FROM pages")
+def search_parse(pages):
+    body = F.expr("""concat('{"web":{"results":[{"url":"', url, '","title":" A   b ","description":"s"},{"title":"none"}]}}')""")
+    return claims.search_parse(pages.select(F.col("page_id").alias("id"), body.alias("body")), "web")
+
+
+@query("pages", "SELECT page_id, CASE WHEN page_id % 5 IN (0, 1, 3) THEN 50 WHEN page_id % 5 = 2 THEN 48 WHEN page_id % 7 > 0 THEN greatest(68, least(82, 64 + 4 * (page_id % 7))) ELSE 38 END::double AS score FROM pages")
+def research_outcome(pages):
+    k = F.col("page_id") % 5
+    status = F.when(k == 0, "not_configured").when(k == 1, "quota").when(k == 2, "no_query").when(k == 3, "error").otherwise("completed")
+    return pages.select("page_id", claims.research_outcome(status, F.col("page_id") % 7).alias("score"))
+
+
+@query("pages", "SELECT page_id, page_id % 3 + 1 AS n FROM pages")
+def manifest_key_count(pages):
+    body = F.concat(F.lit('{"active_manifest": {'), F.array_join(F.transform(F.sequence(F.lit(1), (F.col("page_id") % 3 + 1).cast("int")), lambda i: F.concat(F.lit('"k'), i, F.lit('": 1'))), ", "), F.lit('}, "x": ['), F.array_join(F.array_repeat(F.lit('{"Claim_a" : 2}'), (F.col("page_id") % 3).cast("int")), ", "), F.lit("]}"))
+    return pages.select("page_id", claims.manifest_key_count(body).cast("long").alias("n"))

@@ -155,3 +155,17 @@ def frame_selection(frames):
 @query("frames", "SELECT video_id, round(avg(ai_probability), 10) AS mean, round(stddev_pop(ai_probability), 10) AS std, min(ai_probability) AS minimum, round(quantile_cont(ai_probability, 0.1), 10) AS p10, max(ai_probability) AS maximum FROM frames GROUP BY video_id")
 def frame_score_summary(frames):
     return _rounded(series.frame_score_summary(frames, "ai_probability"), "mean", "std", "p10")
+
+
+@query("frames")
+def temporal_windows(frames):
+    return series.temporal_windows(frames)
+
+
+@query(
+    "frames",
+    """, v AS (SELECT video_id, avg(truth_score) AS m, avg((truth_score < 50 OR ai_probability >= 0.65 OR manipulation_probability >= 0.65)::int::double) AS s, count(*) AS n FROM frames GROUP BY video_id)
+SELECT video_id, least(100, greatest(0, round_even(m - CASE WHEN s >= 0.2 THEN least(14, 5 + s * 15) WHEN s > 0 THEN least(5, s * 20) ELSE 0 END - CASE WHEN n / 30.0 < 1.5 THEN 5 ELSE 0 END - 8, 0)))::int AS score FROM v""",
+)
+def video_context_score(frames):
+    return series.video_context_score(frames, 320, 480)

@@ -77,7 +77,7 @@ def stream_quota(requests: DataFrame, limit: int) -> DataFrame:
 
 def stream_ingest_dedup(files: DataFrame, key: str, time: str, delay: str = "1 day") -> DataFrame:
     """The first row of each key within the watermark."""
-    return files.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
+    return files.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
 
 def stream_verdict(preds: DataFrame, policy: DataFrame) -> DataFrame:
@@ -87,13 +87,13 @@ def stream_verdict(preds: DataFrame, policy: DataFrame) -> DataFrame:
 
 def stream_suspicious_windows(frames: DataFrame, length: str = "1 hour", slide: str = "15 minutes", delay: str = "1 hour") -> DataFrame:
     """(video_id, start, end, n, peak) of high frames in sliding windows."""
-    high = frames.filter("ai_probability >= 0.65").withWatermark("ts", delay)
+    high = frames.filter("ai_probability >= 0.65").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
     out = high.groupBy("video_id", F.window("ts", length, slide).alias("w")).agg(F.count("*").alias("n"), F.max("ai_probability").alias("peak"))
     return out.select("video_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "peak")
 
 
 def stream_sessions(frames: DataFrame, gap: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
     """(video_id, start, end, n) of high frames in sessions that a gap ends."""
-    high = frames.filter("ai_probability >= 0.65").withWatermark("ts", delay)
+    high = frames.filter("ai_probability >= 0.65").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
     out = high.groupBy("video_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"))
     return out.select("video_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
