@@ -196,12 +196,11 @@ def search_parse(responses: DataFrame, kind: str, column: str = "body") -> DataF
     )
 
 
-def research_outcome(status: Column, citations: Column) -> Column:
-    """The score of a search by how it ended."""
-    found = F.least(F.lit(82.0), 64.0 + 4.0 * citations)
+def research_outcome(status: Column, citations: Column, exact: Column) -> Column:
+    """The score of a search by how it ended; exact: whether a citation holds the medium's own hash."""
     return (
-        F.when(status == "not_configured", 50.0).when(status == "quota", 50.0).when(status == "no_query", 48.0).when(status == "error", 50.0)
-        .when((status == "completed") & (citations > 0), F.greatest(F.lit(68.0), found)).otherwise(38.0)
+        F.when(status.isin("not_configured", "quota", "error"), 50.0).when(status == "no_query", 48.0)
+        .when((status == "completed") & (citations > 0), F.when(exact, 82.0).otherwise(68.0)).otherwise(38.0)
     )
 
 

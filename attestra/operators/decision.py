@@ -98,3 +98,35 @@ def single_tile_reuse(detectors: DataFrame, sizes: DataFrame, tile: int = 512) -
     small = sizes.filter((F.col("width") <= tile) & (F.col("height") <= tile)).select("media_id")
     own = detectors.filter((F.coalesce(F.col("task"), F.lit("generation")) == "generation") & ~F.col("name").endswith(":tiled_pixel_scan") & ~F.col("name").isin(HEURISTIC, "fusion"))
     return own.join(small, "media_id", "left_semi").select("media_id", "pos", F.concat("name", F.lit(":tiled_pixel_scan")).alias("name"), "status", "synthetic_probability", F.lit(True).alias("reused"))
+
+
+def media_feedback(verdict: Column, media_type: Column, generated: Column, manipulated: Column, authentic: Column, conflicts: Column) -> Column:
+    """headline and capped lists of distinct reasons (arrays of texts, blanks dropped, first seen first)."""
+    noun = F.when(media_type == "image", "image").otherwise("video")
+    unique = lambda *x: F.array_distinct(F.filter(F.transform(F.concat(*x), lambda t: F.trim(t)), lambda t: t != ""))
+    headline = (
+        F.when(verdict == "likely_ai_generated", F.concat(F.lit("This "), noun, F.lit(" is likely AI-generated")))
+        .when(verdict == "likely_ai_manipulated", F.concat(F.lit("This "), noun, F.lit(" is likely AI-edited or manipulated")))
+        .when(verdict == "likely_authentic", F.concat(F.lit("This "), noun, F.lit(" is likely authentic")))
+        .otherwise("We cannot tell with enough confidence")
+    )
+    combined = F.slice(unique(generated, manipulated), 1, 4)
+    return F.struct(
+        headline.alias("headline"), combined.alias("reasons_ai"), F.slice(unique(generated), 1, 4).alias("reasons_generated"), F.slice(unique(manipulated), 1, 4).alias("reasons_manipulated"),
+        F.slice(unique(authentic), 1, 4).alias("reasons_authentic"), F.slice(unique(combined, authentic, conflicts), 1, 8).alias("notes"),
+    )
+
+
+def capability_report(registry: DataFrame, files: DataFrame, policy: DataFrame) -> DataFrame:
+    """One row: which verdicts can be given. registry: (id, task, path); files: (path). An artifact is ready if its file is
+    listed, or if its id is no path at all (a remote one); calibration must be a listed file."""
+    there = registry.join(files.select("path", F.lit(True).alias("_there")).distinct().hint("merge"), "path", "left")
+    ready = F.coalesce(F.col("_there"), F.lit(False)) | F.col("path").isNull()
+    has = lambda task: F.coalesce(F.bool_and(F.when(F.col("task") == task, ready)), F.lit(False))
+    state = there.agg(*[has(t).alias(t) for t in ("generation", "manipulation", "screen", "calibration")]).crossJoin(F.broadcast(policy))
+    screen = F.col("manipulation") | F.col("screen")
+    return state.select(
+        (F.col("generation") & F.col("calibration") & F.col("generation_enabled")).alias("decisive_generation"),
+        (F.col("manipulation") & F.col("calibration") & F.col("manipulation_enabled")).alias("decisive_manipulation"),
+        (F.col("generation") & screen & F.col("calibration")).alias("decisive_authentic"), screen.alias("screening"), F.lit(True).alias("inconclusive_fallback"),
+    )

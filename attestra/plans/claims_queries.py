@@ -195,11 +195,11 @@ def search_parse(pages):
     return claims.search_parse(pages.select(F.col("page_id").alias("id"), body.alias("body")), "web")
 
 
-@query("pages", "SELECT page_id, CASE WHEN page_id % 5 IN (0, 1, 3) THEN 50 WHEN page_id % 5 = 2 THEN 48 WHEN page_id % 7 > 0 THEN greatest(68, least(82, 64 + 4 * (page_id % 7))) ELSE 38 END::double AS score FROM pages")
+@query("pages", "SELECT page_id, CASE WHEN page_id % 5 IN (0, 1, 3) THEN 50 WHEN page_id % 5 = 2 THEN 48 WHEN page_id % 7 > 0 THEN CASE WHEN page_id % 2 = 0 THEN 82 ELSE 68 END ELSE 38 END::double AS score FROM pages")
 def research_outcome(pages):
     k = F.col("page_id") % 5
     status = F.when(k == 0, "not_configured").when(k == 1, "quota").when(k == 2, "no_query").when(k == 3, "error").otherwise("completed")
-    return pages.select("page_id", claims.research_outcome(status, F.col("page_id") % 7).alias("score"))
+    return pages.select("page_id", claims.research_outcome(status, F.col("page_id") % 7, F.col("page_id") % 2 == 0).alias("score"))
 
 
 @query("pages", "SELECT page_id, page_id % 3 + 1 AS n FROM pages")

@@ -181,3 +181,27 @@ def probability_band(preds):
         "doc_id", scores.band(s, 0.65, 0.30, ("high", "medium", "low")).alias("label"), scores.score_confidence(s).alias("confidence"), scores.three_way(s, 0.15, 0.95).alias("verdict"),
         scores.logit(s).alias("logit"), scores.clamp_score(F.col(s) * 110 - 3).alias("whole"),
     )
+
+
+@query(
+    "detectors policy part",
+    EVIDENCE
+    + """SELECT media_id, CASE reason WHEN 'generated' THEN 'This ' || media_type || ' is likely AI-generated' WHEN 'manipulated' THEN 'This ' || media_type || ' is likely AI-edited or manipulated' WHEN 'authentic' THEN 'This ' || media_type || ' is likely authentic' ELSE 'We cannot tell with enough confidence' END AS headline,
+ conflicts[1:8] AS notes FROM r""",
+)
+def media_feedback(detectors, policy, part):
+    c = context(part)
+    v = decision.media_verdict(detectors, c, policy).join(c.select("media_id", "media_type"), "media_id")
+    none = F.array().cast("array<string>")
+    f = decision.media_feedback(F.col("verdict"), F.col("media_type"), none, none, none, F.concat("conflicts", F.array(F.lit(" "))))
+    return v.select("media_id", f.alias("f")).select("media_id", "f.headline", "f.notes")
+
+
+@query(
+    "manifest policy",
+    "SELECT g AND generation_enabled AS decisive_generation, false AS decisive_manipulation, g AS decisive_authentic, true AS screening, true AS inconclusive_fallback FROM (SELECT count(*) FILTER (path = 'doc/1') > 0 AND count(*) FILTER (path = 'doc/2') > 0 AS g FROM manifest), policy",
+)
+def capability_report(manifest, policy):
+    rows = [("a", "generation", "doc/1"), ("b", "generation", None), ("c", "manipulation", "doc/none"), ("d", "screen", "doc/3"), ("e", "calibration", "doc/2")]
+    registry = manifest.sparkSession.createDataFrame(rows, "id string, task string, path string")
+    return decision.capability_report(registry, manifest, policy)
