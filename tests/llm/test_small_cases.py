@@ -73,8 +73,10 @@ def brute_components(t):
     return [len(s) for s in sets], label
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_ngram_join_equals_brute_force(spark, seed):
+@pytest.mark.parametrize("seed, small", [(1, ngram_join.SMALL), (2, 0)])
+def test_ngram_join_equals_brute_force(spark, seed, small, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SMALL", small)  # 0: every signature is screened in blocks
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 3)
     r = random.Random(seed)
     t = list(ODD)
     for k in range(6):
