@@ -385,8 +385,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         base.mapInArrow(_describe, "doc_id long, text_hash long, n long, node long, sketch array<long>, common long"), "join-sets"
     )
     common = described.filter("common IS NOT NULL").groupBy("node").agg(F.sum("common").alias("times"))
-    common = common.orderBy(F.desc("times"), "node").limit(COMMON_SENT).select("node").toPandas()["node"]
-    common = np.sort(common.to_numpy(dtype=np.int64).view(np.uint64))
+    common = common.orderBy(F.desc("times"), "node").limit(COMMON_SENT).select("node").toArrow()["node"]
+    common = np.sort(common.to_numpy().astype(np.int64).view(np.uint64))
     sets = described.filter("common IS NULL").drop("common")
     nodes = sets.filter("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(
         F.min(F.struct("doc_id", "text_hash")).alias("first"), F.max("n").alias("n"), F.any_value("sketch").alias("sketch")
