@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestra.functions.scores import AUTHENTIC, GENERATED, MANIPULATED, is_positive, ratio
 from attestra.operators.evaluation import binary_metrics, with_thresholds
+from attestra.operators.pairs import GRID, best_pair
 from attestra.operators.prefix import prefix_counts
 
-#: Cells of the two-score search up to which distinct scores are used as they are; GRID bins of each score above.
-CELLS, GRID = 400_000, 500
-
 
 def _counted(preds: DataFrame, score: str) -> DataFrame:
     """(s, pos?, authentic, generated, manipulated, one) as longs, null scores too."""
@@ -35,36 +34,31 @@ def upper_threshold(preds: DataFrame, score: str, positive: str, minimum_precisi
     return best.select(F.col("b.s").alias("threshold"), F.col("b.t").alias("true_positive"), F.col("b.cum_one").alias("predicted"), F.col("b.cum_authentic").alias("false_authentic"))
 
 
-def lower_thresholds(preds: DataFrame, false_authentic_limit: float, cells: int = CELLS, grid: int = GRID) -> DataFrame:
+def lower_thresholds(preds: DataFrame, false_authentic_limit: float, grid: int = GRID) -> DataFrame:
     """One row: generation_lower, manipulation_lower, coverage, exact. The pair of scores with the widest coverage such that
     few enough synthetic rows lie at or under both; the first in ascending order among equals.
 
-    Rows are counted by pair of scores; counts are summed along one score, then along the other. With more than `cells`
-    pairs of distinct scores, scores are rounded up to `grid` steps first, and exact is false. Without any pair: 0, 0.
+    The pair is one of real scores at every size (see best_pair), so exact is always true; grid has no influence on it.
+    Scores of rows that lack the other one are candidates too; they matter only if no pair that covers a row is
+    allowed. Without any pair: 0, 0.
     """
     synthetic = (is_positive("label", GENERATED) | is_positive("label", MANIPULATED)).cast("long")
-    total = preds.agg(F.sum(synthetic).alias("S"))
-    both = preds.filter("generation_score IS NOT NULL AND manipulation_score IS NOT NULL")
-    both = both.select(F.col("generation_score").alias("g"), F.col("manipulation_score").alias("m"), synthetic.alias("syn"))
-    # Distinct scores of all rows are candidates, those without a partner too.
-    gs = preds.select(F.col("generation_score").alias("g")).filter("g IS NOT NULL").distinct()
-    ms = preds.select(F.col("manipulation_score").alias("m")).filter("m IS NOT NULL").distinct()
-    exact = gs.count() * ms.count() <= cells
-    if not exact:
-        up = lambda c: (F.ceil(F.col(c) * grid) / F.lit(float(grid))).alias(c)
-        gs, ms, both = gs.select(up("g")).distinct(), ms.select(up("m")).distinct(), both.select(up("g"), up("m"), "syn")
-    counts = both.groupBy("g", "m").agg(F.count("*").alias("n"), F.sum("syn").alias("syn"))
-    plane = gs.crossJoin(F.broadcast(ms)).join(counts, ["g", "m"], "left").na.fill(0, ["n", "syn"])  # `cells` rows at most
-    along = Window.partitionBy("g").orderBy("m").rowsBetween(Window.unboundedPreceding, 0)
-    plane = plane.select("g", "m", F.sum("n").over(along).alias("n"), F.sum("syn").over(along).alias("syn"))
-    across = Window.partitionBy("m").orderBy("g").rowsBetween(Window.unboundedPreceding, 0)
-    plane = plane.select("g", "m", F.sum("n").over(across).alias("n"), F.sum("syn").over(across).alias("syn"))
-    ok = plane.crossJoin(F.broadcast(total)).filter(ratio(F.col("syn"), F.col("S")) <= false_authentic_limit)
-    best = ok.agg(F.min_by(F.struct("g", "m", "n"), F.struct(-F.col("n"), "g", "m")).alias("b"))
-    return best.select(
-        F.coalesce("b.g", F.lit(0.0)).alias("generation_lower"), F.coalesce("b.m", F.lit(0.0)).alias("manipulation_lower"),
-        F.coalesce("b.n", F.lit(0)).cast("long").alias("coverage"), F.lit(exact).alias("exact"),
-    )
+    g, m = F.col("generation_score"), F.col("manipulation_score")
+    both = preds.filter(g.isNotNull() & m.isNotNull()).select(g.alias("x"), m.alias("y"), F.lit(1).cast("long").alias("n"), synthetic.alias("syn"))
+    all_synthetic, g_first, m_first = preds.agg(F.coalesce(F.sum(synthetic), F.lit(0)), F.min(g), F.min(m)).first()
+    whole = max(1, all_synthetic)
+
+    def allowed(low: dict, high: dict):
+        return low["syn"] / whole <= false_authentic_limit
+
+    best = best_pair(both, None, ["n", "syn"], "n", allowed, lambda c: [-c["n"], c["x"], c["y"]], grid=grid)
+    if best:
+        row = (float(best["x"]), float(best["y"]), int(best["n"]), True)
+    elif g_first is not None and m_first is not None and false_authentic_limit >= 0 and both.filter((F.col("x") <= g_first) & (F.col("y") <= m_first)).isEmpty():
+        row = (float(g_first), float(m_first), 0, True)
+    else:
+        row = (0.0, 0.0, 0, True)
+    return preds.sparkSession.createDataFrame([row], "generation_lower double, manipulation_lower double, coverage long, exact boolean")
 
 
 def calibrated_policy(preds: DataFrame, media_type: str = "image", minimum_precision: float = 0.95) -> DataFrame:
@@ -117,33 +111,37 @@ def localizer_report(preds: DataFrame) -> DataFrame:
     )
 
 
-def localized_rule(
-    preds: DataFrame, precision: float, warning: float, generated: float, max_view_range: float, max_areas: int = 1000
-) -> DataFrame:
-    """One row: the (area, score) rule with most recall, then precision, fewest warnings, smallest area, under the limits.
+def localized_rule(preds: DataFrame, precision: float, warning: float, generated: float, max_view_range: float, grid: int = GRID) -> DataFrame:
+    """One row: the (area, score) rule with most recall, then precision, fewest warnings, smallest area, under the limits;
+    all null if there is none.
 
-    For each candidate area, rows of at least that area are counted down their scores. Candidates are the distinct
-    areas; of more than max_areas, areas are rounded down to so many steps. Rows count once for each candidate area, after
-    they were added up by (area step, score).
+    Candidate areas are 0 and the distinct areas of all scored rows, at every size (see best_pair); grid has no influence
+    on the result.
     """
-    rows = preds.filter("localized_or_persistent_support AND NOT force_inconclusive AND manipulation_score IS NOT NULL").filter(F.col("view_score_range") <= max_view_range)
-    area = F.col("predicted_region_area_ratio")
-    areas = preds.filter("manipulation_score IS NOT NULL").select(area.alias("a")).union(preds.sparkSession.sql("SELECT 0e0 AS a")).filter("a IS NOT NULL").distinct()
-    if areas.count() > max_areas:
-        area = F.floor(area * max_areas) / F.lit(float(max_areas))
-        areas = areas.select((F.floor(F.col("a") * max_areas) / F.lit(float(max_areas))).alias("a")).distinct()
-    kinds = (("auth", AUTHENTIC), ("gen", GENERATED), ("man", MANIPULATED))
-    totals = preds.filter("manipulation_score IS NOT NULL").agg(*[F.count_if(is_positive("label", x)).alias(f"all_{n}") for n, x in kinds])
-    cells = rows.groupBy(area.alias("area"), F.col("manipulation_score").alias("s")).agg(F.count("*").alias("one"), *[F.count_if(is_positive("label", x)).alias(n) for n, x in kinds])
-    at = cells.join(F.broadcast(areas), F.col("area") >= F.col("a")).groupBy("a", "s").agg(*[F.sum(c).alias(c) for c in ("one", "auth", "gen", "man")])
-    down = Window.partitionBy("a").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    at = at.select("a", "s", *[F.sum(c).over(down).alias(c) for c in ("one", "auth", "gen", "man")]).crossJoin(F.broadcast(totals))
-    at = at.select(
-        F.col("a").alias("area"), F.col("s").alias("score"), F.col("one").alias("predicted"), F.col("man").alias("true_manipulated"), (F.col("auth") + F.col("gen")).alias("warnings"),
-        (F.col("man") / F.col("one")).alias("precision"), (F.col("man") / F.col("all_man")).alias("recall"), (F.col("auth") / F.col("all_auth")).alias("auth_rate"), (F.col("gen") / F.col("all_gen")).alias("gen_rate"),
-    )
-    ok = at.filter((F.col("precision") >= precision) & (F.col("auth_rate") <= warning) & (F.col("gen_rate") <= generated))
-    return ok.agg(F.max_by(F.struct(*at.columns), F.struct("recall", "precision", -F.col("warnings"), -F.col("area"), "score")).alias("b")).select("b.*")
+    scored = preds.filter("manipulation_score IS NOT NULL")
+    one = lambda labels: is_positive("label", labels).cast("long")
+    area = F.col("predicted_region_area_ratio").cast("double")
+    rows = scored.filter("localized_or_persistent_support AND NOT force_inconclusive").filter((F.col("view_score_range") <= max_view_range) & area.isNotNull())
+    # Rules take rows at or over both values, best_pair those at or under: values are negated. 0 - x has no negative zero.
+    rows = rows.select((0 - area).alias("x"), (0 - F.col("manipulation_score")).alias("y"), F.lit(1).cast("long").alias("one"), one(AUTHENTIC).alias("auth"), one(GENERATED).alias("gen"), one(MANIPULATED).alias("man"))
+    xs = scored.select((0 - area).alias("x")).union(preds.sparkSession.sql("SELECT 0e0 AS x")).filter("x IS NOT NULL").distinct()
+    all_auth, all_gen, all_man = scored.agg(*[F.coalesce(F.sum(one(x)), F.lit(0)) for x in (AUTHENTIC, GENERATED, MANIPULATED)]).first()
+
+    def allowed(low: dict, high: dict):
+        man, rest = high["man"], low["one"] - low["man"]
+        return (man / np.maximum(1, man + rest) >= precision) & (low["auth"] / all_auth <= warning) & (low["gen"] / all_gen <= generated)
+
+    def rank(c: dict) -> list:
+        return [-c["man"], -(c["man"] / c["one"]), c["auth"] + c["gen"], -c["x"], c["y"]]
+
+    best = best_pair(rows, xs, ["one", "auth", "gen", "man"], "man", allowed, rank, x_last=True, grid=grid) if all_auth and all_gen and all_man else None
+    row = (None,) * 9
+    if best:
+        n, auth, gen, man = (int(best[c]) for c in ("one", "auth", "gen", "man"))
+        row = (float(0 - best["x"]), float(0 - best["y"]), n, man, auth + gen, man / n, man / all_man, auth / all_auth, gen / all_gen)
+    return preds.sparkSession.createDataFrame(
+        [row], "area double, score double, predicted long, true_manipulated long, warnings long, precision double, recall double, auth_rate double, gen_rate double"
+    )
 
 
 def best_threshold(scored: DataFrame, low: float = 0.05, high: float = 0.95, points: int = 181) -> DataFrame:

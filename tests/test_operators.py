@@ -84,3 +84,52 @@ def test_adaptive_positions_keep_required(spark):
     f = spark.createDataFrame(rows, "video_id int, frame_index int, luma double, noise double, edge_density double, hist_correlation double")
     got = sorted(r["frame_index"] for r in series.adaptive_positions(f, 20).collect())
     assert len(got) == 20 and got[0] == 0 and got[-1] == 59
+
+
+def random_predictions(spark, n=700, seed=3):
+    import numpy as np
+
+    r = np.random.default_rng(seed)
+    label = r.choice(["authentic", "generated", "manipulated"], n)
+    g, m = r.random(n) * 0.6 + 0.4 * (label == "generated"), r.random(n) * 0.6 + 0.4 * (label == "manipulated")
+    area = np.where(label == "manipulated", 0.2 + 0.8 * r.random(n), r.random(n) ** 3)
+    cols = [label, g, m, area, r.random(n) * 0.2, r.random(n) < 0.8]
+    rows = [(str(a), float(b), None if i % 11 == 0 else float(c), float(d), float(e), bool(f), False) for i, (a, b, c, d, e, f) in enumerate(zip(*cols))]
+    schema = "label string, generation_score double, manipulation_score double, predicted_region_area_ratio double, view_score_range double, localized_or_persistent_support boolean, force_inconclusive boolean"
+    return rows, spark.createDataFrame(rows, schema)
+
+
+def test_lower_thresholds_are_exact_above_any_size(spark):
+    import numpy as np
+
+    rows, preds = random_predictions(spark)
+    both = [r for r in rows if r[2] is not None]
+    g, m, syn = np.array([r[1] for r in both]), np.array([r[2] for r in both]), np.array([r[0] != "authentic" for r in both])
+    limit = 0.02 * sum(r[0] != "authentic" for r in rows)
+    want = min((-int(c.sum()), a, b) for a in g for b in m if (c := (g <= a) & (m <= b)).any() and (c & syn).sum() <= limit)
+    for grid in (7, 256):
+        r = calibration.lower_thresholds(preds, 0.02, grid=grid).first()
+        assert (-r["coverage"], r["generation_lower"], r["manipulation_lower"], r["exact"]) == (*want, True)
+
+
+def test_localized_rule_is_exact_above_any_number_of_areas(spark):
+    import numpy as np
+
+    rows, preds = random_predictions(spark, 1300, 5)
+    scored = [r for r in rows if r[2] is not None]
+    total = {k: sum(r[0] == k for r in scored) for k in ("authentic", "generated", "manipulated")}
+    e = sorted((r for r in scored if r[5] and r[4] <= 0.18), key=lambda r: -r[2])
+    area, score = np.array([r[3] for r in e]), np.array([r[2] for r in e])
+    is_kind = {k: np.array([r[0] == k for r in e]) for k in total}
+    best = None
+    for a in {0.0, *[r[3] for r in scored]}:
+        c = {k: (v & (area >= a)).cumsum() for k, v in is_kind.items()}
+        for i in np.flatnonzero(area >= a):
+            auth, gen, man = (int(c[k][i]) for k in ("authentic", "generated", "manipulated"))
+            n = auth + gen + man
+            if man / n >= 0.9 and auth / total["authentic"] <= 0.02 and gen / total["generated"] <= 0.05:
+                key = (man, man / n, -(auth + gen), -a, score[i])
+                best = max(best, key) if best else key
+    for grid in (7, 256):
+        r = calibration.localized_rule(preds, 0.9, 0.02, 0.05, 0.18, grid=grid).first()
+        assert (r["true_manipulated"], r["precision"], -r["warnings"], -r["area"], r["score"]) == best
