@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Generators that may be in several splits.
@@ -32,13 +32,15 @@ def manifest_leakage(manifest: DataFrame) -> DataFrame:
 
 
 def duplicate_groups(prints: DataFrame, key: str, paths: int = 20) -> DataFrame:
-    """(key, splits, count, paths) of keys that more than one split holds; the first paths by name.
+    """(key, splits, count, paths) of keys that more than one split holds; the first paths by name, as a report.
 
-    Paths are thinned to the first few of each split before they are gathered, so a huge group is a short list.
+    Paths are thinned to the first few of each key before they are gathered, so a huge group is a short list.
     """
-    by_split = prints.groupBy(key, "split").agg(F.count("*").alias("n"), F.expr(f"slice(array_sort(collect_list(path)), 1, {paths})").alias("p"))
-    out = by_split.groupBy(key).agg(F.array_sort(F.collect_list("split")).alias("splits"), F.sum("n").alias("count"), F.flatten(F.collect_list("p")).alias("p"))
-    return out.filter(F.size("splits") > 1).select(key, "splits", "count", F.slice(F.array_sort("p"), 1, paths).alias("paths"))
+    by_split = prints.groupBy(key, "split").agg(F.count("*").alias("n"))
+    out = by_split.groupBy(key).agg(F.array_sort(F.collect_list("split")).alias("splits"), F.sum("n").alias("count")).filter(F.size("splits") > 1)
+    named = prints.filter("path IS NOT NULL").select(F.col(key).alias("k"), "path").withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("path")))
+    named = named.filter(F.col("r") <= paths).groupBy("k").agg(F.array_sort(F.collect_list("path")).alias("paths"))
+    return out.join(named, F.col(key).eqNullSafe(F.col("k")), "left").select(key, "splits", "count", F.coalesce("paths", F.array().cast("array<string>")).alias("paths"))
 
 
 def within_split_duplicates(prints: DataFrame, key: str) -> DataFrame:
@@ -68,11 +70,15 @@ def hamming_near_match(prints: DataFrame, max_distance: int = 4) -> DataFrame:
     return out.select(F.least("pa", "pb").alias("path_a"), F.greatest("pa", "pb").alias("path_b"), "distance").distinct()
 
 
-def exclude_leakage(samples: DataFrame, groups: DataFrame, split: str) -> DataFrame:
-    """samples without those of the split whose path a cross-split group names; case and slashes do not count."""
+def exclude_leakage(samples: DataFrame, prints: DataFrame, key: str, split: str) -> DataFrame:
+    """samples of the split without those whose key more than one split of prints holds, or whose path a print of such a
+    key has; case and slashes of paths do not count. Groups of any size are excluded whole.
+    """
     norm = lambda c: F.lower(F.replace(c, F.lit("/"), F.lit("\\")))
-    bad = groups.select(F.explode("paths").alias("bad")).select(norm(F.col("bad")).alias("bad")).distinct()
-    return samples.filter(F.col("split") == split).join(bad.hint("merge"), norm(F.col("path")) == F.col("bad"), "left_anti")
+    leaking = prints.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("bad_key")).agg(F.min("split").alias("a"), F.max("split").alias("b")).filter("a <> b").select("bad_key")
+    bad = prints.join(leaking, F.col(key) == F.col("bad_key"), "left_semi").select(norm(F.col("path")).alias("bad")).distinct()
+    kept = samples.filter(F.col("split") == split).join(leaking, F.col(key) == F.col("bad_key"), "left_anti")
+    return kept.join(bad, norm(F.col("path")) == F.col("bad"), "left_anti")
 
 
 def parent_lineage(manifest: DataFrame) -> DataFrame:

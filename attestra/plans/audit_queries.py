@@ -60,8 +60,7 @@ def hamming_near_match(prints):
 SELECT path, class_label FROM manifest WHERE split = 'locked_test' AND path NOT IN (SELECT p FROM bad)""",
 )
 def leakage_excluded(manifest):
-    groups = audit.duplicate_groups(manifest, "sha256").select("paths")
-    return audit.exclude_leakage(manifest, groups, "locked_test").select("path", "class_label")
+    return audit.exclude_leakage(manifest, manifest, "sha256", "locked_test").select("path", "class_label")
 
 
 @query(

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from attestra.functions import scores
-from attestra.operators import calibration, decision, evaluation, series, splits
+from attestra.operators import audit, calibration, decision, evaluation, series, splits
 
 POLICY = "SELECT 0.15e0 AS generation_lower, 0.95e0 AS generation_upper, 0.15e0 AS manipulation_lower, 0.95e0 AS manipulation_upper, 0.18e0 AS max_view_range, 0.30e0 AS max_window_range, 224 AS minimum_short_side, 8 AS minimum_frames, true AS generation_enabled, true AS manipulation_enabled"
 
@@ -133,3 +133,14 @@ def test_localized_rule_is_exact_above_any_number_of_areas(spark):
     for grid in (7, 256):
         r = calibration.localized_rule(preds, 0.9, 0.02, 0.05, 0.18, grid=grid).first()
         assert (r["true_manipulated"], r["precision"], -r["warnings"], -r["area"], r["score"]) == best
+
+
+def test_large_leaking_group_is_excluded_whole(spark):
+    from attestra.plans import audit_queries
+
+    rows = [(f"doc/{i:03}", "h", "train" if i < 40 else "locked_test", "x") for i in range(60)]
+    rows += [("doc/own", "k", "locked_test", "x"), ("DOC\\001", "m", "locked_test", "x"), ("doc/none", None, "locked_test", "x"), ("doc/none2", None, "train", "x")]
+    manifest = spark.createDataFrame(rows, "path string, sha256 string, split string, class_label string")
+    assert sorted(r["path"] for r in audit_queries.leakage_excluded(manifest).collect()) == ["doc/none", "doc/own"]
+    groups = {r["sha256"]: r for r in audit.duplicate_groups(manifest, "sha256").collect()}
+    assert groups["h"]["paths"] == [f"doc/{i:03}" for i in range(20)] and groups["h"]["count"] == 60 and set(groups) == {"h", None}
