@@ -121,6 +121,17 @@ def unique_in_order(messages: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(messages, lambda m: F.trim(m)), lambda m: m != ""))
 
 
+def unique_messages(rows: DataFrame, key: str, at: str, message: str) -> DataFrame:
+    """(key, messages) of each key: its distinct trimmed non-empty messages in the order of their first place, over all rows.
+
+    Rows are added up by message before anything is gathered, so a list is as long as there are distinct messages.
+    """
+    text = F.regexp_replace(message, r"(?U)^\s+|\s+$", "")
+    first = rows.select(key, F.col(at).alias("at"), text.alias("m")).groupBy(key, "m").agg(F.min("at").alias("at"))
+    listed = F.transform(F.array_sort(F.collect_list(F.when(F.col("m") != "", F.struct("at", "m")))), lambda x: x["m"])
+    return first.groupBy(key).agg(listed.alias("messages"))
+
+
 def source_match_tier(full: Column, partial: Column, pages: Column, similar: Column) -> Column:
     """(status, confidence, score, matched) by the best kind of match."""
     out = lambda status, confidence, score, n: F.struct(F.lit(status).alias("status"), F.lit(confidence).alias("confidence"), F.lit(score).alias("score"), n.cast("long").alias("matched"))

@@ -121,6 +121,11 @@ def messages_unique(frames):
     return rows.select("video_id", claims.unique_in_order(F.concat("m", F.array(F.lit(" ")))).alias("messages"))
 
 
+@query("frames", "SELECT video_id, list(m ORDER BY f, m) AS messages FROM (SELECT video_id, trim(warning) AS m, min(frame_index) AS f FROM frames WHERE trim(warning) <> '' GROUP BY ALL) GROUP BY video_id")
+def messages_unique_all(frames):
+    return claims.unique_messages(frames, "video_id", "frame_index", "warning")
+
+
 @query("image_stats", "SELECT media_id, CASE WHEN s >= 80 THEN 'Likely trustworthy' WHEN s >= 60 THEN 'Needs light verification' WHEN s >= 40 THEN 'Suspicious / verify before sharing' ELSE 'Do not share until verified' END AS verdict FROM (SELECT media_id, blur AS s FROM image_stats)")
 def risk_band(image_stats):
     return image_stats.select("media_id", claims.risk_verdict(F.col("blur")).alias("verdict"))

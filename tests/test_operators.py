@@ -144,3 +144,12 @@ def test_large_leaking_group_is_excluded_whole(spark):
     assert sorted(r["path"] for r in audit_queries.leakage_excluded(manifest).collect()) == ["doc/none", "doc/own"]
     groups = {r["sha256"]: r for r in audit.duplicate_groups(manifest, "sha256").collect()}
     assert groups["h"]["paths"] == [f"doc/{i:03}" for i in range(20)] and groups["h"]["count"] == 60 and set(groups) == {"h", None}
+
+
+def test_messages_of_late_frames_are_kept(spark):
+    from attestra.plans import claims_queries
+
+    rows = [(1, i, " a " if i % 2 else "b\t") for i in range(12)] + [(1, 12, "late"), (1, 13, " "), (1, 14, None), (2, 0, "")]
+    frames = spark.createDataFrame(rows, "video_id long, frame_index int, warning string")
+    got = {r["video_id"]: r["messages"] for r in claims_queries.messages_unique_all(frames).collect()}
+    assert got == {1: ["b", "a", "late"], 2: []}
