@@ -73,6 +73,7 @@ class PieceModel:
         self.scores = {p: -math.log(r + OFFSET) - total for r, p in enumerate(self.ids)}
         self.bytes = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.of_byte = {i: b for b, i in enumerate(self.bytes)}
+        self.raw = [bytes([self.of_byte[i]]) if i in self.of_byte else p.replace(SPACE_MARK, " ").encode("utf-8") for i, p in enumerate(self.pieces)]
         self.byte_score = -math.log(len(plain) + OFFSET) - total - 1
         #: A tree of the pieces' characters: character -> [score or None, tree of what follows or None].
         self.tree: dict[str, list] = {}
@@ -235,6 +236,10 @@ class PieceModel:
                 raw.append(b)
         return raw.decode("utf-8", "surrogatepass").removeprefix(" ")
 
+    def gives(self, ids: list[int], text: str) -> bool:
+        """Whether ids decode to the text."""
+        return b"".join(map(self.raw.__getitem__, ids)) == (" " + text).encode("utf-8", "surrogatepass")
+
 
 _MODELS: dict[str, PieceModel] = {}
 
@@ -246,9 +251,42 @@ def piece_model(model_file: str) -> PieceModel:
     return _MODELS[model_file]
 
 
-def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N_BEST, model_file: str = MODEL) -> DataFrame:
-    """(id, ids, scores, others) of each row: the best segmentation's piece ids, the n best's scores, and how many
-    pieces each of the others has.
+#: A stretch of the best segmentation that another one has otherwise: its first place, its number of ids, and the ids instead.
+Stretch = tuple[int, int, tuple[int, ...]]
+_OTHERS = "array<array<struct<start:int,length:int,ids:array<int>>>>"
+_OTHERS_ARROW = pa.list_(pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("ids", pa.list_(pa.int32()))])))
+
+
+def stretches(found: list[Best], chosen: dict[int, tuple[int, ...]]) -> list[Stretch]:
+    """Where a segmentation differs from the best one, in order; equal ids at both ends of a part are left out."""
+    out, at, seen = [], 0, 0
+    for i in sorted(chosen):
+        at += sum(len(f[0]) for f in found[seen:i])
+        seen = i
+        old, new, a, b = found[i][0], chosen[i], 0, 0
+        least = min(len(old), len(new))
+        while a < least and old[a] == new[a]:
+            a += 1
+        while b < least - a and old[-1 - b] == new[-1 - b]:
+            b += 1
+        out.append((at + a, len(old) - a - b, new[a : len(new) - b]))
+    return out
+
+
+def restored(ids: list[int], other: list[Stretch]) -> list[int]:
+    """The ids of a segmentation from those of the best one and its stretches."""
+    out, done = [], 0
+    for start, length, instead in other:
+        out += ids[done:start]
+        out += instead
+        done = start + length
+    return out + list(ids[done:])
+
+
+def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N_BEST, model_file: str = MODEL, verify: bool = False) -> DataFrame:
+    """(id, ids, scores, n_pieces, others) of each row: the best segmentation's piece ids, the n best's scores and numbers of
+    pieces, and for the second to the n-th the stretches in which they differ from the best; all_segmentations() and
+    decode_segmentations() restore them. verify adds decodes: whether each, restored so, decodes to the text.
 
     Whole texts; a null text is an empty one, whose segmentation is that of the leading space alone. Equal rows get
     equal results. A row's work and memory grow with its text's length; a worker also keeps CACHE chunks.
@@ -259,14 +297,20 @@ def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for whole in batches:
             for start in range(0, whole.num_rows, 500):
                 batch = whole.slice(start, 500)
-                ids, scores, sizes = [], [], []
+                ids, scores, sizes, others, decodes = [], [], [], [], []
                 for text in batch.column(1):
-                    found, ways = model.ways(text.as_py() or "", n)
+                    text = text.as_py() or ""
+                    found, ways = model.ways(text, n)
                     best = array("i", chain.from_iterable(map(itemgetter(0), found)))
                     total = sum(map(itemgetter(1), found))
                     ids.append(pa.array(best, pa.int32()))
                     scores.append([total - loss for loss, _ in ways])
                     sizes.append([len(best) + sum(len(x) - len(found[i][0]) for i, x in chosen.items()) for _, chosen in ways])
+                    rest = [stretches(found, chosen) for _, chosen in ways[1:]]
+                    others.append([[{"start": a, "length": k, "ids": x} for a, k, x in other] for other in rest])
+                    if verify:
+                        best = best.tolist()
+                        decodes.append([model.gives(best, text), *[model.gives(restored(best, other), text) for other in rest]])
                 offsets = [0]
                 for x in ids:
                     offsets.append(offsets[-1] + len(x))
@@ -276,13 +320,16 @@ def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                         pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.concat_arrays(ids)),
                         pa.array(scores, pa.list_(pa.float64())),
                         pa.array(sizes, pa.list_(pa.int32())),
+                        pa.array(others, _OTHERS_ARROW),
+                        *([pa.array(decodes, pa.list_(pa.bool_()))] if verify else []),
                     ],
-                    names=[id_col, "ids", "scores", "n_pieces"],
+                    names=[id_col, "ids", "scores", "n_pieces", "others", *(["decodes"] if verify else [])],
                 )
 
     ship_package(docs.sparkSession)
     return docs.select(id_col, text_col).mapInArrow(
-        encode, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, ids array<int>, scores array<double>, n_pieces array<int>"
+        encode,
+        f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, ids array<int>, scores array<double>, n_pieces array<int>, others {_OTHERS}" + (", decodes array<boolean>" if verify else ""),
     )
 
 
@@ -299,6 +346,33 @@ def decode_pieces(encoded: DataFrame, id_col: str = "doc_id", model_file: str =
     return encoded.select(id_col, "ids").mapInArrow(decode, f"`{id_col}` {encoded.schema[id_col].dataType.simpleString()}, text string")
 
 
+def _of_all(encoded: DataFrame, id_col: str, name: str, kind: str, arrow: pa.DataType, make: Callable[[list[int]], object]) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 500):
+                batch = whole.slice(start, 500)
+                out = []
+                for ids, others in zip(batch.column(1), batch.column(2)):
+                    ids = ids.as_py()
+                    rest = [[(x["start"], x["length"], x["ids"]) for x in other] for other in others.as_py() or []]
+                    out.append(None if ids is None else [make(ids), *[make(restored(ids, other)) for other in rest]])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, arrow)], names=[id_col, name])
+
+    ship_package(encoded.sparkSession)
+    return encoded.select(id_col, "ids", "others").mapInArrow(run, f"`{id_col}` {encoded.schema[id_col].dataType.simpleString()}, {name} {kind}")
+
+
+def all_segmentations(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, segmentations): the piece ids of each of the n best, best first, from (id, ids, others)."""
+    return _of_all(encoded, id_col, "segmentations", "array<array<int>>", pa.list_(pa.list_(pa.int32())), lambda ids: ids)
+
+
+def decode_segmentations(encoded: DataFrame, id_col: str = "doc_id", model_file: str = MODEL) -> DataFrame:
+    """(id, texts): the text of each of the n best, best first, from (id, ids, others)."""
+    return _of_all(encoded, id_col, "texts", "array<string>", pa.list_(pa.string()), lambda ids: piece_model(model_file).decode(ids))
+
+
 def piece_report(docs: DataFrame) -> DataFrame:
-    """One row for each document: doc_id, ids (best segmentation), scores and n_pieces of the N_BEST best."""
-    return encode_pieces(docs).select("doc_id", "ids", F.transform("scores", lambda s: F.round(s, 6)).alias("scores"), "n_pieces")
+    """One row for each document: doc_id, ids (best segmentation), scores and n_pieces of the N_BEST best, others (where the
+    second to the last differ from the best), decodes (whether each decodes to the text)."""
+    return encode_pieces(docs, verify=True).select("doc_id", "ids", F.transform("scores", lambda s: F.round(s, 6)).alias("scores"), "n_pieces", "others", "decodes")

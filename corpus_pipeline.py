@@ -35,7 +35,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def segmentation(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids of the best segmentation's pieces, scores and n_pieces of the n best."""
+    """doc_id, ids of the best segmentation's pieces, scores and n_pieces of the n best, others: where those differ from the best."""
     return encode_pieces(docs)
 
 

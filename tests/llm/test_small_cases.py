@@ -219,3 +219,19 @@ def test_language(spark):
     assert all(out[i]["lang_pred"] == ("de" if i < 40 else "en") for i in range(80))
     assert (out[80]["lang_pred"], out[81]["lang_pred"], out[82]["lang_pred"]) == ("und", "und", "de")
     assert {r["lang_pred"] for r in language_id.language_report(frame.filter("false").unionByName(frame.filter("doc_id = 80"))).collect()} == {"und"}
+
+
+def test_all_segmentations_come_back(spark):
+    model = piece_lattice.piece_model(piece_lattice.MODEL)
+    texts = [None, "", " \n\t ", "a", "é ü ▁ 日本  ", "a\r\nb\n\nc", "unbelievable reconsiderations of a place", "\U0001f600\u00e9 x\ny  z", "w" * 70]
+    given = docs(spark, texts)
+    out = piece_lattice.encode_pieces(given, verify=True).cache()
+    all_ids = {r["doc_id"]: r["segmentations"] for r in piece_lattice.all_segmentations(out).collect()}
+    decoded = {r["doc_id"]: r["texts"] for r in piece_lattice.decode_segmentations(out).collect()}
+    for r in given.join(out, "doc_id").collect():
+        text = r["text"] or ""
+        want = [ids for _, ids in model.encode(text)]
+        assert all_ids[r["doc_id"]] == want and decoded[r["doc_id"]] == [text] * len(want)
+        assert r["decodes"] == [True] * len(want) and r["n_pieces"] == [len(x) for x in want]
+    assert max(map(len, all_ids.values())) == piece_lattice.N_BEST
+    assert {"others", "decodes"} <= set(piece_lattice.piece_report(given).columns)
