@@ -6,8 +6,9 @@ import heapq
 import math
 import re
 from array import array
-from collections.abc import Callable, Iterator
-from itertools import chain
+from bisect import insort
+from collections.abc import Callable, Iterator, Sequence
+from itertools import chain, islice
 from operator import itemgetter
 
 import numpy as np
@@ -15,14 +16,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attestra.llm.text import small_slices
 from attestra.shipping import ship_package
 
 #: Segmentations of a text, best first.
 N_BEST = 4
 #: The model's place; a parameter of every function here. The file is read by each Python worker.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Chunks whose best segmentation a worker remembers: those met twice, and those met once of late.
-CACHE, YOUNG = 400_000, 150_000
+#: Chunks after which a worker starts a new generation of remembered segmentations (it keeps two), and the longest chunk kept.
+CACHE, KEPT_CHARS = 80_000, 64
+#: Characters of a chunk from which numbers of its places are packed.
+LONG = 4_096
 #: Zipf-Mandelbrot offset: a piece of rank r has probability in proportion to 1 / (r + OFFSET).
 OFFSET = 10
 
@@ -31,26 +35,8 @@ Arc = tuple[int, float, tuple[int, ...]]  # where it ends, its score, its piece
 
 
 Best = tuple[tuple[int, ...], float, float]  # ids, score, distance to the second best
-
-
-class _Chunks(dict):
-    """chunk -> its best segmentation, for chunks met twice. What was met once waits in `young`, which is emptied when it
-    is full, so the many chunks that never come back take no lasting room."""
-
-    def __init__(self, segment: Callable[[str], Best]):
-        self.segment, self.young = segment, {}
-
-    def __missing__(self, chunk: str) -> Best:
-        young = self.young
-        found = young.get(chunk)
-        if found is None:
-            found = self.segment(chunk)
-            if len(young) >= YOUNG:
-                young.clear()
-            young[chunk] = found
-        elif len(self) < CACHE:
-            self[chunk] = young.pop(chunk)
-        return found
+#: A stretch of the best segmentation that another one has otherwise: its first place, its number of ids, and the ids instead.
+Stretch = tuple[int, int, tuple[int, ...]]
 
 
 class PieceModel:
@@ -76,19 +62,47 @@ class PieceModel:
         self.raw = [bytes([self.of_byte[i]]) if i in self.of_byte else p.replace(SPACE_MARK, " ").encode("utf-8") for i, p in enumerate(self.pieces)]
         self.byte_score = -math.log(len(plain) + OFFSET) - total - 1
         #: A tree of the pieces' characters: character -> [score or None, tree of what follows or None].
-        self.tree: dict[str, list] = {}
+        self.tree = self._tree(lambda piece: piece)
+        #: The same of the pieces read from their ends.
+        self.back = self._tree(lambda piece: piece[::-1])
+        self._number()
+        #: chunk -> its best segmentation, of late and of the generation before; chunk -> its n best.
+        self.known: dict[str, Best] = {}
+        self.older: dict[str, Best] = {}
+        self.ranked: dict[tuple[str, int], list] = {}
+        # A line feed and a space after another character are never inside a piece: all segmentations part there.
+        inside = [p for p in self.ids if "\n" in p or " " in p.lstrip(" ")]
+        self.chunks = re.compile(r"\n| *[^ \n]+| +").findall if not inside else (lambda text: [text])
+
+    def _tree(self, read: Callable[[str], str]) -> dict[str, list]:
+        tree: dict[str, list] = {}
         for piece, score in self.scores.items():
-            level = self.tree
-            for c in piece[:-1]:
+            level, way = tree, read(piece)
+            for c in way[:-1]:
                 node = level.setdefault(c, [None, None])
                 if node[1] is None:
                     node[1] = {}
                 level = node[1]
-            level.setdefault(piece[-1], [None, None])[0] = score
-        self.cache = _Chunks(self.segment)
-        # A line feed and a space after another character are never inside a piece: all segmentations part there.
-        inside = [p for p in self.ids if "\n" in p or " " in p.lstrip(" ")]
-        self.chunks = re.compile(r"\n| *[^ \n]+| +").findall if not inside else (lambda text: [text])
+            level.setdefault(way[-1], [None, None])[0] = score
+        return tree
+
+    def _number(self) -> None:
+        """The pieces' tree as arrays, for many chunks at once: column of a character, (node, column) -> node, and each
+        node's score and piece id."""
+        letters = sorted({c for p in self.ids for c in p})
+        self.column = np.full(0x110000, -1, dtype=np.int32)
+        self.column[[ord(c) for c in letters]] = np.arange(len(letters))
+        self.wide = len(letters)
+        nodes, steps = {"": 0}, {}
+        for piece in self.ids:
+            for k in range(1, len(piece) + 1):
+                if piece[:k] not in nodes:
+                    nodes[piece[:k]] = len(nodes)
+                    steps[nodes[piece[: k - 1]] * self.wide + int(self.column[ord(piece[k - 1])])] = nodes[piece[:k]]
+        self.node_score = np.array([self.scores.get(p, math.nan) for p in nodes])
+        self.node_id = np.array([self.ids.get(p, -1) for p in nodes], dtype=np.int32)
+        self.step_key = np.array(sorted(steps), dtype=np.int64)
+        self.step_to = np.array([steps[k] for k in sorted(steps)], dtype=np.int32)
 
     def arcs(self, chunk: str) -> list[list[Arc]]:
         """For each place, the arcs that start there."""
@@ -106,27 +120,30 @@ class PieceModel:
             out.append(here)
         return out
 
-    @staticmethod
-    def forward(arcs: list[list[Arc]]) -> tuple[list[float], list[tuple[int, Arc] | None]]:
-        """Viterbi: the best score of a path from the start to each place, and the last arc of that path."""
-        best, last = [0.0] + [-math.inf] * len(arcs), [None] * (len(arcs) + 1)
-        for i, here in enumerate(arcs):
-            b = best[i]
-            for arc in here:
-                s = b + arc[1]
-                if s > best[arc[0]]:
-                    best[arc[0]], last[arc[0]] = s, (i, arc)
-        return best, last
+    def into(self, chunk: str, at: int) -> list[tuple[int, float]]:
+        """(start, score) of each arc that ends at a place, shortest first."""
+        out, level, i = [], self.back, at
+        while level is not None and i and (node := level.get(chunk[i - 1])) is not None:
+            i -= 1
+            score, level = node
+            if score is not None:
+                out.append((i, score))
+        if not out or out[0][0] != at - 1:
+            out.insert(0, (at - 1, self.byte_score * len(chunk[at - 1].encode("utf-8", "surrogatepass"))))
+        return out
 
-    def segment(self, chunk: str) -> Best:
-        """Ids of the best segmentation, its score, and how far below it the second best is (inf: there is none).
+    def forward(self, chunk: str) -> tuple[Sequence[float], Sequence[float], Sequence[int]]:
+        """Viterbi: for each place the best and the second best score of a way there from the start, and the start of the
+        best one's last arc.
 
-        One forward pass keeps the two best scores of each place: a place's second best either ends by another arc than
-        its best, or prolongs the second best of the place where that arc starts.
+        A place's second best either ends by another arc than its best, or prolongs the second best of the place where
+        that arc starts.
         """
         n, tree = len(chunk), self.tree
         none = -math.inf
         best, second, last = [none] * (n + 1), [none] * (n + 1), [0] * (n + 1)
+        if n > LONG:  # packed numbers: 20 bytes a place
+            best, second, last = array("d", best), array("d", second), array("i", last)
         best[0] = 0.0
         for i in range(n):
             at, at2, level, j = best[i], second[i], tree, i
@@ -152,10 +169,14 @@ class PieceModel:
                 if level is None or j == n:
                     break
                 node = level.get(chunk[j])
+        return best, second, last
+
+    def piece_ids(self, chunk: str, places: Sequence[int]) -> tuple[int, ...]:
+        """Ids of the pieces between places, which run from the chunk's end to its start."""
         ids: list[int] = []
-        j, own = n, self.ids.get
-        while j:
-            i = last[j]
+        own = self.ids.get
+        j = places[0]
+        for i in islice(places, 1, None):
             piece = own(chunk[i:j])
             if piece is None:
                 ids.extend(self.bytes[x] for x in reversed(chunk[i:j].encode("utf-8", "surrogatepass")))
@@ -163,55 +184,158 @@ class PieceModel:
                 ids.append(piece)
             j = i
         ids.reverse()
-        return tuple(ids), best[n], best[n] - second[n]
+        return tuple(ids)
 
-    def n_best(self, chunk: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The n best segmentations with their scores, best first; ties go to the smaller ids.
+    def segment(self, chunk: str) -> Best:
+        """Ids of the best segmentation, its score, and how far below it the second best is (inf: there is none)."""
+        best, second, last = self.forward(chunk)
+        places = [len(chunk)]
+        while places[-1]:
+            places.append(last[places[-1]])
+        return self.piece_ids(chunk, places), best[-1], best[-1] - second[-1]
+
+    def segment_many(self, chunks: list[str]) -> list[Best]:
+        """segment() of many short chunks, place by place over all of them: the same sums in the same order."""
+        n, size = len(chunks), np.fromiter(map(len, chunks), dtype=np.int64, count=len(chunks))
+        width = int(size.max())
+        code = np.frombuffer("".join(c.ljust(width) for c in chunks).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(n, width).T
+        column = self.column[code]
+        by_bytes = self.byte_score * (1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))
+        best, second = np.full((width + 1, n), -np.inf), np.full((width + 1, n), -np.inf)
+        last, node_of = np.zeros((width + 1, n), dtype=np.int16), np.full((width + 1, n), -1, dtype=np.int32)
+        best[0] = 0.0
+
+        def relax(rows: np.ndarray, start: int, end: int, score: np.ndarray, nodes: np.ndarray | int) -> None:
+            whole, other = best[start, rows] + score, second[start, rows] + score
+            top = best[end, rows]
+            better = whole > top
+            second[end, rows] = np.where(better, np.maximum(top, other), np.maximum(second[end, rows], whole))
+            best[end, rows] = np.where(better, whole, top)
+            last[end, rows[better]] = start
+            node_of[end, rows[better]] = nodes[better] if isinstance(nodes, np.ndarray) else nodes
+
+        for i in range(width):
+            rows, end = np.flatnonzero(size > i), i
+            at = np.zeros(len(rows), dtype=np.int32)
+            while len(rows):
+                key = at.astype(np.int64) * self.wide + column[end, rows]
+                found = np.minimum(np.searchsorted(self.step_key, key), len(self.step_key) - 1)
+                there = (self.step_key[found] == key) & (column[end, rows] >= 0)
+                if end == i:  # a character without a piece of its own: its bytes
+                    lacks = rows[~there | np.isnan(self.node_score[self.step_to[found]])]
+                    if len(lacks):
+                        relax(lacks, i, i + 1, by_bytes[i, lacks], -1)
+                rows, at = rows[there], self.step_to[found[there]]
+                end += 1
+                score = self.node_score[at]
+                piece = ~np.isnan(score)
+                if piece.any():
+                    relax(rows[piece], i, end, score[piece], at[piece])
+                more = size[rows] > end
+                rows, at = rows[more], at[more]
+        place, steps, plain = size.copy(), [], np.ones(n, dtype=bool)
+        rows = np.arange(n)
+        while len(rows):
+            node = node_of[place[rows], rows]
+            plain[rows[node < 0]] = False
+            ids = np.full(n, -1, dtype=np.int32)
+            ids[rows] = self.node_id[node]
+            steps.append(ids)
+            place[rows] = last[place[rows], rows]
+            rows = rows[place[rows] > 0]
+        table = np.stack(steps[::-1], axis=1)
+        used = (table >= 0).sum(axis=1)
+        flat, ends = table[table >= 0].tolist(), np.cumsum(used).tolist()
+        top, gap = best[size, np.arange(n)].tolist(), (best[size, np.arange(n)] - second[size, np.arange(n)]).tolist()
+        out, begin = [], 0
+        for k, end in enumerate(ends):
+            if plain[k]:
+                out.append((tuple(flat[begin:end]), top[k], gap[k]))
+            else:
+                places = [len(chunks[k])]
+                while places[-1]:
+                    places.append(int(last[places[-1], k]))
+                out.append((self.piece_ids(chunks[k], places), top[k], gap[k]))
+            begin = end
+        return out
 
-        A* from the end of the chunk: a state is a place and the path from there to the end. The best score of any way
-        from the start to that place is the forward Viterbi score, which is exact, so states leave the queue in the order
-        of the best whole path through them, and each that reaches the start is the next best segmentation.
+    def learn(self, texts: list[list[str]]) -> None:
+        """Makes the best segmentations of all chunks of some texts known. Long chunks are to be forgotten by the caller."""
+        if len(self.known) > CACHE:
+            self.known, self.older, self.ranked = {}, self.known, {}
+        new = set().union(*texts) - self.known.keys()
+        again = new & self.older.keys()
+        self.known.update((c, self.older[c]) for c in again)
+        new = sorted(new - again, key=len)
+        short = [c for c in new if len(c) <= KEPT_CHARS]
+        for i in range(0, len(short), 8_192):
+            self.known.update(zip(short[i : i + 8_192], self.segment_many(short[i : i + 8_192]), strict=True))
+        self.long = new[len(short) :]
+        self.known.update((c, self.segment(c)) for c in self.long)
+
+    def forget_long(self) -> None:
+        for c in self.long:
+            del self.known[c]
+
+    def n_best(self, chunk: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
+        """The n best segmentations with their scores, best first. Of equal ones the one that leaves the best way nearer to
+        the chunk's end comes first.
+
+        A* from the end of the chunk: a state is a way from some place to the end, and the forward Viterbi score of that
+        place, which is exact, tells the best whole way through it. So a state that leaves the queue is followed along
+        the Viterbi arcs to the start, which gives the next best segmentation; each other arc into a place passed is a
+        new state. Each state stands for a whole way of its own, so a queue of as many states as ways are still wanted
+        is enough. A state is named by the way that it leaves, the places that it shares with it, and the start of its
+        first other arc: memory is the n ways' places and the Viterbi arrays, whatever the number of equal scores.
         """
-        arcs = self.arcs(chunk)
-        fore, _ = self.forward(arcs)
-        into: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(len(arcs) + 1)]
-        for i, here in enumerate(arcs):
-            for j, s, ids in here:
-                into[j].append((i, s, ids))
-        queue, out = [(-fore[len(arcs)], (), len(arcs), 0.0)], []
-        worst: list[float] = []  # costs of the n best whole paths that are sure to exist; no state over the last is needed
+        fore, _, last = self.forward(chunk)
+        queue: list[tuple[float, int, int, int, int, float]] = [(-fore[-1], 0, -1, 0, len(chunk), 0.0)]
+        ways: list[array] = []
+        out, made = [], 1
         while queue and len(out) < n:
-            cost, ids, at, done = heapq.heappop(queue)
-            if at == 0:
-                out.append((-cost, ids))
-                continue
-            for i, s, own in into[at]:
-                whole = -(fore[i] + s + done)
-                if len(worst) == n and whole > worst[-1] + 1e-9:
-                    continue
-                heapq.heappush(queue, (whole, own + ids, i, s + done))
-                if i == 0:
-                    worst = sorted([*worst, whole])[:n]
+            cost, _, parent, shared, at, done = queue.pop(0)
+            places = ways[parent][:shared] if parent >= 0 else array("i")
+            places.append(at)
+            room = n - len(out) - 1
+            del queue[room:]
+            while at:
+                step, own = last[at], 0.0
+                for i, s in self.into(chunk, at):
+                    if i == step:
+                        own = s
+                    elif room:
+                        whole = -(fore[i] + s + done)
+                        if len(queue) < room or whole < queue[-1][0]:
+                            insort(queue, (whole, made, len(ways), len(places), i, s + done))
+                            made += 1
+                            del queue[room:]
+                done += own
+                at = step
+                places.append(at)
+            ways.append(places)
+            out.append((-cost, self.piece_ids(chunk, places)))
         return out
 
-    def ways(self, text: str, n: int = N_BEST) -> tuple[list[Best], list[tuple[float, dict[int, tuple[int, ...]]]]]:
+    def ways(self, parts: list[str], n: int = N_BEST) -> tuple[list[Best], list[tuple[float, dict[int, tuple[int, ...]]]]]:
         """The best segmentation of each part of a whole text, and the n best of the whole: what each loses against the
-        best, and the parts in which it differs.
+        best, and the parts in which it differs. The parts are the text's chunks, which learn() has been given.
 
         Parts that pieces cannot cross are segmented apart. An n-best whole differs from the best in the n - 1 parts alone
         whose second best is nearest (each other part has n better ones before it), so only these are searched further,
         and their n-best lists are combined.
         """
-        parts = self.chunks(" " + text)
-        cache = self.cache
-        found = [cache[p] for p in parts]
+        found = list(map(self.known.__getitem__, parts))
         gaps = np.fromiter(map(itemgetter(2), found), dtype=np.float64, count=len(found))
         near = np.argsort(gaps, kind="stable")[: n - 1] if len(gaps) < 64 else (k := np.argpartition(gaps, n - 1)[:n])[np.lexsort((k, gaps[k]))][: n - 1]
         ways: list[tuple[float, dict[int, tuple[int, ...]]]] = [(0.0, {})]
         for i in near.tolist():
             if gaps[i] == math.inf:
                 break
-            options = self.n_best(parts[i], n)
+            options = self.ranked.get((parts[i], n))
+            if options is None:
+                options = self.n_best(parts[i], n)
+                if len(parts[i]) <= KEPT_CHARS and len(self.ranked) < CACHE:
+                    self.ranked[parts[i], n] = options
             ways = heapq.nsmallest(
                 n,
                 ((loss + options[0][0] - s, chosen if k == 0 else {**chosen, i: ids}) for loss, chosen in ways for k, (s, ids) in enumerate(options)),
@@ -221,7 +345,10 @@ class PieceModel:
 
     def encode(self, text: str, n: int = N_BEST) -> list[tuple[float, list[int]]]:
         """The n best segmentations of a whole text with their scores, best first."""
-        found, ways = self.ways(text, n)
+        parts = self.chunks(" " + text)
+        self.learn([parts])
+        found, ways = self.ways(parts, n)
+        self.forget_long()
         total = sum(f[1] for f in found)
         return [(total - loss, [x for i, f in enumerate(found) for x in chosen.get(i, f[0])]) for loss, chosen in ways]
 
@@ -240,6 +367,11 @@ class PieceModel:
         """Whether ids decode to the text."""
         return b"".join(map(self.raw.__getitem__, ids)) == (" " + text).encode("utf-8", "surrogatepass")
 
+    def same(self, ids: list[int], other: list[Stretch]) -> bool:
+        """Whether the stretches stand for the same bytes as the ids that they replace, so that both decode alike."""
+        raw = self.raw.__getitem__
+        return all(b"".join(map(raw, ids[start : start + length])) == b"".join(map(raw, instead)) for start, length, instead in other)
+
 
 _MODELS: dict[str, PieceModel] = {}
 
@@ -251,25 +383,22 @@ def piece_model(model_file: str) -> PieceModel:
     return _MODELS[model_file]
 
 
-#: A stretch of the best segmentation that another one has otherwise: its first place, its number of ids, and the ids instead.
-Stretch = tuple[int, int, tuple[int, ...]]
 _OTHERS = "array<array<struct<start:int,length:int,ids:array<int>>>>"
 _OTHERS_ARROW = pa.list_(pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("ids", pa.list_(pa.int32()))])))
 
 
-def stretches(found: list[Best], chosen: dict[int, tuple[int, ...]]) -> list[Stretch]:
-    """Where a segmentation differs from the best one, in order; equal ids at both ends of a part are left out."""
-    out, at, seen = [], 0, 0
+def stretches(found: list[Best], begins: np.ndarray, chosen: dict[int, tuple[int, ...]]) -> list[Stretch]:
+    """Where a segmentation differs from the best one, in order; equal ids at both ends of a part are left out. begins: the
+    place of each part's first id."""
+    out = []
     for i in sorted(chosen):
-        at += sum(len(f[0]) for f in found[seen:i])
-        seen = i
         old, new, a, b = found[i][0], chosen[i], 0, 0
         least = min(len(old), len(new))
         while a < least and old[a] == new[a]:
             a += 1
         while b < least - a and old[-1 - b] == new[-1 - b]:
             b += 1
-        out.append((at + a, len(old) - a - b, new[a : len(new) - b]))
+        out.append((int(begins[i]) + a, len(old) - a - b, new[a : len(new) - b]))
     return out
 
 
@@ -289,28 +418,35 @@ def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     decode_segmentations() restore them. verify adds decodes: whether each, restored so, decodes to the text.
 
     Whole texts; a null text is an empty one, whose segmentation is that of the leading space alone. Equal rows get
-    equal results. A row's work and memory grow with its text's length; a worker also keeps CACHE chunks.
+    equal results. A row's work and memory grow with its text's length, whatever the number of equal scores; a worker also
+    keeps two generations of about CACHE chunks. Scores are log-probabilities by rank (see PieceModel), since a
+    byte-pair model's own scores are merge ranks, whose sums say nothing of a whole segmentation.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_model(model_file)
         for whole in batches:
-            for start in range(0, whole.num_rows, 500):
-                batch = whole.slice(start, 500)
+            for batch in small_slices(whole, 1):
                 ids, scores, sizes, others, decodes = [], [], [], [], []
-                for text in batch.column(1):
-                    text = text.as_py() or ""
-                    found, ways = model.ways(text, n)
-                    best = array("i", chain.from_iterable(map(itemgetter(0), found)))
+                texts = [text or "" for text in batch.column(1).to_pylist()]
+                chunks = [model.chunks(" " + text) for text in texts]
+                model.learn(chunks)
+                for text, parts in zip(texts, chunks, strict=True):
+                    found, ways = model.ways(parts, n)
+                    sure = list(map(itemgetter(0), found))
+                    ends = np.cumsum(np.fromiter(map(len, sure), dtype=np.int64, count=len(sure)))
+                    best = list(chain.from_iterable(sure))
                     total = sum(map(itemgetter(1), found))
                     ids.append(pa.array(best, pa.int32()))
                     scores.append([total - loss for loss, _ in ways])
                     sizes.append([len(best) + sum(len(x) - len(found[i][0]) for i, x in chosen.items()) for _, chosen in ways])
-                    rest = [stretches(found, chosen) for _, chosen in ways[1:]]
+                    begins = np.concatenate([[0], ends[:-1]])
+                    rest = [stretches(found, begins, chosen) for _, chosen in ways[1:]]
                     others.append([[{"start": a, "length": k, "ids": x} for a, k, x in other] for other in rest])
                     if verify:
-                        best = best.tolist()
-                        decodes.append([model.gives(best, text), *[model.gives(restored(best, other), text) for other in rest]])
+                        whole_text = model.gives(best, text)
+                        decodes.append([whole_text, *[model.gives(restored(best, other), text) if not (whole_text and model.same(best, other)) else True for other in rest]])
+                model.forget_long()
                 offsets = [0]
                 for x in ids:
                     offsets.append(offsets[-1] + len(x))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,3 +29,14 @@ def without_spaces(c: Column) -> Column:
 
 def or_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
+
+
+def small_slices(batch: pa.RecordBatch, column: int, rows: int = 500, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most so many rows and, but for a single larger row, so many bytes of that column."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        end = min(max(start + 1, int(np.searchsorted(ends, before + size, side="right"))), start + rows, batch.num_rows)
+        yield batch.slice(start, end - start)
+        start = end

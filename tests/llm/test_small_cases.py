@@ -221,6 +221,31 @@ def test_language(spark):
     assert {r["lang_pred"] for r in language_id.language_report(frame.filter("false").unionByName(frame.filter("doc_id = 80"))).collect()} == {"und"}
 
 
+def test_long_unbroken_chunks(spark):
+    model = piece_lattice.piece_model(piece_lattice.MODEL)
+    r = random.Random(1)
+    for x in ("x" * 20_000, "x" * 1_000_000, "-" * 30_000, "".join(r.choice("abcdefgh") for _ in range(200_000))):
+        found = model.n_best(" " + x, 4)
+        assert len({ids for _, ids in found}) == 4 and sorted((s for s, _ in found), reverse=True) == pytest.approx([s for s, _ in found])
+        assert all(model.gives(list(ids), x) for _, ids in found)
+    short = model.n_best(" " + "x" * 9, 40)
+    arcs, ways = model.arcs(" " + "x" * 9), [(0, 0.0, ())]
+    whole = []
+    while ways:
+        at, score, ids = ways.pop()
+        whole += [(score, ids)] if at == 10 else []
+        ways += [(j, score + s, ids + own) for j, s, own in (arcs[at] if at < 10 else [])]
+    whole.sort(key=lambda w: -w[0])
+    assert [s for s, _ in short] == pytest.approx([s for s, _ in whole[:40]]) and {i for _, i in short} <= {i for _, i in whole}
+
+
+def test_many_chunks_at_once_equal_one_by_one():
+    model = piece_lattice.piece_model(piece_lattice.MODEL)
+    r = random.Random(2)
+    chunks = ["".join(r.choice("abetisn %é日\ud800▁") for _ in range(r.choice([1, 3, 9, 30]))) for _ in range(400)]
+    assert model.segment_many(chunks) == [model.segment(c) for c in chunks]
+
+
 def test_all_segmentations_come_back(spark):
     model = piece_lattice.piece_model(piece_lattice.MODEL)
     texts = [None, "", " \n\t ", "a", "é ü ▁ 日本  ", "a\r\nb\n\nc", "unbelievable reconsiderations of a place", "\U0001f600\u00e9 x\ny  z", "w" * 70]
