@@ -131,8 +131,7 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, window: int = WI
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs without the contaminated ones, all columns."""
     bad = contamination_report(docs, benchmark, window).filter("contaminated").select("doc_id", "text_hash").distinct()
-    keyed = docs.withColumn("text_hash", F.xxhash64("text")) if "text_hash" not in docs.columns else docs
-    return without_keys(keyed, ["doc_id", "text_hash"], bad).select(*docs.columns)
+    return without_keys(docs, [F.col("doc_id"), F.xxhash64("text")], bad)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

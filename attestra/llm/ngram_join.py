@@ -11,25 +11,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestra.llm.components import connected_components
-from attestra.llm.storage import key_bitmap, keep_possible, without_keys, written
+from attestra.llm.storage import Scratch, keep_possible, key_bitmap, without_keys
+from attestra.llm.text import small_slices
 from attestra.shipping import ship_package
 
 #: Words of a shingle. Two sets link when 4 * intersection >= 3 * union; what follows from that ratio is in `candidates`.
 SHINGLE = 5
 #: Blocks that a size band's sketch is cut into, as a share of the largest size in the band.
 BLOCKS = 0.4
-#: A shingle is common when at least so many different sets of one batch hold it; so many common shingles are sent out.
-COMMON_IN_BATCH, COMMON_SENT = 6, 500_000
-#: Further rounds of stars, before the candidates that are left are all compared.
-TURNS = 2
+#: A shingle is common when so many different sets of a stretch of COMMON_STRETCH shingles hold it; so many common ones are sent out.
+COMMON_IN_STRETCH, COMMON_STRETCH, COMMON_SENT = 6, 2_000_000, 500_000
+#: A signature that so many sets of one batch hold is dealt out, in pieces of as many rows, over up to SALTS tasks.
+HOT, SALTS = 64, 1_024
+#: Further rounds of stars; rounds in which each node left is compared with its nearest partner of one signature.
+TURNS, NEAREST = 2, 2
 #: Pairs of a signature up to which they are made in a join; larger ones are screened in blocks of at most BLOCK_ROWS nodes.
 SMALL, BLOCK_ROWS = 64, 2_048
 #: Sizes of linked sets are as 3 to 4 at most.
 SIZES_ALLOW = "4 * least({0}, {1}) >= 3 * greatest({0}, {1})"
 #: Members of a star that one task compares with the star's centre.
 STAR = 256
-#: Words whose hash a worker remembers.
-CACHE = 400_000
+#: Words whose hash a task remembers, and sets of which it knows that it has sent them.
+CACHE, SEEN = 50_000, 200_000
 
 _ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
 MULTIPLIERS = np.array(_ODD, dtype=np.uint64)
@@ -43,7 +46,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """word -> 64-bit hash, remembered for up to CACHE words."""
+    """word -> 64-bit hash, remembered for CACHE words."""
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
@@ -68,42 +71,78 @@ def shingle_set(text: str | None, hashes: WordHashes) -> np.ndarray:
 def dense_sketch(s: np.ndarray) -> np.ndarray:
     """Bit i: the parity of the number of shingles that hash to i. Sets differ in at least as many shingles as bits.
 
-    The sketch has the power of two over the set's size as bits, 64 at least, so unrelated sets of any size differ in
-    about half of their size. One of twice the bits folds to the smaller one by the exclusive or of its halves.
+    The sketch has two to four times the set's size as bits, 128 at least, so few of two sets' differences fall together.
+    One of twice the bits folds to the smaller one by the exclusive or of its halves.
     """
-    bits = max(64, 1 << len(s).bit_length())
+    bits = max(128, 2 << len(s).bit_length())
     counts = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits(counts.astype(np.uint8) & 1).view(np.int64)
 
 
+class _Seen(set):
+    """Nodes that a task has sent, SEEN at most; what is forgotten is sent again, which does no harm."""
+
+    def first(self, node: int) -> bool:
+        if node in self:
+            return False
+        if len(self) >= SEEN:
+            self.clear()
+        self.add(node)
+        return True
+
+
+DESCRIBED = "doc_id long, mark long, n long, node long, sketch array<long>, shingles binary, common long"
+
+
+def _described(ids, marks, n, nodes, sketches, sets, common) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [
+            ids,
+            marks,
+            pa.array(n, pa.int64()),
+            pa.array(nodes, pa.int64()),
+            pa.array(sketches, pa.list_(pa.int64())),
+            pa.array(sets, pa.binary()),
+            pa.array(common, pa.int64()),
+        ],
+        names=["doc_id", "mark", "n", "node", "sketch", "shingles", "common"],
+    )
+
+
+def _common(sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, common) of shingles that COMMON_IN_STRETCH of the sets hold."""
+    width = np.uint64((1 << 20) - 1)
+    every = np.concatenate(sets) if sets else np.empty(0, dtype=np.uint64)
+    heavy = np.bincount((every & width).astype(np.int64), minlength=int(width) + 1) >= COMMON_IN_STRETCH
+    found, times = np.unique(every[heavy[(every & width).astype(np.int64)]], return_counts=True)
+    found, times = found[times >= COMMON_IN_STRETCH], times[times >= COMMON_IN_STRETCH]
+    if len(found):
+        none = [None] * len(found)
+        yield _described(pa.array(none, pa.int64()), pa.array(none, pa.int64()), none, found.view(np.int64), none, none, times)
+
+
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, text_hash, n, node, sketch) of documents, and rows (node, common) of shingles common in a batch."""
-    hashes, width = WordHashes(), np.uint64((1 << 20) - 1)
-    for batch in batches:
-        ids, marks, texts = batch.column(0), batch.column(1), batch.column(2)
-        n, nodes, sketches, every, seen = [], [], [], [], set()
-        for text in texts:
-            s = shingle_set(text.as_py(), hashes)
-            n.append(len(s))
-            nodes.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None)
-            sketches.append(dense_sketch(s) if len(s) else None)
-            if nodes[-1] not in seen:
-                every.append(s)
-                seen.add(nodes[-1])
-        yield pa.RecordBatch.from_arrays(
-            [ids, marks, pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.list_(pa.int64())), pa.nulls(len(n), pa.int64())],
-            names=["doc_id", "text_hash", "n", "node", "sketch", "common"],
-        )
-        every = np.concatenate(every) if every else np.empty(0, dtype=np.uint64)
-        heavy = np.bincount((every & width).astype(np.int64), minlength=int(width) + 1) >= COMMON_IN_BATCH
-        found, times = np.unique(every[heavy[(every & width).astype(np.int64)]], return_counts=True)
-        found, times = found[times >= COMMON_IN_BATCH], times[times >= COMMON_IN_BATCH]
-        if len(found):
-            none = pa.nulls(len(found), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [none, none, none, pa.array(found.view(np.int64)), pa.nulls(len(found), pa.list_(pa.int64())), pa.array(times, pa.int64())],
-                names=["doc_id", "text_hash", "n", "node", "sketch", "common"],
-            )
+    """Rows of documents, whose sketch and shingles are null where the task has sent that set before, and rows
+    (node, common) of shingles common in a stretch."""
+    hashes, seen, every, held = WordHashes(), _Seen(), [], 0
+    for whole in batches:
+        for batch in small_slices(whole, 2):
+            n, nodes, sketches, sets = [], [], [], []
+            for text in batch.column(2):
+                s = shingle_set(text.as_py(), hashes)
+                n.append(len(s))
+                nodes.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None)
+                new = len(s) > 0 and seen.first(nodes[-1])
+                sketches.append(dense_sketch(s) if new else None)
+                sets.append(s.tobytes() if new else None)
+                if new:
+                    every.append(s)
+                    held += len(s)
+            yield _described(batch.column(0), batch.column(1), n, nodes, sketches, sets, [None] * len(n))
+            if held >= COMMON_STRETCH:
+                yield from _common(every)
+                every, held = [], 0
+    yield from _common(every)
 
 
 def _blocks(s: np.ndarray, k: int, tag: int, most: int) -> tuple[np.ndarray, bool]:
@@ -148,42 +187,63 @@ def signatures(s: np.ndarray, common: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
+def _dealt(sigs: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sig, salt, node) of a batch: salt 0, but for signatures that HOT nodes of the batch hold. Of those, stretches of HOT
+    nodes get a salt each, and one node, the hub, goes to all these stretches and to salt 0, so that all stay connected."""
+    salt = np.zeros(len(sigs), dtype=np.int32)
+    low = (sigs & np.uint64(0xFFFF)).astype(np.int64)
+    heavy = np.flatnonzero((np.bincount(low, minlength=1 << 16) >= HOT)[low])
+    if not len(heavy):
+        return sigs, salt, owner
+    heavy = heavy[np.lexsort((owner[heavy], sigs[heavy]))]
+    starts = np.flatnonzero(np.r_[True, sigs[heavy][1:] != sigs[heavy][:-1]])
+    more = []
+    for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(heavy)], strict=True):
+        if j - i >= HOT:
+            rows = heavy[i:j]
+            hub = rows[0]
+            first = int(mix(owner[hub : hub + 1].view(np.uint64))[0] % np.uint64(SALTS))
+            pieces = (first + np.arange(j - i) // HOT) % SALTS + 1
+            salt[rows[1:]] = pieces[1:]
+            more += [(sigs[hub], x, owner[hub]) for x in np.unique(pieces)]
+    if more:
+        sigs = np.concatenate([sigs, np.array([x[0] for x in more], dtype=np.uint64)])
+        salt = np.concatenate([salt, np.array([x[1] for x in more], dtype=np.int32)])
+        owner = np.concatenate([owner, np.array([x[2] for x in more], dtype=np.int64)])
+    return sigs, salt, owner
+
+
 def _signed(common: np.ndarray):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = WordHashes(), set()
-        for batch in batches:
-            sigs, nodes = [], []
-            for text in batch.column(0):
-                s = shingle_set(text.as_py(), hashes)
-                if not len(s):
-                    continue
-                node = xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
-                if node in seen:  # a copy of a set that this task has sent
-                    continue
-                seen.add(node)
-                sigs.append(signatures(s, common))
-                nodes.append(node)
-            if nodes:
-                owner = np.repeat(np.array(nodes, dtype=np.int64), [len(x) for x in sigs])
-                every = np.concatenate(sigs).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(every), pa.array(owner)], names=["sig", "node"])
+        seen = _Seen()
+        for whole in batches:
+            for batch in small_slices(whole, 1, rows=10_000, size=8 << 20):
+                sigs, nodes = [], []
+                for node, shingles in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    if seen.first(node):
+                        sigs.append(signatures(np.frombuffer(shingles.as_buffer(), dtype=np.uint64), common))
+                        nodes.append(node)
+                if nodes:
+                    owner = np.repeat(np.array(nodes, dtype=np.int64), [len(x) for x in sigs])
+                    sig, salt, owner = _dealt(np.concatenate(sigs), owner)
+                    yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(salt), pa.array(owner)], names=["sig", "salt", "node"])
 
     return emit
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (sig, node): (sig, center, member), the center being a signature's first node. Keeps one row."""
-    last_sig = last_node = center = None
+    """From rows sorted by (sig, salt, node): (sig, center, member), the center being the first node. Keeps one row."""
+    last = last_node = center = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        sig, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        new = np.r_[sig[0] != last_sig, sig[1:] != sig[:-1]]
+        sig, salt, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        new = np.r_[(sig[0], salt[0]) != last, (sig[1:] != sig[:-1]) | (salt[1:] != salt[:-1])]
         again = ~new & (node == np.r_[node[0] if last_node is None else last_node, node[:-1]])
         begins = np.maximum.accumulate(np.where(new, np.arange(len(sig)), -1))
         centers = np.where(begins >= 0, node[np.maximum(begins, 0)], 0 if center is None else center)
         keep = ~new & ~again
-        last_sig, last_node, center = sig[-1], node[-1], centers[-1]
+        last, last_node, center = (sig[-1], salt[-1]), node[-1], centers[-1]
         if keep.any():
             yield pa.RecordBatch.from_arrays(
                 [pa.array(sig[keep]), pa.array(centers[keep]), pa.array(node[keep])], names=["sig", "center", "member"]
@@ -191,17 +251,18 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (a, part, b, text) sorted with a's own row (b null) first: (a, b) that link. Keeps one set."""
-    hashes, key, own = WordHashes(), None, None
+    """From rows (a, part, b, shingles) sorted with a's own row (b null) first: (a, b) that link. Keeps one set."""
+    key, own = None, None
     for batch in batches:
         left, right = [], []
-        for a, part, b, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            s = shingle_set(text, hashes)
+        for a, part, b, shingles in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
+            s = np.frombuffer(shingles.as_buffer(), dtype=np.uint64)
             if b is None:
-                key, own = (a, part), s
+                key, own = (a, part), s.copy()
             elif key == (a, part):
-                shared = len(np.intersect1d(own, s, assume_unique=True))
-                if 4 * shared >= 3 * (len(own) + len(s) - shared) and shared:
+                at = np.minimum(np.searchsorted(own, s), len(own) - 1)
+                shared = int((own[at] == s).sum())
+                if 4 * shared >= 3 * (len(own) + len(s) - shared):
                     left.append(a)
                     right.append(b)
         if left:
@@ -209,15 +270,14 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (x, y) of nodes whose sizes and sketches allow a link, with what names their texts."""
-    own = ["rep", "mark", "n", "sketch"]
+    """Pairs (x, y) of nodes whose sizes and sketches allow a link."""
     for side in ("x", "y"):
-        pairs = pairs.join(nodes.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in own]).hint("merge"), side)
+        pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}")).hint("merge"), side)
     near = pairs.filter(SIZES_ALLOW.format("n_x", "n_y"))
     fold = "IF(size({0}) > size({1}), zip_with(slice({0}, 1, size({1})), slice({0}, size({1}) + 1, size({1})), (p, q) -> p ^ q), {0})"
     x, y = fold.format("sketch_x", "sketch_y"), fold.format("sketch_y", "sketch_x")
     apart = F.expr(f"aggregate(zip_with({x}, {y}, (p, q) -> bit_count(p ^ q)), 0, (total, d) -> total + d)")
-    return near.filter(7 * apart <= F.col("n_x") + F.col("n_y")).select("x", "y", "rep_x", "mark_x", "rep_y", "mark_y")
+    return near.filter(7 * apart <= F.col("n_x") + F.col("n_y")).select("x", "y")
 
 
 def _fold(sketches: np.ndarray, words: int) -> np.ndarray:
@@ -227,8 +287,9 @@ def _fold(sketches: np.ndarray, words: int) -> np.ndarray:
     return sketches
 
 
-def _near(own: list, other: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Nodes of own and of other that may link: in different components, of allowed sizes, their sketches near enough.
+def _near(own: list, other: list) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Nodes of own and of other that may link, in different components, of allowed sizes, their sketches near enough, and
+    how far apart these are as a share of both sizes.
 
     own and other: (node, n, label, sketch words, flat sketches) by sketch length, so that each block is a matrix.
     """
@@ -244,12 +305,14 @@ def _near(own: list, other: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
                 if not ok.any():
                     continue
                 apart = np.bitwise_count(a[i : i + step, None, :] ^ o[None, :, :]).sum(axis=2, dtype=np.int64)
-                x, y = np.nonzero(ok & (7 * apart <= ac[i : i + step, None] + oc))
+                both = ac[i : i + step, None] + oc
+                x, y = np.nonzero(ok & (7 * apart <= both))
                 if len(x):
-                    yield an[i : i + step][x], on[y]
+                    yield an[i : i + step][x], on[y], apart[x, y] / both[x, y]
 
 
 def _by_length(node: np.ndarray, n: np.ndarray, label: np.ndarray, flat: np.ndarray, starts: np.ndarray, words: np.ndarray) -> list:
+    """flat is unsigned: NumPy counts a negative number's bits on its absolute value."""
     out = []
     for w in np.unique(words):
         at = np.flatnonzero(words == w)
@@ -257,108 +320,133 @@ def _by_length(node: np.ndarray, n: np.ndarray, label: np.ndarray, flat: np.ndar
     return out
 
 
-def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _screen(nearest: bool):
     """From rows (sig, part, other, node, n, label, sketch), a part's own nodes (other = 0) before the ones that they meet:
-    pairs (x, y) that may link. Keeps the own nodes of one part, BLOCK_ROWS on average at most."""
-    key, own = None, []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        sig, part, other, node, n, label = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
-        lists = batch.column(6)
-        flat, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-        starts, words = offsets[:-1], np.diff(offsets)
-        new = np.flatnonzero(np.r_[True, (sig[1:] != sig[:-1]) | (part[1:] != part[:-1]) | (other[1:] != other[:-1])])
-        xs, ys = [], []
-        for i, j in zip(new, np.r_[new[1:], len(sig)], strict=True):
-            block = _by_length(node[i:j], n[i:j], label[i:j], flat, starts[i:j], words[i:j])
-            if other[i] == 0:
-                own = own + block if key == (sig[i], part[i]) else block
-                key = (sig[i], part[i])
-            elif key == (sig[i], part[i]):
-                for x, y in _near(own, block):
-                    xs.append(np.minimum(x, y))
-                    ys.append(np.maximum(x, y))
-        if xs:
-            pairs = np.unique(np.stack([np.concatenate(xs), np.concatenate(ys)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["x", "y"])
-
-
-def _left(mixed: DataFrame, nodes: DataFrame) -> DataFrame:
+    (x, y, apart) that may link, or for each own node x and batch the nearest such y alone. Keeps the own nodes of one part,
+    BLOCK_ROWS on average at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, own = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sig, part, other, node, n, label = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+            lists = batch.column(6)
+            flat, offsets = lists.values.to_numpy(zero_copy_only=False).view(np.uint64), lists.offsets.to_numpy()
+            starts, words = offsets[:-1], np.diff(offsets)
+            new = np.flatnonzero(np.r_[True, (sig[1:] != sig[:-1]) | (part[1:] != part[:-1]) | (other[1:] != other[:-1])])
+            found = []
+            for i, j in zip(new, np.r_[new[1:], len(sig)], strict=True):
+                block = _by_length(node[i:j], n[i:j], label[i:j], flat, starts[i:j], words[i:j])
+                if other[i] == 0:
+                    own = own + block if key == (sig[i], part[i]) else block
+                    key = (sig[i], part[i])
+                elif key == (sig[i], part[i]):
+                    found += _near(own, block)
+            if found:
+                x, y, apart = (np.concatenate(c) for c in zip(*found, strict=True))
+                order = np.lexsort((y, apart, x)) if nearest else np.lexsort((y, x))
+                x, y, apart = x[order], y[order], apart[order]
+                first = np.r_[True, (x[1:] != x[:-1]) | (False if nearest else y[1:] != y[:-1])]
+                yield pa.RecordBatch.from_arrays([pa.array(c[first]) for c in (x, y, apart)], names=["x", "y", "apart"])
+
+    return run
+
+
+def _blockwise(own: DataFrame, every: DataFrame, nodes: DataFrame, nearest: bool) -> DataFrame:
+    """(x, y, apart) by _screen: own nodes (sig, node, part, parts) against every node of their signatures (sig, node, n, label)."""
+    parts = own.select("sig", "parts").distinct()
+    sketch = nodes.select("node", "sketch")
+    one = own.join(sketch.hint("merge"), "node").withColumn("other", F.lit(0))
+    met = every.join(parts.hint("merge"), "sig").join(sketch.hint("merge"), "node")
+    met = met.withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).withColumn("other", F.lit(1))
+    order = ["sig", "part", "other", "node", "n", "label", "sketch"]
+    rows = one.select(*order).unionByName(met.select(*order)).repartition("sig", "part").sortWithinPartitions("sig", "part", "other")
+    return rows.mapInArrow(_screen(nearest), "x long, y long, apart double")
+
+
+def _parted(rows: DataFrame) -> DataFrame:
+    """rows, one for each own node of a signature, with the signature's number of parts and the node's."""
+    parts = rows.groupBy("sig").agg(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).cast("int").alias("parts"))
+    return rows.join(parts.hint("merge"), "sig").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+
+
+def _sizes(mixed: DataFrame) -> DataFrame:
+    return mixed.groupBy("sig").agg(F.count_if(F.col("label") != F.col("c_label")).alias("outside"), F.count("*").alias("all_nodes"))
+
+
+def _nearest(mixed: DataFrame, nodes: DataFrame, turn: int, work: Scratch) -> DataFrame:
+    """Pairs (x, y): each node outside its centre's component with its nearest in one of its signatures, the largest in the
+    first turn and any in later ones."""
+    mixed = work.written(mixed, "join-near-mixed")
+    big = _sizes(mixed).filter(F.col("outside") * F.col("all_nodes") > SMALL).select("sig", "all_nodes")
+    outside = mixed.filter("label <> c_label").join(big.hint("merge"), "sig")
+    rank = F.struct("all_nodes", "sig") if turn == 1 else F.struct(F.xxhash64("sig", F.lit(turn)), "sig")
+    own = outside.groupBy("node").agg(F.max_by(F.struct("sig", "n", "label"), rank).alias("own")).select("node", "own.*")
+    own = work.written(_parted(own), "join-near-own")
+    found = work.written(_blockwise(own, mixed.select("sig", "node", "n", "label"), nodes, True), "join-near")
+    found = found.groupBy("x").agg(F.min_by("y", F.struct("apart", "y")).alias("y"))
+    return found.select(*_ordered("x", "y")).distinct()
+
+
+def _left(mixed: DataFrame, nodes: DataFrame, work: Scratch) -> DataFrame:
     """Pairs (x, y), some more than once: of each signature the nodes outside its centre's component, with all nodes of
     other components. Signatures with few such pairs are joined with themselves; large ones are dealt to parts of the
     outside nodes, and each part's nodes are held against a stream of all the signature's nodes, by size and sketch."""
-    mixed = written(mixed, "join-astray")
-    count = mixed.groupBy("sig").agg(F.count_if(F.col("label") != F.col("c_label")).alias("outside"), F.count("*").alias("all_nodes"))
-    count = written(count, "join-sizes")
+    mixed = work.written(mixed, "join-astray")
+    count = work.written(_sizes(mixed), "join-sizes")
     few, many = count.filter(F.col("outside") * F.col("all_nodes") <= SMALL), count.filter(F.col("outside") * F.col("all_nodes") > SMALL)
     rows = mixed.join(few.select("sig").hint("merge"), "sig")
     outside = rows.filter("label <> c_label").select("sig", F.col("node").alias("other"), F.col("label").alias("other_label"), F.col("n").alias("other_n"))
     small = rows.drop("c_label").join(outside.hint("merge"), "sig").filter("label <> other_label").filter(SIZES_ALLOW.format("n", "other_n"))
-    parts = many.select("sig", F.ceil(F.col("outside") / F.lit(BLOCK_ROWS)).cast("int").alias("parts"))
-    rows = mixed.join(parts.hint("merge"), "sig").join(nodes.select("node", "sketch").hint("merge"), "node")
-    one = rows.filter("label <> c_label").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.lit(0))
-    every = rows.withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).withColumn("other", F.lit(1))
-    order = ["sig", "part", "other", "node", "n", "label", "sketch"]
-    large = one.select(*order).unionByName(every.select(*order)).repartition("sig", "part").sortWithinPartitions("sig", "part", "other")
-    large = written(large.mapInArrow(_screen, "x long, y long"), "join-screened")
+    rows = work.written(mixed.join(many.select("sig").hint("merge"), "sig"), "join-large")
+    large = _blockwise(_parted(rows.filter("label <> c_label")), rows, nodes, False)
+    large = work.written(large.select(*_ordered("x", "y")), "join-screened")
     return small.select(*_ordered("node", "other")).unionByName(large)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, label: str) -> DataFrame:
-    """Those of the pairs that link, as (a, b) of representatives' ids. Only texts that a pair needs are shuffled.
+def _verified(pairs: DataFrame, sets: DataFrame, label: str, work: Scratch) -> DataFrame:
+    """Those of the pairs that link, as (a, b).
 
-    A centre's pairs are dealt to parts of about STAR, each with its own copy of the centre's text, so no task has
+    A centre's pairs are dealt to parts of about STAR, each with its own copy of the centre's set, so no task has
     unboundedly many; tasks stream, and hold one set.
     """
-    pairs = written(pairs, f"{label}-pairs")
-    need = pairs.select(F.col("rep_x").alias("id"), F.col("mark_x").alias("mark")).unionByName(
-        pairs.select(F.col("rep_y").alias("id"), F.col("mark_y").alias("mark"))
-    )
-    bitmap = written(key_bitmap(need.distinct().select(F.xxhash64("id", "mark").alias("h")), "h"), f"{label}-bitmap")
-    texts = keep_possible(docs.withColumn("h", F.xxhash64("doc_id", "mark")), "h", bitmap).drop("h").dropDuplicates(["doc_id", "mark"])
-    texts = written(texts, f"{label}-texts")
-    parts = pairs.groupBy("rep_x", "mark_x").agg(F.ceil(F.count("*") / F.lit(STAR)).cast("int").alias("parts"))
-    centers = parts.join(texts.hint("merge"), (F.col("rep_x") == F.col("doc_id")) & (F.col("mark_x") == F.col("mark")))
-    centers = centers.select(
-        F.col("rep_x").alias("a"), F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), F.lit(None).cast("long").alias("b"), "text"
-    )
-    members = pairs.join(parts.hint("merge"), ["rep_x", "mark_x"])
-    members = members.withColumn("part", F.pmod(F.xxhash64("rep_y"), F.col("parts")).cast("int"))
-    members = members.join(texts.hint("merge"), (F.col("rep_y") == F.col("doc_id")) & (F.col("mark_y") == F.col("mark")))
-    members = members.select(F.col("rep_x").alias("a"), "part", F.col("rep_y").alias("b"), "text")
+    pairs = work.written(pairs, f"{label}-pairs")
+    parts = pairs.groupBy("x").agg(F.ceil(F.count("*") / F.lit(STAR)).cast("int").alias("parts"))
+    centers = parts.join(sets.select(F.col("node").alias("x"), "shingles").hint("merge"), "x")
+    centers = centers.select(F.col("x").alias("a"), F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), F.lit(None).cast("long").alias("b"), "shingles")
+    members = pairs.join(parts.hint("merge"), "x").withColumn("part", F.pmod(F.xxhash64("y"), F.col("parts")).cast("int"))
+    members = members.join(sets.select(F.col("node").alias("y"), "shingles").hint("merge"), "y")
+    members = members.select(F.col("x").alias("a"), "part", F.col("y").alias("b"), "shingles")
     rows = centers.unionByName(members).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
-    return written(rows.mapInArrow(_compare, "a long, b long"), f"{label}-links")
+    return work.written(rows.mapInArrow(_compare, "a long, b long"), f"{label}-links")
 
 
 def _ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("x"), F.greatest(a, b).alias("y")]
 
 
-def _placed(nodes: DataFrame, links: DataFrame) -> DataFrame:
+def _placed(nodes: DataFrame, links: DataFrame, work: Scratch) -> DataFrame:
     """(node, n, label): each node's size and component by the links so far."""
-    label = connected_components(links).select(F.col("id").alias("rep"), "label")
-    placed = nodes.select("node", "rep", "n").join(label.hint("merge"), "rep", "left")
-    return written(placed.select("node", "n", F.coalesce("label", "rep").alias("label")), "join-places")
-
+    label = connected_components(links).select(F.col("id").alias("node"), "label")
+    placed = nodes.select("node", "n").join(label.hint("merge"), "node", "left")
+    return work.written(placed.select("node", "n", F.coalesce("label", "node").alias("label")), "join-places")
 
-def _mixed(members: DataFrame, placed: DataFrame, turn: int) -> DataFrame:
-    """(sig, node, n, label, c, c_label) of signatures held in several components; c: one of its nodes, another each turn.
 
-    With turn 0, rows of all the signature's nodes; else of those outside c's component.
-    """
-    lab = written(members.join(placed.hint("merge"), "node"), "join-labelled")
+def _mixed(members: DataFrame, placed: DataFrame, turn: int, work: Scratch) -> DataFrame:
+    """(sig, node, n, label, c, c_label) of signatures held in several components; c: one of its nodes, another each turn."""
+    lab = work.written(members.join(placed.hint("merge"), "node"), "join-labelled")
     c = F.min_by(F.struct("node", "n", "label"), F.xxhash64("node", F.lit(turn)))
     several = lab.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), c.alias("c")).filter("low <> high")
-    out = lab.join(several.select("sig", "c").hint("merge"), "sig").withColumn("c_label", F.col("c.label"))
-    return out.filter("label <> c_label") if turn else out
+    return lab.join(several.select("sig", "c").hint("merge"), "sig").withColumn("c_label", F.col("c.label"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document: id, n_shingles, component_id (the smallest id that it reaches by links).
+    """One row for each row: id, n_shingles, component_id (the smallest id that it reaches by links), stays (whether it is the
+    document that stands for its component).
 
-    **Sets.** A document's set is its distinct word 5-grams, hashed to 64 bits. Documents of one set are one node, of
-    which the smallest id's text stands for all; copies never meet each other.
+    **Sets.** A document's set is its distinct word 5-grams, hashed to 64 bits. Documents of one set are one node; copies
+    never meet each other. Texts are read once: sets are written, and all later steps read these.
 
     **Candidates.** For linked sets of s <= t shingles, 3t <= 4s, and at most (s + t) / 7 <= s / 3 shingles are in one
     of them alone. Each such shingle flips one bit of a parity sketch, so sketches differ in at most s / 3 bits. Size
@@ -369,67 +457,86 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     too few blocks signs with all shingles as well, and if those hash to too few blocks, with shingles one by one. Two
     sets of which one has enough blocks share one of its signatures, whatever was held to be common.
 
-    **Links.** Nodes with an equal signature are a star around the first of them. Each node is first compared with the
-    centre that it shares most signatures with. For signatures held in several components, further turns take other
-    centres. At last the candidates that are left are all compared: of each signature, the nodes outside its centre's
-    component with the nodes of other components. No link between components is lost, and links inside one need no
-    test. Sizes, then the Hamming distance of dense sketches, go before the comparison of texts.
-
-    Null and empty texts have empty sets, and stand alone. Rows that repeat an id are one document to the result's ids.
-    A null id is not linked. Texts of any length are read whole. An empty table gives an empty result; other columns are
-    not looked at. Two different sets get one node with a chance of 2**-64 for each pair.
+    **Links.** Nodes with an equal signature are a star around the first of them; a signature held by many is dealt to
+    several tasks, whose stars share nodes. Each node is first compared with the centre that it shares most signatures
+    with. For signatures held in several components, further turns take other centres, then each node outside its
+    centre's component is compared with its nearest partner by sketch. At last the candidates that are left are all
+    compared: of each signature, the nodes outside its centre's component with the nodes of other components. No link
+    between components is lost, and links inside one need no test. Sizes, then the Hamming distance of dense sketches, go
+    before the comparison of sets.
+
+    Null and empty texts have empty sets, and stand alone. Rows that repeat id and text are one document, and stay or go
+    together; rows that repeat an id with other texts are documents of their own. A null id is not linked, and stays. Texts
+    of any length are read whole. An empty table gives an empty result; other columns are not looked at. Two different sets
+    get one node with a chance of 2**-64 for each pair.
     """
+    return _found(docs, id_col, text_col).select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", "stays")
+
+
+def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     ship_package(docs.sparkSession)
-    base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
-    described = written(
-        base.mapInArrow(_describe, "doc_id long, text_hash long, n long, node long, sketch array<long>, common long"), "join-sets"
-    )
+    work = Scratch(docs.sparkSession)
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
+    described = work.written(base.mapInArrow(_describe, DESCRIBED), "join-sets")
     common = described.filter("common IS NOT NULL").groupBy("node").agg(F.sum("common").alias("times"))
     common = common.orderBy(F.desc("times"), "node").limit(COMMON_SENT).select("node").toArrow()["node"]
     common = np.sort(common.to_numpy().astype(np.int64).view(np.uint64))
-    sets = described.filter("common IS NULL").drop("common")
-    nodes = sets.filter("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(
-        F.min(F.struct("doc_id", "text_hash")).alias("first"), F.max("n").alias("n"), F.any_value("sketch").alias("sketch")
-    )
-    nodes = written(nodes.select("node", F.col("first.doc_id").alias("rep"), F.col("first.text_hash").alias("mark"), "n", "sketch"), "join-nodes")
-
-    signed = base.filter("doc_id IS NOT NULL").select("text").mapInArrow(_signed(common), "sig long, node long")
-    grouped = signed.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_stars, "sig long, center long, member long")
-    grouped = written(grouped, "join-stars")
-    pairs = written(grouped.groupBy("center", "member").agg(F.count("*").alias("shared")), "join-candidates")
+    rows = described.filter("common IS NULL").select("doc_id", "mark", "n", "node")
+    rows = work.written(rows, "join-rows", keep=True)
+    whole = described.filter("common IS NULL AND shingles IS NOT NULL")
+    nodes = whole.groupBy("node").agg(F.max("n").alias("n"), F.any_value("sketch").alias("sketch"))
+    nodes = work.written(nodes, "join-nodes")
+
+    signed = whole.select("node", "shingles").mapInArrow(_signed(common), "sig long, salt int, node long")
+    grouped = signed.repartition("sig", "salt").sortWithinPartitions("sig", "salt", "node").mapInArrow(_stars, "sig long, center long, member long")
+    grouped = work.written(grouped, "join-stars")
+    members = grouped.select("sig", F.col("member").alias("node")).unionByName(grouped.select("sig", F.col("center").alias("node")))
+    members = work.written(members.distinct(), "join-members")
+    wanted = work.written(members.select("node").distinct(), "join-wanted")
+    bitmap = work.written(key_bitmap(wanted, "node"), "join-bitmap")
+    sets = keep_possible(whole.select("node", "shingles"), "node", bitmap).join(wanted.hint("merge"), "node", "left_semi")
+    sets = work.written(sets.dropDuplicates(["node"]), "join-wanted-sets")
 
+    pairs = grouped.groupBy("center", "member").agg(F.count("*").alias("shared"))
     best = pairs.groupBy("member").agg(F.max_by("center", F.struct("shared", "center")).alias("center"))
-    tried = written(best.select(*_ordered("center", "member")), "join-first")
-    links = _verified(_possible(tried, nodes), base, "join-first")
-    members = grouped.select("sig", F.col("member").alias("node")).unionByName(grouped.select("sig", F.col("center").alias("node")))
-    members = written(members.distinct(), "join-members")
-    for turn in range(1, TURNS + 1):
-        mixed = _mixed(members, _placed(nodes, links), turn)
-        pairs = mixed.filter(SIZES_ALLOW.format("n", "c.n")).groupBy("node", "c.node").agg(F.count("*").alias("shared"))
-        pairs = pairs.toDF("node", "center", "shared").groupBy("node").agg(F.max_by("center", F.struct("shared", "center")).alias("center"))
-        new = pairs.select(*_ordered("node", "center")).distinct().join(tried.hint("merge"), ["x", "y"], "left_anti")
-        new = written(new, f"join-turn{turn}")
+    tried = work.written(best.select(*_ordered("center", "member")).distinct(), "join-first")
+    links = _verified(_possible(tried, nodes), sets, "join-first", work)
+    for turn in range(1, TURNS + NEAREST + 1):
+        mixed = _mixed(members, _placed(nodes, links, work), turn, work)
+        if turn <= TURNS:
+            pairs = mixed.filter("label <> c_label").filter(SIZES_ALLOW.format("n", "c.n")).groupBy("node", "c.node").agg(F.count("*").alias("shared"))
+            pairs = pairs.toDF("node", "center", "shared").groupBy("node").agg(F.max_by("center", F.struct("shared", "center")).alias("center"))
+            pairs = pairs.select(*_ordered("node", "center")).distinct()
+        else:
+            pairs = _nearest(mixed.drop("c"), nodes, turn - TURNS, work)
+        new = work.written(pairs.join(tried.hint("merge"), ["x", "y"], "left_anti"), f"join-turn{turn}")
         tried = tried.unionByName(new)
-        links = links.unionByName(_verified(_possible(new, nodes), base, f"join-turn{turn}"))
-    rest = _left(_mixed(members, _placed(nodes, links), 0).drop("c"), nodes)
+        links = links.unionByName(_verified(_possible(new, nodes), sets, f"join-turn{turn}", work))
+    rest = _left(_mixed(members, _placed(nodes, links, work), 0, work).drop("c"), nodes, work)
     rest = rest.distinct().join(tried.hint("merge"), ["x", "y"], "left_anti")
-    more = _verified(_possible(rest, nodes), base, "join-rest")
+    links = links.unionByName(_verified(_possible(rest, nodes), sets, "join-rest", work))
 
-    label = connected_components(links.unionByName(more)).select(F.col("id").alias("rep"), "label")
-    of_node = nodes.join(label.hint("merge"), "rep", "left").select("node", F.coalesce("label", "rep").alias("component_id"))
-    out = sets.join(of_node.hint("merge"), "node", "left")
-    component = F.when(F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id"))
-    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    placed = _placed(nodes, links, work)
+    out = rows.join(placed.select("node", "label").hint("merge"), "node", "left")
+    out = work.written(out, "join-out", keep=True)
+    least = out.filter("label IS NOT NULL AND doc_id IS NOT NULL").groupBy("label").agg(F.min(F.struct("doc_id", "mark")).alias("first"))
+    least = work.written(least, "join-least", keep=True)
+    work.clear()
+    out = out.join(least.hint("merge"), "label", "left")
+    alone = F.col("label").isNull() | F.col("doc_id").isNull()
+    component = F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id"))
+    stays = alone | (F.struct("doc_id", "mark") == F.col("first"))
+    return out.select("doc_id", "mark", F.col("n").alias("n_shingles"), component.alias("component_id"), stays.alias("stays"))
 
 
 def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without those whose component has a smaller id, all columns."""
-    found = near_duplicates(docs, id_col, text_col)
-    return without_keys(docs, [id_col], found.filter(F.col(id_col) != F.col("component_id")).select(id_col))
+    """docs without those that another document of their component stands for, all columns."""
+    gone = _found(docs, id_col, text_col).filter("NOT stays").select(F.col("doc_id").alias("id"), "mark")
+    return without_keys(docs, [F.col(f"`{id_col}`").cast("long"), F.xxhash64(F.col(f"`{text_col}`"))], gone)
 
 
 def near_duplicate_report(docs: DataFrame) -> DataFrame:
-    return near_duplicates(docs.select("doc_id", "text"))
+    return near_duplicates(docs.select("doc_id", "text")).drop("stays")
 
 
 SQL = r"""

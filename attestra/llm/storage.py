@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words of 64 bits in a key bitmap: at most this many rows are ever broadcast for one filter.
@@ -35,6 +35,25 @@ def written(df: DataFrame, label: str, partition_by: str | None = None) -> DataF
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """The written tables of one operator, which it removes when they are no longer read."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+        path = shared_folder(self.spark, label)
+        df.write.parquet(path)
+        if not keep:
+            self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        for path in self.paths:
+            remove(self.spark, path)
+        self.paths = []
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder that shared_folder() named."""
     jvm = spark.sparkContext._jvm
@@ -62,22 +81,26 @@ def keep_possible(df: DataFrame, hash_col: str, bitmap: DataFrame) -> DataFrame:
     return hit.filter(F.expr(test)).drop("bm_word", "bm_bits")
 
 
-def without_keys(df: DataFrame, keys: list[str], gone: DataFrame) -> DataFrame:
-    """Rows of df whose keys are not in gone; null keys match null keys. All other columns stay as they are.
+def without_keys(df: DataFrame, keys: list[Column], gone: DataFrame) -> DataFrame:
+    """Rows of df whose keys are not in gone, whose columns are the keys in order; null keys match null keys. All of df's
+    columns stay as they are.
 
     Rows that a bitmap of bounded size rules out go straight through; only the others are shuffled to the exact
     anti-join, so most of a table's texts never move.
     """
-    h = F.xxhash64(*[F.col(f"`{k}`") for k in keys])
-    bitmap = written(key_bitmap(gone.select(h.alias("drop_hash")), "drop_hash"), "drop-bitmap")
-    row = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), h.alias("drop_hash"))
+    lost = gone.toDF(*[f"gone_{i}" for i in range(len(keys))]).distinct()
+    lost = written(lost, "drop-keys")
+    h = F.xxhash64(*lost.columns)
+    bitmap = written(key_bitmap(lost.select(h.alias("drop_hash")), "drop_hash"), "drop-bitmap")
+    own = [k.alias(f"key_{i}") for i, k in enumerate(keys)]
+    row = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *own)
+    row = row.withColumn("drop_hash", F.xxhash64(*[f"key_{i}" for i in range(len(keys))]))
     probe = row.withColumn("bm_word", F.pmod("drop_hash", F.lit(BITMAP_WORDS))).join(F.broadcast(bitmap), "bm_word", "left")
     test = F.expr("coalesce(shiftright(bm_bits, cast(pmod(shiftright(drop_hash, 40), 64) AS int)) & 1L = 1L, false)")
-    probe = probe.select("row", test.alias("maybe"))
-    lost = gone.select(*[F.col(f"`{k}`").alias(f"gone_{i}") for i, k in enumerate(keys)]).distinct()
+    probe = probe.withColumn("maybe", test)
     same = None
-    for i, k in enumerate(keys):
-        one = F.col(f"row.`{k}`").eqNullSafe(F.col(f"gone_{i}"))
+    for i in range(len(keys)):
+        one = F.col(f"key_{i}").eqNullSafe(F.col(f"gone_{i}"))
         same = one if same is None else same & one
     exact = probe.filter("maybe").join(lost.hint("merge"), same, "left_anti")
-    return probe.filter("NOT maybe").unionByName(exact).select("row.*")
+    return probe.filter("NOT maybe").select("row").unionByName(exact.select("row")).select("row.*")
