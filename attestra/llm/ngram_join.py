@@ -433,6 +433,17 @@ def _placed(nodes: DataFrame, links: DataFrame, work: Scratch) -> DataFrame:
     return work.written(placed.select("node", "n", F.coalesce("label", "node").alias("label")), "join-places")
 
 
+def _joined(placed: DataFrame, links: DataFrame, work: Scratch) -> DataFrame:
+    """placed with components joined by further links: only these components are looked at. Nothing is done without links."""
+    if links.isEmpty():
+        return placed
+    for side in ("a", "b"):
+        links = links.join(placed.select(F.col("node").alias(side), F.col("label").alias(f"label_{side}")).hint("merge"), side)
+    joined = connected_components(links.select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))).select(F.col("id").alias("label"), F.col("label").alias("to"))
+    placed = placed.join(joined.hint("merge"), "label", "left")
+    return work.written(placed.select("node", "n", F.coalesce("to", "label").alias("label")), "join-places")
+
+
 def _mixed(members: DataFrame, placed: DataFrame, turn: int, work: Scratch) -> DataFrame:
     """(sig, node, n, label, c, c_label) of signatures held in several components; c: one of its nodes, another each turn."""
     lab = work.written(members.join(placed.hint("merge"), "node"), "join-labelled")
@@ -501,8 +512,9 @@ def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     best = pairs.groupBy("member").agg(F.max_by("center", F.struct("shared", "center")).alias("center"))
     tried = work.written(best.select(*_ordered("center", "member")).distinct(), "join-first")
     links = _verified(_possible(tried, nodes), sets, "join-first", work)
+    placed = _placed(nodes, links, work)
     for turn in range(1, TURNS + NEAREST + 1):
-        mixed = _mixed(members, _placed(nodes, links, work), turn, work)
+        mixed = _mixed(members, placed, turn, work)
         if turn <= TURNS:
             pairs = mixed.filter("label <> c_label").filter(SIZES_ALLOW.format("n", "c.n")).groupBy("node", "c.node").agg(F.count("*").alias("shared"))
             pairs = pairs.toDF("node", "center", "shared").groupBy("node").agg(F.max_by("center", F.struct("shared", "center")).alias("center"))
@@ -511,12 +523,11 @@ def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             pairs = _nearest(mixed.drop("c"), nodes, turn - TURNS, work)
         new = work.written(pairs.join(tried.hint("merge"), ["x", "y"], "left_anti"), f"join-turn{turn}")
         tried = tried.unionByName(new)
-        links = links.unionByName(_verified(_possible(new, nodes), sets, f"join-turn{turn}", work))
-    rest = _left(_mixed(members, _placed(nodes, links, work), 0, work).drop("c"), nodes, work)
+        placed = _joined(placed, _verified(_possible(new, nodes), sets, f"join-turn{turn}", work), work)
+    rest = _left(_mixed(members, placed, 0, work).drop("c"), nodes, work)
     rest = rest.distinct().join(tried.hint("merge"), ["x", "y"], "left_anti")
-    links = links.unionByName(_verified(_possible(rest, nodes), sets, "join-rest", work))
+    placed = _joined(placed, _verified(_possible(rest, nodes), sets, "join-rest", work), work)
 
-    placed = _placed(nodes, links, work)
     out = rows.join(placed.select("node", "label").hint("merge"), "node", "left")
     out = work.written(out, "join-out", keep=True)
     least = out.filter("label IS NOT NULL AND doc_id IS NOT NULL").groupBy("label").agg(F.min(F.struct("doc_id", "mark")).alias("first"))
