@@ -21,7 +21,7 @@ SHINGLE = 5
 BLOCKS = 0.4
 #: A shingle is common when so many different sets of a stretch of COMMON_STRETCH shingles hold it; so many common ones are sent out.
 COMMON_IN_STRETCH, COMMON_STRETCH, COMMON_SENT = 6, 2_000_000, 500_000
-#: A signature that so many sets of one batch hold is dealt out, in pieces of as many rows, over up to SALTS tasks.
+#: A signature that so many sets of one batch hold is dealt out, in pieces of as many rows, over up to SALTS tasks (a power of two).
 HOT, SALTS = 64, 1_024
 #: Further rounds of stars; rounds in which each node left is compared with its nearest partner of one signature.
 TURNS, NEAREST = 2, 2
@@ -91,10 +91,10 @@ class _Seen(set):
         return True
 
 
-DESCRIBED = "doc_id long, mark long, n long, node long, sketch array<long>, shingles binary, common long"
+DESCRIBED = "doc_id long, mark long, n long, node long, sketch array<long>, common long"
 
 
-def _described(ids, marks, n, nodes, sketches, sets, common) -> pa.RecordBatch:
+def _described(ids, marks, n, nodes, sketches, common) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [
             ids,
@@ -102,10 +102,9 @@ def _described(ids, marks, n, nodes, sketches, sets, common) -> pa.RecordBatch:
             pa.array(n, pa.int64()),
             pa.array(nodes, pa.int64()),
             pa.array(sketches, pa.list_(pa.int64())),
-            pa.array(sets, pa.binary()),
             pa.array(common, pa.int64()),
         ],
-        names=["doc_id", "mark", "n", "node", "sketch", "shingles", "common"],
+        names=["doc_id", "mark", "n", "node", "sketch", "common"],
     )
 
 
@@ -118,27 +117,26 @@ def _common(sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     found, times = found[times >= COMMON_IN_STRETCH], times[times >= COMMON_IN_STRETCH]
     if len(found):
         none = [None] * len(found)
-        yield _described(pa.array(none, pa.int64()), pa.array(none, pa.int64()), none, found.view(np.int64), none, none, times)
+        yield _described(pa.array(none, pa.int64()), pa.array(none, pa.int64()), none, found.view(np.int64), none, times)
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of documents, whose sketch and shingles are null where the task has sent that set before, and rows
-    (node, common) of shingles common in a stretch."""
+    """Rows of documents, whose sketch is null where the task has sent that set's before, and rows (node, common) of
+    shingles common in a stretch."""
     hashes, seen, every, held = WordHashes(), _Seen(), [], 0
     for whole in batches:
         for batch in small_slices(whole, 2):
-            n, nodes, sketches, sets = [], [], [], []
+            n, nodes, sketches = [], [], []
             for text in batch.column(2):
                 s = shingle_set(text.as_py(), hashes)
                 n.append(len(s))
                 nodes.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None)
                 new = len(s) > 0 and seen.first(nodes[-1])
                 sketches.append(dense_sketch(s) if new else None)
-                sets.append(s.tobytes() if new else None)
                 if new:
                     every.append(s)
                     held += len(s)
-            yield _described(batch.column(0), batch.column(1), n, nodes, sketches, sets, [None] * len(n))
+            yield _described(batch.column(0), batch.column(1), n, nodes, sketches, [None] * len(n))
             if held >= COMMON_STRETCH:
                 yield from _common(every)
                 every, held = [], 0
@@ -187,14 +185,15 @@ def signatures(s: np.ndarray, common: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _dealt(sigs: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sig, salt, node) of a batch: salt 0, but for signatures that HOT nodes of the batch hold. Of those, stretches of HOT
-    nodes get a salt each, and one node, the hub, goes to all these stretches and to salt 0, so that all stay connected."""
-    salt = np.zeros(len(sigs), dtype=np.int32)
-    low = (sigs & np.uint64(0xFFFF)).astype(np.int64)
+def _dealt(sigs: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sig, node) of a batch, with a salt as the signature's lowest bits: 0, but for signatures that HOT nodes of the batch
+    hold. Of those, stretches of HOT nodes get a salt each, and one node, the hub, goes to all these stretches and to salt
+    0, so that all stay connected."""
+    sigs = sigs & ~np.uint64(SALTS - 1)
+    low = (sigs >> np.uint64(48)).astype(np.int64)
     heavy = np.flatnonzero((np.bincount(low, minlength=1 << 16) >= HOT)[low])
     if not len(heavy):
-        return sigs, salt, owner
+        return sigs, owner
     heavy = heavy[np.lexsort((owner[heavy], sigs[heavy]))]
     starts = np.flatnonzero(np.r_[True, sigs[heavy][1:] != sigs[heavy][:-1]])
     more = []
@@ -202,71 +201,72 @@ def _dealt(sigs: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         if j - i >= HOT:
             rows = heavy[i:j]
             hub = rows[0]
-            first = int(mix(owner[hub : hub + 1].view(np.uint64))[0] % np.uint64(SALTS))
-            pieces = (first + np.arange(j - i) // HOT) % SALTS + 1
-            salt[rows[1:]] = pieces[1:]
-            more += [(sigs[hub], x, owner[hub]) for x in np.unique(pieces)]
+            first = mix(owner[hub : hub + 1].view(np.uint64))[0]
+            salt = (first + (np.arange(j - i) // HOT).astype(np.uint64)) % np.uint64(SALTS - 1) + np.uint64(1)
+            more += [(sigs[hub] | x, owner[hub]) for x in np.unique(salt)]
+            sigs[rows[1:]] |= salt[1:]
     if more:
         sigs = np.concatenate([sigs, np.array([x[0] for x in more], dtype=np.uint64)])
-        salt = np.concatenate([salt, np.array([x[1] for x in more], dtype=np.int32)])
-        owner = np.concatenate([owner, np.array([x[2] for x in more], dtype=np.int64)])
-    return sigs, salt, owner
+        owner = np.concatenate([owner, np.array([x[1] for x in more], dtype=np.int64)])
+    return sigs, owner
 
 
 def _signed(common: np.ndarray):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = _Seen()
+        hashes, seen = WordHashes(), _Seen()
         for whole in batches:
-            for batch in small_slices(whole, 1, rows=10_000, size=8 << 20):
+            for batch in small_slices(whole, 0, rows=10_000, size=8 << 20):
                 sigs, nodes = [], []
-                for node, shingles in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    if seen.first(node):
-                        sigs.append(signatures(np.frombuffer(shingles.as_buffer(), dtype=np.uint64), common))
+                for text in batch.column(0):
+                    s = shingle_set(text.as_py(), hashes)
+                    node = xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+                    if len(s) and seen.first(node):
+                        sigs.append(signatures(s, common))
                         nodes.append(node)
                 if nodes:
                     owner = np.repeat(np.array(nodes, dtype=np.int64), [len(x) for x in sigs])
-                    sig, salt, owner = _dealt(np.concatenate(sigs), owner)
-                    yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(salt), pa.array(owner)], names=["sig", "salt", "node"])
+                    sig, owner = _dealt(np.concatenate(sigs), owner)
+                    yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(owner)], names=["sig", "node"])
 
     return emit
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (sig, salt, node): (sig, center, member), the center being the first node. Keeps one row."""
-    last = last_node = center = None
+    """From rows sorted by (salted sig, node): (sig, center, member), the center being the first node. Keeps one row."""
+    last_sig = last_node = center = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        sig, salt, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        new = np.r_[(sig[0], salt[0]) != last, (sig[1:] != sig[:-1]) | (salt[1:] != salt[:-1])]
+        sig, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        new = np.r_[sig[0] != last_sig, sig[1:] != sig[:-1]]
         again = ~new & (node == np.r_[node[0] if last_node is None else last_node, node[:-1]])
         begins = np.maximum.accumulate(np.where(new, np.arange(len(sig)), -1))
         centers = np.where(begins >= 0, node[np.maximum(begins, 0)], 0 if center is None else center)
         keep = ~new & ~again
-        last, last_node, center = (sig[-1], salt[-1]), node[-1], centers[-1]
+        last_sig, last_node, center = sig[-1], node[-1], centers[-1]
         if keep.any():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(sig[keep]), pa.array(centers[keep]), pa.array(node[keep])], names=["sig", "center", "member"]
-            )
+            plain = sig[keep] & ~np.int64(SALTS - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(plain), pa.array(centers[keep]), pa.array(node[keep])], names=["sig", "center", "member"])
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (a, part, b, shingles) sorted with a's own row (b null) first: (a, b) that link. Keeps one set."""
-    key, own = None, None
-    for batch in batches:
-        left, right = [], []
-        for a, part, b, shingles in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
-            s = np.frombuffer(shingles.as_buffer(), dtype=np.uint64)
-            if b is None:
-                key, own = (a, part), s.copy()
-            elif key == (a, part):
-                at = np.minimum(np.searchsorted(own, s), len(own) - 1)
-                shared = int((own[at] == s).sum())
-                if 4 * shared >= 3 * (len(own) + len(s) - shared):
-                    left.append(a)
-                    right.append(b)
-        if left:
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+    """From rows (a, part, b, text) sorted with a's own row (b null) first: (a, b) that link. Keeps one set."""
+    hashes, key, own = WordHashes(), None, None
+    for whole in batches:
+        for batch in small_slices(whole, 3):
+            left, right = [], []
+            for a, part, b, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                s = shingle_set(text, hashes)
+                if b is None:
+                    key, own = (a, part), s
+                elif key == (a, part):
+                    at = np.minimum(np.searchsorted(own, s), len(own) - 1)
+                    shared = int((own[at] == s).sum())
+                    if 4 * shared >= 3 * (len(own) + len(s) - shared):
+                        left.append(a)
+                        right.append(b)
+            if left:
+                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
 
 def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -405,19 +405,32 @@ def _left(mixed: DataFrame, nodes: DataFrame, work: Scratch) -> DataFrame:
     return small.select(*_ordered("node", "other")).unionByName(large)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, label: str, work: Scratch) -> DataFrame:
-    """Those of the pairs that link, as (a, b).
+def _texts(texts: DataFrame, need: DataFrame, label: str, work: Scratch) -> DataFrame:
+    """Those of the rows (doc_id, mark, text) that need's (rep, mark) name, and a few others that a bitmap of bounded size
+    lets through. Nothing is shuffled."""
+    bitmap = work.written(key_bitmap(need.select(F.xxhash64("rep", "mark").alias("h")), "h"), f"{label}-bitmap")
+    return keep_possible(texts.withColumn("h", F.xxhash64("doc_id", "mark")), "h", bitmap).drop("h")
+
 
-    A centre's pairs are dealt to parts of about STAR, each with its own copy of the centre's set, so no task has
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, label: str, work: Scratch) -> DataFrame:
+    """Those of the pairs that link, as (a, b). Only texts that a pair needs are shuffled.
+
+    A centre's pairs are dealt to parts of about STAR, each with its own copy of the centre's text, so no task has
     unboundedly many; tasks stream, and hold one set.
     """
     pairs = work.written(pairs, f"{label}-pairs")
+    if pairs.isEmpty():
+        return pairs.toDF("a", "b")
+    need = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).distinct()
+    need = work.written(nodes.select("node", "rep", "mark").join(need.hint("merge"), "node", "left_semi"), f"{label}-need")
+    found = _texts(texts, need, label, work).withColumnRenamed("doc_id", "rep").join(need.hint("merge"), ["rep", "mark"])
+    found = work.written(found.select("node", "text").dropDuplicates(["node"]), f"{label}-texts")
     parts = pairs.groupBy("x").agg(F.ceil(F.count("*") / F.lit(STAR)).cast("int").alias("parts"))
-    centers = parts.join(sets.select(F.col("node").alias("x"), "shingles").hint("merge"), "x")
-    centers = centers.select(F.col("x").alias("a"), F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), F.lit(None).cast("long").alias("b"), "shingles")
+    centers = parts.join(found.withColumnRenamed("node", "x").hint("merge"), "x")
+    centers = centers.select(F.col("x").alias("a"), F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), F.lit(None).cast("long").alias("b"), "text")
     members = pairs.join(parts.hint("merge"), "x").withColumn("part", F.pmod(F.xxhash64("y"), F.col("parts")).cast("int"))
-    members = members.join(sets.select(F.col("node").alias("y"), "shingles").hint("merge"), "y")
-    members = members.select(F.col("x").alias("a"), "part", F.col("y").alias("b"), "shingles")
+    members = members.join(found.withColumnRenamed("node", "y").hint("merge"), "y")
+    members = members.select(F.col("x").alias("a"), "part", F.col("y").alias("b"), "text")
     rows = centers.unionByName(members).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
     return work.written(rows.mapInArrow(_compare, "a long, b long"), f"{label}-links")
 
@@ -457,7 +470,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     document that stands for its component).
 
     **Sets.** A document's set is its distinct word 5-grams, hashed to 64 bits. Documents of one set are one node; copies
-    never meet each other. Texts are read once: sets are written, and all later steps read these.
+    never meet each other.
 
     **Candidates.** For linked sets of s <= t shingles, 3t <= 4s, and at most (s + t) / 7 <= s / 3 shingles are in one
     of them alone. Each such shingle flips one bit of a parity sketch, so sketches differ in at most s / 3 bits. Size
@@ -474,7 +487,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     centre's component is compared with its nearest partner by sketch. At last the candidates that are left are all
     compared: of each signature, the nodes outside its centre's component with the nodes of other components. No link
     between components is lost, and links inside one need no test. Sizes, then the Hamming distance of dense sketches, go
-    before the comparison of sets.
+    before the comparison of texts.
 
     Null and empty texts have empty sets, and stand alone. Rows that repeat id and text are one document, and stay or go
     together; rows that repeat an id with other texts are documents of their own. A null id is not linked, and stays. Texts
@@ -494,24 +507,25 @@ def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     common = np.sort(common.to_numpy().astype(np.int64).view(np.uint64))
     rows = described.filter("common IS NULL").select("doc_id", "mark", "n", "node")
     rows = work.written(rows, "join-rows", keep=True)
-    whole = described.filter("common IS NULL AND shingles IS NOT NULL")
-    nodes = whole.groupBy("node").agg(F.max("n").alias("n"), F.any_value("sketch").alias("sketch"))
+    named = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "mark"))
+    nodes = described.filter("common IS NULL AND node IS NOT NULL").groupBy("node").agg(
+        F.min(named).alias("first"), F.max("n").alias("n"), F.first("sketch", ignorenulls=True).alias("sketch")
+    )
+    nodes = nodes.filter("first IS NOT NULL").select("node", F.col("first.doc_id").alias("rep"), F.col("first.mark").alias("mark"), "n", "sketch")
     nodes = work.written(nodes, "join-nodes")
 
-    signed = whole.select("node", "shingles").mapInArrow(_signed(common), "sig long, salt int, node long")
-    grouped = signed.repartition("sig", "salt").sortWithinPartitions("sig", "salt", "node").mapInArrow(_stars, "sig long, center long, member long")
+    signed = base.filter("doc_id IS NOT NULL").select("text").mapInArrow(_signed(common), "sig long, node long")
+    grouped = signed.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_stars, "sig long, center long, member long")
     grouped = work.written(grouped, "join-stars")
     members = grouped.select("sig", F.col("member").alias("node")).unionByName(grouped.select("sig", F.col("center").alias("node")))
     members = work.written(members.distinct(), "join-members")
-    wanted = work.written(members.select("node").distinct(), "join-wanted")
-    bitmap = work.written(key_bitmap(wanted, "node"), "join-bitmap")
-    sets = keep_possible(whole.select("node", "shingles"), "node", bitmap).join(wanted.hint("merge"), "node", "left_semi")
-    sets = work.written(sets.dropDuplicates(["node"]), "join-wanted-sets")
+    wanted = nodes.select("node", "rep", "mark").join(members.select("node").distinct().hint("merge"), "node", "left_semi")
+    texts = work.written(_texts(base, wanted, "join-wanted", work), "join-wanted-texts")
 
     pairs = grouped.groupBy("center", "member").agg(F.count("*").alias("shared"))
     best = pairs.groupBy("member").agg(F.max_by("center", F.struct("shared", "center")).alias("center"))
     tried = work.written(best.select(*_ordered("center", "member")).distinct(), "join-first")
-    links = _verified(_possible(tried, nodes), sets, "join-first", work)
+    links = _verified(_possible(tried, nodes), nodes, texts, "join-first", work)
     placed = _placed(nodes, links, work)
     for turn in range(1, TURNS + NEAREST + 1):
         mixed = _mixed(members, placed, turn, work)
@@ -523,10 +537,10 @@ def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             pairs = _nearest(mixed.drop("c"), nodes, turn - TURNS, work)
         new = work.written(pairs.join(tried.hint("merge"), ["x", "y"], "left_anti"), f"join-turn{turn}")
         tried = tried.unionByName(new)
-        placed = _joined(placed, _verified(_possible(new, nodes), sets, f"join-turn{turn}", work), work)
+        placed = _joined(placed, _verified(_possible(new, nodes), nodes, texts, f"join-turn{turn}", work), work)
     rest = _left(_mixed(members, placed, 0, work).drop("c"), nodes, work)
     rest = rest.distinct().join(tried.hint("merge"), ["x", "y"], "left_anti")
-    placed = _joined(placed, _verified(_possible(rest, nodes), sets, "join-rest", work), work)
+    placed = _joined(placed, _verified(_possible(rest, nodes), nodes, texts, "join-rest", work), work)
 
     out = rows.join(placed.select("node", "label").hint("merge"), "node", "left")
     out = work.written(out, "join-out", keep=True)
