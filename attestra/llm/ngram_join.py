@@ -23,8 +23,8 @@ BLOCKS = 0.4
 COMMON_IN_STRETCH, COMMON_STRETCH, COMMON_SENT = 6, 2_000_000, 500_000
 #: A signature that so many sets of one batch hold is dealt out, in pieces of as many rows, over up to SALTS tasks (a power of two).
 HOT, SALTS = 64, 1_024
-#: Further rounds of stars; rounds in which each node left is compared with its nearest partner of one signature.
-TURNS, NEAREST = 2, 2
+#: Rounds in which each node left is compared with its nearest partner of one signature.
+NEAREST = 2
 #: Pairs of a signature up to which they are made in a join; larger ones are screened in blocks of at most BLOCK_ROWS nodes.
 SMALL, BLOCK_ROWS = 64, 2_048
 #: Sizes of linked sets are as 3 to 4 at most.
@@ -371,38 +371,27 @@ def _parted(rows: DataFrame) -> DataFrame:
     return rows.join(parts.hint("merge"), "sig").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
 
 
-def _sizes(mixed: DataFrame) -> DataFrame:
-    return mixed.groupBy("sig").agg(F.count_if(F.col("label") != F.col("c_label")).alias("outside"), F.count("*").alias("all_nodes"))
-
-
-def _nearest(mixed: DataFrame, nodes: DataFrame, turn: int, work: Scratch) -> DataFrame:
+def _nearest(large: DataFrame, nodes: DataFrame, turn: int, work: Scratch) -> DataFrame:
     """Pairs (x, y): each node outside its centre's component with its nearest in one of its signatures, the largest in the
     first turn and any in later ones."""
-    mixed = work.written(mixed, "join-near-mixed")
-    big = _sizes(mixed).filter(F.col("outside") * F.col("all_nodes") > SMALL).select("sig", "all_nodes")
-    outside = mixed.filter("label <> c_label").join(big.hint("merge"), "sig")
-    rank = F.struct("all_nodes", "sig") if turn == 1 else F.struct(F.xxhash64("sig", F.lit(turn)), "sig")
+    outside = large.filter("label <> c_label")
+    rank = F.struct(F.xxhash64("sig", F.lit(turn)), "sig")
+    if turn == 1:
+        outside, rank = outside.join(large.groupBy("sig").agg(F.count("*").alias("all_nodes")).hint("merge"), "sig"), F.struct("all_nodes", "sig")
     own = outside.groupBy("node").agg(F.max_by(F.struct("sig", "n", "label"), rank).alias("own")).select("node", "own.*")
-    own = work.written(_parted(own), "join-near-own")
-    found = work.written(_blockwise(own, mixed.select("sig", "node", "n", "label"), nodes, True), "join-near")
+    own = work.written(_parted(own), f"join-own{turn}")
+    found = _blockwise(own, large.select("sig", "node", "n", "label"), nodes, True)
     found = found.groupBy("x").agg(F.min_by("y", F.struct("apart", "y")).alias("y"))
-    return found.select(*_ordered("x", "y")).distinct()
+    return found.select(*_ordered("x", "y"))
 
 
-def _left(mixed: DataFrame, nodes: DataFrame, work: Scratch) -> DataFrame:
-    """Pairs (x, y), some more than once: of each signature the nodes outside its centre's component, with all nodes of
-    other components. Signatures with few such pairs are joined with themselves; large ones are dealt to parts of the
-    outside nodes, and each part's nodes are held against a stream of all the signature's nodes, by size and sketch."""
-    mixed = work.written(mixed, "join-astray")
-    count = work.written(_sizes(mixed), "join-sizes")
-    few, many = count.filter(F.col("outside") * F.col("all_nodes") <= SMALL), count.filter(F.col("outside") * F.col("all_nodes") > SMALL)
+def _small_pairs(mixed: DataFrame, few: DataFrame) -> DataFrame:
+    """Pairs (x, y), some more than once: of each signature in few the nodes outside its centre's component, with all nodes
+    of other components. There are SMALL of them for a signature at most."""
     rows = mixed.join(few.select("sig").hint("merge"), "sig")
     outside = rows.filter("label <> c_label").select("sig", F.col("node").alias("other"), F.col("label").alias("other_label"), F.col("n").alias("other_n"))
-    small = rows.drop("c_label").join(outside.hint("merge"), "sig").filter("label <> other_label").filter(SIZES_ALLOW.format("n", "other_n"))
-    rows = work.written(mixed.join(many.select("sig").hint("merge"), "sig"), "join-large")
-    large = _blockwise(_parted(rows.filter("label <> c_label")), rows, nodes, False)
-    large = work.written(large.select(*_ordered("x", "y")), "join-screened")
-    return small.select(*_ordered("node", "other")).unionByName(large)
+    pairs = rows.drop("c_label").join(outside.hint("merge"), "sig").filter("label <> other_label").filter(SIZES_ALLOW.format("n", "other_n"))
+    return pairs.select(*_ordered("node", "other"))
 
 
 def _texts(texts: DataFrame, need: DataFrame, label: str, work: Scratch) -> DataFrame:
@@ -458,11 +447,12 @@ def _joined(placed: DataFrame, links: DataFrame, work: Scratch) -> DataFrame:
 
 
 def _mixed(members: DataFrame, placed: DataFrame, turn: int, work: Scratch) -> DataFrame:
-    """(sig, node, n, label, c, c_label) of signatures held in several components; c: one of its nodes, another each turn."""
-    lab = work.written(members.join(placed.hint("merge"), "node"), "join-labelled")
-    c = F.min_by(F.struct("node", "n", "label"), F.xxhash64("node", F.lit(turn)))
-    several = lab.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), c.alias("c")).filter("low <> high")
-    return lab.join(several.select("sig", "c").hint("merge"), "sig").withColumn("c_label", F.col("c.label"))
+    """(sig, node, n, label, c_label) of signatures held in several components; c_label is that of one of its nodes, another
+    one each turn. Signatures of one component need no further look, since components only grow."""
+    lab = members.select("sig", "node").join(placed.hint("merge"), "node")
+    c = F.min_by("label", F.xxhash64("node", F.lit(turn)))
+    several = lab.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), c.alias("c_label")).filter("low <> high")
+    return work.written(lab.join(several.select("sig", "c_label").hint("merge"), "sig"), f"join-mixed{turn}")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -483,11 +473,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     **Links.** Nodes with an equal signature are a star around the first of them; a signature held by many is dealt to
     several tasks, whose stars share nodes. Each node is first compared with the centre that it shares most signatures
-    with. For signatures held in several components, further turns take other centres, then each node outside its
-    centre's component is compared with its nearest partner by sketch. At last the candidates that are left are all
-    compared: of each signature, the nodes outside its centre's component with the nodes of other components. No link
-    between components is lost, and links inside one need no test. Sizes, then the Hamming distance of dense sketches, go
-    before the comparison of texts.
+    with. Of signatures still held in several components, those with few pairs give them all; in the others each node
+    outside its centre's component is compared with its nearest partner by sketch, and at last the candidates that are
+    left are all compared: of each signature, the nodes outside its centre's component with the nodes of other
+    components, in blocks. No link between components is lost, and links inside one need no test. Sizes, then the Hamming
+    distance of dense sketches, go before the comparison of texts.
 
     Null and empty texts have empty sets, and stand alone. Rows that repeat id and text are one document, and stay or go
     together; rows that repeat an id with other texts are documents of their own. A null id is not linked, and stays. Texts
@@ -527,19 +517,22 @@ def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     tried = work.written(best.select(*_ordered("center", "member")).distinct(), "join-first")
     links = _verified(_possible(tried, nodes), nodes, texts, "join-first", work)
     placed = _placed(nodes, links, work)
-    for turn in range(1, TURNS + NEAREST + 1):
-        mixed = _mixed(members, placed, turn, work)
-        if turn <= TURNS:
-            pairs = mixed.filter("label <> c_label").filter(SIZES_ALLOW.format("n", "c.n")).groupBy("node", "c.node").agg(F.count("*").alias("shared"))
-            pairs = pairs.toDF("node", "center", "shared").groupBy("node").agg(F.max_by("center", F.struct("shared", "center")).alias("center"))
-            pairs = pairs.select(*_ordered("node", "center")).distinct()
-        else:
-            pairs = _nearest(mixed.drop("c"), nodes, turn - TURNS, work)
-        new = work.written(pairs.join(tried.hint("merge"), ["x", "y"], "left_anti"), f"join-turn{turn}")
+
+    mixed = _mixed(members, placed, 0, work)
+    sizes = mixed.groupBy("sig").agg((F.count_if(F.col("label") != F.col("c_label")) * F.count("*")).alias("pairs"))
+    sizes = work.written(sizes, "join-sizes")
+    large = work.written(mixed.join(sizes.filter(F.col("pairs") > SMALL).select("sig").hint("merge"), "sig"), "join-large")
+    pairs = _small_pairs(mixed, sizes.filter(F.col("pairs") <= SMALL)).unionByName(_nearest(large, nodes, 1, work))
+    for turn in range(1, NEAREST + 1):
+        new = work.written(pairs.distinct().join(tried.hint("merge"), ["x", "y"], "left_anti"), f"join-new{turn}")
         tried = tried.unionByName(new)
         placed = _joined(placed, _verified(_possible(new, nodes), nodes, texts, f"join-turn{turn}", work), work)
-    rest = _left(_mixed(members, placed, 0, work).drop("c"), nodes, work)
-    rest = rest.distinct().join(tried.hint("merge"), ["x", "y"], "left_anti")
+        large = _mixed(large, placed, turn, work)
+        if turn < NEAREST:
+            pairs = _nearest(large, nodes, turn + 1, work)
+    rest = _blockwise(_parted(large.filter("label <> c_label")), large, nodes, False)
+    rest = work.written(rest.select(*_ordered("x", "y")).distinct(), "join-screened")
+    rest = rest.join(tried.hint("merge"), ["x", "y"], "left_anti")
     placed = _joined(placed, _verified(_possible(rest, nodes), nodes, texts, "join-rest", work), work)
 
     out = rows.join(placed.select("node", "label").hint("merge"), "node", "left")
