@@ -135,7 +135,7 @@ def base_spans(x):
 
 
 def test_personal_data(spark):
-    t = ["a@b.c_d@e.f 1.2.3.4.5.6.7.8 +1 (800) 555-1212", "4111 1111-1111 1111 and 4111111111111112", "é.u@mail.com 256.1.1.1 001.002.003.004", "+12 3 +1234567", *[x for x in ODD if x is None or len(x) < 6000], "x@y.zz " * 300]
+    t = ["a@b.c_d@e.f 1.2.3.4.5.6.7.8 +1 (800) 555-1212", "4111 1111-1111 1111 and 4111111111111112", "é.u@mail.com 256.1.1.1 001.002.003.004", "+12 3 +1234567", *ODD, "x@y.zz " * 300]
     none = pii.Selector(None, dict.fromkeys(pii.KINDS))
     out = rows(pii.find_personal_data(docs(spark, t), none).select("doc_id", pii._listed("base").alias("b"), pii._listed("all").alias("a")))
     for i, x in enumerate(t):
@@ -143,6 +143,29 @@ def test_personal_data(spark):
     assert rows(pii.redact(docs(spark, ["call +1 (800) 555-1212 now"]), none))[0]["text"] == "call [phone] now"
 
 
+def test_personal_data_trees_find_what_rules_cannot(spark):
+    frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    selector = pii.fit_selector(frame)
+    assert selector.trees and all(t is not None for t in selector.thresholds.values())
+    card = next(x for c in range(10) if luhn(x := f"411111111112345{c}"))
+    wide = [("email", f"write to user{i}.name [at] host{i} [dot] example [dot] com soon") for i in range(20)] + [("email", f"mail jürgen.k{i}@büro{i}.de bitte") for i in range(20)]
+    wide += [("ip", f"the host 192[.]168[.]{i}[.]9 answers") for i in range(20)]
+    wide += [("card", "pays " + sep.join(card[k : k + 4] for k in range(0, 16, 4)) + f" in {word}") for sep in "./" for word in "abcdefghij"]
+    wide += [("phone", f"to call 00{i} 207 {100 + i} {4000 + 7 * i} now") for i in range(31, 51)]
+    plain = ["on 2024-01-15 we met 3 times", "version 1.2.3 of 10.2", "chapter 12 34 page 56", "ratio 3/4 and 5-6", "the internationalization of words", None, ""]
+    rows_in = [(i, x, 7) for i, x in enumerate([x for _, x in wide] + plain)]
+    given = spark.createDataFrame(rows_in, "doc_id long, text string, base_ip int").withColumn("pii_text", F.lit("kept"))
+    out = rows(pii.find_personal_data(given, selector))
+    for kind in pii.KINDS:
+        of_kind = [i for i, (k, _) in enumerate(wide) if k == kind]
+        assert not any(out[i][f"base_{kind}"] for i in of_kind)
+        assert sum(bool(out[i][f"all_{kind}"]) for i in of_kind) >= 0.9 * len(of_kind), kind
+    assert not any(out[len(wide) + i][f"all_{kind}"] for i in range(len(plain)) for kind in (*pii.KINDS, "key"))
+    assert all(r["pii_text"] == "kept" for r in out.values())
+    report = rows(pii.personal_data_report(docs(spark, [])))
+    assert report == {}
+
+
 def test_edit_counts(spark):
     frame = docs(spark, [*ODD, text(3, 400)])
     edits = spark.createDataFrame([(8, 2, 50, 10, " new words"), (8, 1, 0, 3, None), (3, 1, 0, 0, "bb"), (99, 1, 0, 0, "x")], "doc_id long, seq int, at int, cut int, paste string")
