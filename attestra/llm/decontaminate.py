@@ -77,13 +77,13 @@ def _anchored(docs: DataFrame, grams: DataFrame, sizes: list[int]) -> DataFrame:
 def contamination_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, text_hash, spans, items) of the documents in which a benchmark window occurs.
 
-    spans: (start, size) in words, distinct; items: item ids, distinct. A first pass looks texts up in a broadcast hash
+    spans: (start, size) in words, distinct; items: item ids, distinct, as sorted strings. A first pass looks texts up in a broadcast hash
     set of anchors, at a few places each; a second one scans all windows of those that passed and compares the grams
     themselves, so every hit is verified. Only hits are shuffled, never windows. Both sets are broadcast after their
     rows are counted; over BROADCAST_ROWS they are joined by a shuffle instead.
     """
     grams = written(benchmark_grams(benchmark, window), "bench-grams")
-    by_gram = written(grams.groupBy("gram").agg(F.collect_set("item_id").alias("items")), "bench-set")
+    by_gram = written(grams.select("gram").distinct(), "bench-set")
     sizes = sorted(r["size"] for r in grams.select("size").distinct().collect())  # at most `window` values
     n = by_gram.count()
     passed = _anchored(docs, grams, sizes or [window])
@@ -91,10 +91,13 @@ def contamination_hits(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     windows = texts.select("doc_id", "text_hash", F.explode(_grams("w", sizes or [window])).alias("g"))
     windows = windows.select("doc_id", "text_hash", "g.start", "g.size", "g.gram")
     hits = windows.join(by_gram.hint("broadcast" if n <= BROADCAST_ROWS else "merge"), "gram")
-    return hits.groupBy("doc_id", "text_hash").agg(
-        F.collect_set(F.struct("start", "size")).alias("spans"),
-        F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
-    )
+    hits = written(hits, "bench-hits")
+    spans = hits.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "size")).alias("spans"))
+    items = hits.select("doc_id", "text_hash", "gram").distinct().join(grams.select("gram", "item_id").distinct().hint("merge"), "gram")
+    items = items.select("doc_id", "text_hash", F.col("item_id").cast("string").alias("item")).distinct()
+    items = items.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list("item")).alias("items")).toDF("item_doc", "item_hash", "items")
+    same = (F.col("text_hash") == F.col("item_hash")) & F.col("doc_id").eqNullSafe(F.col("item_doc"))
+    return spans.join(items.hint("merge"), same).select("doc_id", "text_hash", "spans", "items")
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -111,7 +114,7 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, window: int = WI
         "doc_id",
         "text_hash",
         F.size(F.array_distinct(positions)).cast("long").alias("hit"),
-        F.array_sort(F.transform("items", lambda i: i.cast("string"))).alias("ids"),
+        F.col("items").alias("ids"),
     )
     base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), word_count(F.col("text")).alias("n_words"))
     same = (base["text_hash"] == hits["text_hash"]) & base["doc_id"].eqNullSafe(hits["doc_id"])

@@ -13,12 +13,15 @@ from pyspark.sql import types as T
 
 from attestra.llm.quality import held_out
 from attestra.llm.storage import written
+from attestra.llm.text import small_slices
 from attestra.shipping import ship_package
 
 #: Character n-grams of these lengths, hashed to DIMS places.
 ORDERS, DIMS = (1, 2, 3), 1 << 16
 #: Rows that the fit may use: for each language, and in all. Those with the smallest id hashes are used.
 ROWS_EACH, ROWS_ALL = 800, 4_000
+#: Parts of a language in which its least id hashes are first found.
+PARTS = 32
 #: FTRL: learning rate, its smoothing, the two penalties, rounds over the rows.
 ALPHA, BETA, L1, L2, ROUNDS = 0.5, 1.0, 0.02, 0.1, 3
 #: Every so many rows are kept for the temperature.
@@ -100,7 +103,7 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: int)
 
 
 def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in small_slices(whole, 2)):
         pairs = [counts(t.as_py() or "") for t in batch.column(2)]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array([p[0] for p in pairs], pa.list_(pa.int64())), pa.array([p[1] for p in pairs], pa.list_(pa.int64()))],
@@ -111,15 +114,18 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Learns from rows with a language and a letter; at most ROWS_EACH of a language and ROWS_ALL are used, whole texts.
 
-    Which rows is settled on ids alone, before any text is read. Inverse document frequencies, weights and the
+    Which rows is settled by id hashes among the rows with a letter, in two steps, so that a language that most rows have is
+    not ranked in one task: first the least hashes of each part of a language, then those of the language. Inverse document frequencies, weights and the
     temperature (smallest log loss on the rows kept for it) come from these rows. Without any row the model knows no
     language, and every text is `und`.
     """
     ship_package(docs.sparkSession)
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike("\\p{L}")).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = known.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= ROWS_EACH)
-    chosen = written(chosen.orderBy("rank", "lang").limit(ROWS_ALL).select("id", "lang").dropDuplicates(["id"]), "lang-sample")
+    order = lambda *keys: Window.partitionBy(*keys).orderBy(F.xxhash64("id"), "id")
+    known = known.withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(PARTS)))
+    known = written(known.withColumn("rank", F.row_number().over(order("lang", "part"))).filter(F.col("rank") <= ROWS_EACH), "lang-least").drop("rank")
+    chosen = known.withColumn("rank", F.row_number().over(order("lang"))).filter(F.col("rank") <= ROWS_EACH)
+    chosen = written(chosen.orderBy("rank", "lang").limit(ROWS_ALL).groupBy("id").agg(F.min("lang").alias("lang")), "lang-sample")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
     sample = texts.select("id", "lang", "text").mapInArrow(_count_rows, docs.select(F.col(id_col).alias("id")).schema.add("lang", "string").add("at", T.ArrayType(T.LongType())).add("times", T.ArrayType(T.LongType())))
     found = sample.toPandas().sort_values("id", ignore_index=True)
@@ -150,7 +156,7 @@ def identify_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in small_slices(whole, 1)):
             out = [m.predict(t.as_py()) if t.is_valid and m.languages else (UNKNOWN, 0.0) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], names=[id_col, "lang_pred", "score"]

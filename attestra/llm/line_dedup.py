@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm.storage import remove, shared_folder, written
+from attestra.llm.storage import key_bitmap, remove, shared_folder, with_possible, written
 from attestra.llm.text import SPACES, ascii_lower, or_empty
 
 #: Shortest key, in code points, that can be dropped, and in how many documents it must be found.
@@ -109,13 +109,14 @@ def dedup_lines(
     """docs with text_col rewritten, and n_lines and n_dropped (line counts before dropping, and of what went).
 
     Keys of at least min_length code points found in at least min_docs documents lose all their lines but those in the
-    largest id that holds them. Other lines stay as they are, joined by a line feed. Counts are totals over all
+    largest id that holds them. Other lines stay as they are, joined by a line feed. Only texts that lose lines move to meet
+    them (a bitmap of bounded size tells them apart, and lets a few others through). Counts are totals over all
     documents, from the runs. The join of lines with common keys is an inner shuffled join, which Spark splits where a
     key is hot, and what it yields is gathered by document. Documents meet their dropped lines by id and text hash.
 
     A null or empty text is one empty line, and becomes an empty text. Rows that repeat an id count as a document each,
     and all of them are the largest id if their id is. A null id is never the largest unless all are null. An empty
-    table gives an empty result; other columns, whatever their names, come through.
+    table gives an empty result; other columns come through, but for ones named n_lines or n_dropped, which are replaced.
     """
     runs = index_lines(docs, id_col, text_col, min_length, batches)
     common = written(
@@ -134,16 +135,21 @@ def dedup_lines(
     held = held.select("id", "text_hash", "at", *_hashes("key"))
     lost = held.join(common.hint("merge"), KEY).filter(~F.col("id").eqNullSafe(F.col("keep_id")))
     lost = lost.groupBy("id", "text_hash").agg(F.collect_set("at").alias("lost_at"))
+    lost = written(lost, "line-lost")
+    bitmap = written(key_bitmap(lost.select(F.xxhash64("id", "text_hash").alias("h")), "h"), "line-bitmap")
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(text_col).alias("row_hash"))
+    d = with_possible(d.withColumn("row_key", F.xxhash64(F.col(f"row.`{id_col}`"), F.col("row_hash"))), "row_key", bitmap, "maybe")
     same = F.col(f"row.`{id_col}`").eqNullSafe(F.col("id")) & (F.col("row_hash") == F.col("text_hash"))
-    out = d.join(lost.hint("shuffle_hash"), same, "left")
-    out = out.withColumn("lines", lines_of(F.col(f"row.`{text_col}`")))
-    kept = F.expr("transform(array_except(sequence(0, size(lines) - 1), lost_at), i -> lines[i])")
-    new_text = F.when(F.col("lost_at").isNull(), or_empty(F.col(f"row.`{text_col}`"))).otherwise(F.array_join(kept, "\n"))
+    changed = d.filter("maybe").select("row", "row_hash").join(lost.hint("shuffle_hash"), same, "left").select("row", "lost_at")
+    out = changed.unionByName(d.filter("NOT maybe").select("row", F.lit(None).cast("array<int>").alias("lost_at")))
+    text = or_empty(F.col(f"row.`{text_col}`"))
+    lines = lines_of(F.col(f"row.`{text_col}`"))
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("lost_at", i)), "\n")
+    new_text = F.when(F.col("lost_at").isNull(), text).otherwise(kept)
     keep = [new_text.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
     return out.select(
         *keep,
-        F.size("lines").cast("long").alias("n_lines"),
+        (F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1).cast("long").alias("n_lines"),
         F.when(F.col("lost_at").isNull(), F.lit(0)).otherwise(F.size("lost_at")).cast("long").alias("n_dropped"),
     )
 

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attestra.llm.storage import written
+from attestra.llm.storage import without_keys, written
+from attestra.llm.text import small_slices
 from attestra.shipping import ship_package
 
 #: Labelled rows that the fit may use; of more, those with the smallest id hashes are used.
@@ -23,7 +24,7 @@ SAMPLE_ROWS = 20_000
 PAIRS = 6
 #: The score that stands for the quantile at which texts are cut.
 CUT = 0.3
-CACHE = 400_000
+CACHE = 50_000
 FEATURE_COLUMN = "quality_features"
 
 FEATURES = (
@@ -82,7 +83,7 @@ def _with_features(text_at: int):
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = WordMarks()
-        for batch in batches:
+        for batch in (part for whole in batches for part in small_slices(whole, text_at)):
             f = pa.array([features(t.as_py(), marks) for t in batch.column(text_at)], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*batch.columns, f], names=[*batch.schema.names, FEATURE_COLUMN])
 
@@ -121,15 +122,17 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     Rows of both classes are paired; the logistic loss is on the difference of a pair's features, with no intercept,
     so what is learnt is each feature's part in a text's strength. The cut is the quantile of the sample's strengths
     that splits the classes best (balanced accuracy; the middle, where several do). Without both classes all
-    strengths are 0 and nothing is below the cut. A null label is no label, and of a repeated id one row is used.
+    strengths are 0 and nothing is below the cut. A null label is no label. Of a repeated id the lowest label and the
+    first text in order are used.
     """
-    marked = labels.filter("quality IN (0, 1)").select(id_col, F.col("quality").cast("int").alias("quality")).dropDuplicates([id_col])
-    marked = written(marked.orderBy(F.xxhash64(id_col), id_col).limit(rows), "quality-sample")
-    sample = docs.select(id_col, text_col).join(F.broadcast(marked), id_col).dropDuplicates([id_col]).select(id_col, "quality", text_col)
-    sample = written(with_features(sample, text_col).select(id_col, "quality", FEATURE_COLUMN), "quality-features")
-
-    found = sample.toPandas().sort_values(id_col)
-    x, y = np.array(found[FEATURE_COLUMN].tolist(), dtype=np.float64).reshape(len(found), -1), found["quality"].to_numpy()
+    marked = labels.filter("quality IN (0, 1)").groupBy(F.col(id_col).alias("quality_id")).agg(F.min(F.col("quality").cast("int")).alias("quality"))
+    marked = written(marked.orderBy(F.xxhash64("quality_id"), "quality_id").limit(rows), "quality-sample")
+    texts = docs.select(F.col(id_col).alias("quality_id"), F.col(text_col).alias("quality_text"))
+    sample = texts.join(F.broadcast(marked), "quality_id").groupBy("quality_id", "quality").agg(F.min("quality_text").alias("quality_text"))
+    sample = written(with_features(sample, "quality_text").select("quality_id", "quality", FEATURE_COLUMN), "quality-features")
+
+    found = sample.toPandas().sort_values("quality_id")
+    x, y = np.array(found[FEATURE_COLUMN].tolist(), dtype=np.float64).reshape(len(found), len(FEATURES)), found["quality"].to_numpy()
     dims = len(FEATURES)
     if not 0 < y.sum() < len(y):
         return QualityModel((0.0,) * dims, (0.0,) * dims, (1.0,) * dims, 0.0, 0.0)
@@ -160,13 +163,15 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     return QualityModel(tuple(map(float, weights)), tuple(map(float, center)), tuple(map(float, scale)), cut, float((at + 1) / len(s)))
 
 
-def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataFrame:
-    """docs with quality_score and quality_predicted, of each row by its text alone.
+def scores(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, mark, score, predicted) of each row, by its text alone; mark is a hash of the text, which names the row with
+    the id. Nothing but these three columns meets Python.
 
     Null and empty texts are scored as a text without words; equal texts get equal scores.
     """
-    scored = with_features(docs, text_col).withColumn("quality_score", model.score(FEATURE_COLUMN)).drop(FEATURE_COLUMN)
-    return scored.withColumn("quality_predicted", (F.col("quality_score") >= CUT).cast("int"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
+    scored = with_features(rows).select("doc_id", "mark", model.score(FEATURE_COLUMN).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= CUT).cast("int"))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -177,12 +182,12 @@ def held_out(id_col: str = "doc_id") -> Column:
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row for each document: doc_id, held_out, score, predicted. The held-out fifth's labels are not learnt from."""
     model = fit_quality(docs, labels.filter(~held_out()))
-    return score_quality(docs.select("doc_id", "text"), model).select(
-        "doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), F.col("quality_score").alias("score"), F.col("quality_predicted").alias("predicted")
-    )
+    return scores(docs, model).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those that the classifier rejects, all columns."""
-    model = fit_quality(docs, labels.filter(~held_out()))
-    return score_quality(docs, model).filter("quality_predicted = 1").select(*docs.columns)
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without those that the classifier rejects, all columns, whatever their names. Rows are scored by id and text hash,
+    then the rejected ones are dropped by these keys."""
+    model = fit_quality(docs, labels.filter(~held_out()), id_col, text_col)
+    bad = scores(docs, model, id_col, text_col).filter("predicted = 0").select("doc_id", "mark")
+    return without_keys(docs, [F.col(f"`{id_col}`"), F.xxhash64(F.col(f"`{text_col}`"))], bad)

@@ -69,16 +69,20 @@ def key_bitmap(keys: DataFrame, hash_col: str) -> DataFrame:
     )
 
 
-def keep_possible(df: DataFrame, hash_col: str, bitmap: DataFrame) -> DataFrame:
-    """Rows of df whose hash may be among the bitmap's keys: all true ones and a few others.
+def with_possible(df: DataFrame, hash_col: str, bitmap: DataFrame, name: str) -> DataFrame:
+    """df with a column that says whether a row's hash may be among the bitmap's keys: true for all that are and a few others.
 
     The bitmap has at most BITMAP_WORDS rows whatever the data, so its broadcast is bounded. It is full at worst, and
-    then nothing is filtered; results never rest on it alone.
+    then all rows are possible; results never rest on it alone.
     """
-    probe = df.withColumn("bm_word", F.pmod(F.col(hash_col), F.lit(BITMAP_WORDS)))
-    hit = probe.join(F.broadcast(bitmap), "bm_word")
-    test = f"shiftright(bm_bits, cast(pmod(shiftright({hash_col}, 40), 64) AS int)) & 1L = 1L"
-    return hit.filter(F.expr(test)).drop("bm_word", "bm_bits")
+    probe = df.withColumn("bm_word", F.pmod(F.col(hash_col), F.lit(BITMAP_WORDS))).join(F.broadcast(bitmap), "bm_word", "left")
+    test = f"coalesce(shiftright(bm_bits, cast(pmod(shiftright({hash_col}, 40), 64) AS int)) & 1L = 1L, false)"
+    return probe.withColumn(name, F.expr(test)).drop("bm_word", "bm_bits")
+
+
+def keep_possible(df: DataFrame, hash_col: str, bitmap: DataFrame) -> DataFrame:
+    """Rows of df whose hash may be among the bitmap's keys: all true ones and a few others."""
+    return with_possible(df, hash_col, bitmap, "bm_possible").filter("bm_possible").drop("bm_possible")
 
 
 def without_keys(df: DataFrame, keys: list[Column], gone: DataFrame) -> DataFrame:
@@ -95,9 +99,7 @@ def without_keys(df: DataFrame, keys: list[Column], gone: DataFrame) -> DataFram
     own = [k.alias(f"key_{i}") for i, k in enumerate(keys)]
     row = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *own)
     row = row.withColumn("drop_hash", F.xxhash64(*[f"key_{i}" for i in range(len(keys))]))
-    probe = row.withColumn("bm_word", F.pmod("drop_hash", F.lit(BITMAP_WORDS))).join(F.broadcast(bitmap), "bm_word", "left")
-    test = F.expr("coalesce(shiftright(bm_bits, cast(pmod(shiftright(drop_hash, 40), 64) AS int)) & 1L = 1L, false)")
-    probe = probe.withColumn("maybe", test)
+    probe = with_possible(row, "drop_hash", bitmap, "maybe")
     same = None
     for i in range(len(keys)):
         one = F.col(f"key_{i}").eqNullSafe(F.col(f"gone_{i}"))

@@ -125,20 +125,28 @@ def write_warc(records: DataFrame, path: str, compression: str = "gzip") -> None
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(headers map, block, whole) of the records in WARC files of UTF-8 text; whole: the block has its stated length.
+    """(headers map, block, whole) of the records in WARC files of UTF-8 text, of any version 1; whole: the block has its
+    stated length.
 
-    Files are split at version lines, so a large file that is not compressed is read by many tasks. A block that holds a
-    version line itself is cut there, and its row says whole = false.
+    Files are split at version lines, so a large file that is not compressed is read by many tasks. A block that holds an
+    empty line and a version line itself is cut there, and its row says whole = false. A header is split at its first
+    colon; a line without one is left out, a repeated header's values are joined by a comma. A record without a length, or
+    with one that is no number, has all its text as its block and whole = null.
     """
-    raw = spark.read.option("lineSep", VERSION + CRLF).text(path).filter(F.col("value") != "")
+    raw = spark.read.option("lineSep", CRLF + "WARC/1.").text(path)
+    value = F.regexp_replace("value", "^(?:WARC/1\\.)?[0-9]+\r\n", "")
     at = F.instr("value", CRLF + CRLF)
-    head, body = F.expr("left(value, at - 1)"), F.expr("substring(value, at + 4)")
-    rows = raw.withColumn("at", at).filter("at > 0").select(head.alias("head"), body.alias("body"))
-    pairs = F.transform(F.split("head", CRLF), lambda x: F.struct(F.split(x, ": ", 2)[0].alias("k"), F.split(x, ": ", 2)[1].alias("v")))
-    rows = rows.select(F.map_from_entries(pairs).alias("headers"), "body")
-    length = F.try_element_at("headers", F.lit("Content-Length")).cast("int")
+    rows = raw.select(value.alias("value")).withColumn("at", at).filter("at > 0")
+    rows = rows.select(F.expr("left(value, at - 1)").alias("head"), F.expr("substring(value, at + 4)").alias("body"))
+    lines = F.filter(F.split("head", CRLF), lambda x: F.instr(x, ":") > 1)
+    pairs = F.transform(lines, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("k"), F.trim(F.regexp_replace(x, "^[^:]*:", "")).alias("v")))
+    rows = rows.select(pairs.alias("pairs"), "body")
+    names = F.array_distinct(F.transform("pairs", lambda p: p["k"]))
+    values = F.transform(names, lambda k: F.array_join(F.transform(F.filter("pairs", lambda p: p["k"] == k), lambda p: p["v"]), ", "))
+    rows = rows.select(F.map_from_arrays(names, values).alias("headers"), "body")
+    length = F.try_element_at("headers", F.lit("Content-Length")).try_cast("int")
     bare = F.decode(F.substring(F.encode("body", "UTF-8"), F.lit(1), length), "UTF-8")
-    return rows.select("headers", bare.alias("block"), (F.octet_length("body") >= length).alias("whole"))
+    return rows.select("headers", F.when(length.isNull(), F.col("body")).otherwise(bare).alias("block"), (F.octet_length("body") >= length).alias("whole"))
 
 
 def derivatives_report(pages: DataFrame) -> DataFrame:

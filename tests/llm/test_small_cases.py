@@ -269,6 +269,64 @@ def test_many_chunks_at_once_equal_one_by_one():
     assert model.segment_many(chunks) == [model.segment(c) for c in chunks]
 
 
+def test_read_warc_of_odd_files(spark, tmp_path):
+    head = "WARC/1.0\r\nWARC-Type:resource\r\nno colon here\r\nX: a\r\nX: b:c\r\n"
+    (tmp_path / "a.warc").write_bytes((head + "Content-Length: 5\r\n\r\nh\u00e9\r\n\r\n\r\n" + head + "Content-Length: none\r\n\r\nall\r\n\r\n").encode())
+    got = sorted(warc.read_warc(spark, str(tmp_path / "a.warc")).collect(), key=lambda r: r["block"])
+    assert [r["headers"]["X"] for r in got] == ["a, b:c"] * 2 and got[0]["headers"]["WARC-Type"] == "resource"
+    assert got[0]["whole"] is None and got[0]["block"].startswith("all") and (got[1]["whole"], got[1]["block"]) == (True, "h\u00e9\r\n")
+
+
+def test_repeated_ids_and_clashing_names(spark):
+    item = text(5, 30)
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    given = spark.createDataFrame([(1, "aa", 0), (2, "aa", 0), (2, "bbbb", 0), (2, "bbbb", 0)], "doc_id long, text string, mark int")
+    kept = sorted((r["doc_id"], r["text"]) for r in exact_dedup.drop_exact_duplicates(given).collect())
+    assert kept == [(1, "aa"), (2, "bbbb"), (2, "bbbb")]
+    assert exact_dedup.exact_dedup_report(given).filter("doc_id = 2 AND keep_id = 2 AND kept AND group_size = 2").count() == 2
+    near = spark.createDataFrame([(1, item), (2, item), (2, text(8, 30)), (None, item)], "doc_id long, text string").withColumn("node", F.lit("x")).withColumn("mark", F.lit("y"))
+    kept = ngram_join.one_per_component(near)
+    assert kept.columns == near.columns
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == sorted([(0, item), (1, item), (2, text(8, 30))])
+    dirty = spark.createDataFrame([(1, item), (2, text(9, 30))], "doc_id long, text string").withColumn("text_hash", F.lit(7)).withColumn("w", F.lit(1))
+    assert [r["doc_id"] for r in decontaminate.remove_contaminated(dirty, bench).collect()] == [2]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(3, 0), (3, 1)], "doc_id long, quality int")
+    graded = docs(spark, [text(i, 60) if i % 2 else "### " * 30 for i in range(60)]).withColumn("quality_features", F.lit(1)).withColumn("quality_score", F.lit("s")).withColumn("mark", F.lit(0))
+    good = quality.keep_good(graded.unionByName(graded.filter("doc_id = 5")), labels)
+    assert good.columns == graded.columns and {r["quality_score"] for r in good.collect()} == {"s"} and good.filter("doc_id = 5").count() == 2
+    assert quality.keep_good(docs(spark, []), labels).count() == 0
+
+
+def test_near_copies_of_one_text_in_many_components(spark):
+    """1,000 copies that differ by chains of edits, screened in blocks, against a plain comparison of all pairs."""
+    r = random.Random(11)
+    base = text(77, 150).split()
+    t = []
+    for _ in range(1000):
+        v = list(base)
+        for at in r.sample(range(len(v)), r.choice([2, 4, 5, 6])):
+            v[at] = r.choice(WORDS[:40])
+        t.append(" ".join(v))
+    hashes = ngram_join.WordHashes()
+    sets = [ngram_join.shingle_set(x, hashes) for x in t]
+    label = list(range(len(t)))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in range(len(t)):
+        for j in range(i):
+            a, b = root(i), root(j)
+            if a != b:
+                shared = len(set(sets[i].tolist()) & set(sets[j].tolist()))
+                if 4 * shared >= 3 * (len(sets[i]) + len(sets[j]) - shared):
+                    label[max(a, b)] = min(a, b)
+    got = rows(ngram_join.near_duplicates(docs(spark, t)))
+    assert [got[i]["component_id"] for i in range(len(t))] == [root(i) for i in range(len(t))]
+
+
 def test_all_segmentations_come_back(spark):
     model = piece_lattice.piece_model(piece_lattice.MODEL)
     texts = [None, "", " \n\t ", "a", "é ü ▁ 日本  ", "a\r\nb\n\nc", "unbelievable reconsiderations of a place", "\U0001f600\u00e9 x\ny  z", "w" * 70]
