@@ -27,6 +27,8 @@ HOT, SALTS = 64, 1_024
 NEAREST = 2
 #: Pairs of a signature up to which they are made in a join; larger ones are screened in blocks of at most BLOCK_ROWS nodes.
 SMALL, BLOCK_ROWS = 64, 2_048
+#: Signatures of a node, the least ones, by which a pair that shares several is told at the least of them alone.
+LEAST = 12
 #: Sizes of linked sets are as 3 to 4 at most.
 SIZES_ALLOW = "4 * least({0}, {1}) >= 3 * greatest({0}, {1})"
 #: Members of a star that one task compares with the star's centre.
@@ -287,14 +289,15 @@ def _fold(sketches: np.ndarray, words: int) -> np.ndarray:
     return sketches
 
 
-def _near(own: list, other: list) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _near(sig: int, own: list, other: list) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Nodes of own and of other that may link, in different components, of allowed sizes, their sketches near enough, and
     how far apart these are as a share of both sizes.
 
-    own and other: (node, n, label, sketch words, flat sketches) by sketch length, so that each block is a matrix.
+    own and other: (node, n, label, sketch words, flat sketches, least signatures) by sketch length, so that each block is a
+    matrix. A pair whose least signatures have one below this signature in common is met there, and left out here.
     """
-    for an, ac, al, aw, ask in own:
-        for on, oc, ol, ow, osk in other:
+    for an, ac, al, aw, ask, asig in own:
+        for on, oc, ol, ow, osk, osig in other:
             if max(aw, ow) > 2 * min(aw, ow):
                 continue
             words = min(aw, ow)
@@ -307,21 +310,27 @@ def _near(own: list, other: list) -> Iterator[tuple[np.ndarray, np.ndarray, np.n
                 apart = np.bitwise_count(a[i : i + step, None, :] ^ o[None, :, :]).sum(axis=2, dtype=np.int64)
                 both = ac[i : i + step, None] + oc
                 x, y = np.nonzero(ok & (7 * apart <= both))
+                if len(x) and asig.shape[1]:
+                    first = np.ones(len(x), dtype=bool)
+                    for k in range(0, len(x), 1 << 14):
+                        here, there = asig[i : i + step][x[k : k + (1 << 14)]], osig[y[k : k + (1 << 14)]]
+                        first[k : k + (1 << 14)] = ~((here[:, :, None] == there[:, None, :]) & (here[:, :, None] < sig)).any(axis=(1, 2))
+                    x, y = x[first], y[first]
                 if len(x):
                     yield an[i : i + step][x], on[y], apart[x, y] / both[x, y]
 
 
-def _by_length(node: np.ndarray, n: np.ndarray, label: np.ndarray, flat: np.ndarray, starts: np.ndarray, words: np.ndarray) -> list:
+def _by_length(node: np.ndarray, n: np.ndarray, label: np.ndarray, flat: np.ndarray, starts: np.ndarray, words: np.ndarray, least: np.ndarray) -> list:
     """flat is unsigned: NumPy counts a negative number's bits on its absolute value."""
     out = []
     for w in np.unique(words):
         at = np.flatnonzero(words == w)
-        out.append((node[at], n[at], label[at], int(w), flat[starts[at][:, None] + np.arange(int(w))]))
+        out.append((node[at], n[at], label[at], int(w), flat[starts[at][:, None] + np.arange(int(w))], least[at]))
     return out
 
 
 def _screen(nearest: bool):
-    """From rows (sig, part, other, node, n, label, sketch), a part's own nodes (other = 0) before the ones that they meet:
+    """From rows (sig, part, other, node, n, label, sketch, least), a part's own nodes (other = 0) before the ones that they meet:
     (x, y, apart) that may link, or for each own node x and batch the nearest such y alone. Keeps the own nodes of one part,
     BLOCK_ROWS on average at most."""
 
@@ -334,15 +343,16 @@ def _screen(nearest: bool):
             lists = batch.column(6)
             flat, offsets = lists.values.to_numpy(zero_copy_only=False).view(np.uint64), lists.offsets.to_numpy()
             starts, words = offsets[:-1], np.diff(offsets)
+            least = batch.column(7).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
             new = np.flatnonzero(np.r_[True, (sig[1:] != sig[:-1]) | (part[1:] != part[:-1]) | (other[1:] != other[:-1])])
             found = []
             for i, j in zip(new, np.r_[new[1:], len(sig)], strict=True):
-                block = _by_length(node[i:j], n[i:j], label[i:j], flat, starts[i:j], words[i:j])
+                block = _by_length(node[i:j], n[i:j], label[i:j], flat, starts[i:j], words[i:j], least[i:j])
                 if other[i] == 0:
                     own = own + block if key == (sig[i], part[i]) else block
                     key = (sig[i], part[i])
                 elif key == (sig[i], part[i]):
-                    found += _near(own, block)
+                    found += _near(sig[i], own, block)
             if found:
                 x, y, apart = (np.concatenate(c) for c in zip(*found, strict=True))
                 order = np.lexsort((y, apart, x)) if nearest else np.lexsort((y, x))
@@ -356,11 +366,15 @@ def _screen(nearest: bool):
 def _blockwise(own: DataFrame, every: DataFrame, nodes: DataFrame, nearest: bool) -> DataFrame:
     """(x, y, apart) by _screen: own nodes (sig, node, part, parts) against every node of their signatures (sig, node, n, label)."""
     parts = own.select("sig", "parts").distinct()
-    sketch = nodes.select("node", "sketch")
+    sketch = nodes.select("node", "sketch", F.array().cast("array<long>").alias("least"))
+    if not nearest:
+        padded = F.slice(F.concat(F.array_sort(F.collect_set("sig")), F.array_repeat(F.lit((1 << 63) - 1), LEAST)), 1, LEAST)
+        least = every.groupBy("node").agg(padded.alias("least"))  # a node's signatures are a third of its shingles
+        sketch = nodes.select("node", "sketch").join(least.hint("merge"), "node")
     one = own.join(sketch.hint("merge"), "node").withColumn("other", F.lit(0))
     met = every.join(parts.hint("merge"), "sig").join(sketch.hint("merge"), "node")
     met = met.withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).withColumn("other", F.lit(1))
-    order = ["sig", "part", "other", "node", "n", "label", "sketch"]
+    order = ["sig", "part", "other", "node", "n", "label", "sketch", "least"]
     rows = one.select(*order).unionByName(met.select(*order)).repartition("sig", "part").sortWithinPartitions("sig", "part", "other")
     return rows.mapInArrow(_screen(nearest), "x long, y long, apart double")
 
