@@ -20,7 +20,7 @@ SHINGLE = 5
 #: Blocks that a size band's sketch is cut into, as a share of the largest size in the band.
 BLOCKS = 0.4
 #: A shingle is common when so many different sets of a stretch of COMMON_STRETCH shingles hold it; so many common ones are sent out.
-COMMON_IN_STRETCH, COMMON_STRETCH, COMMON_SENT = 6, 2_000_000, 500_000
+COMMON_IN_STRETCH, COMMON_STRETCH, COMMON_SENT = 6, 1_000_000, 500_000
 #: A signature that so many sets of one batch hold is dealt out, in pieces of as many rows, over up to SALTS tasks (a power of two).
 HOT, SALTS = 64, 1_024
 #: Rounds in which each node left is compared with its nearest partner of one signature.

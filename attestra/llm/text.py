@@ -32,7 +32,8 @@ def or_empty(c: Column) -> Column:
 
 
 def small_slices(batch: pa.RecordBatch, column: int, rows: int = 500, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of at most so many rows and, but for a single larger row, so many bytes of that column."""
+    """The batch in slices of at most so many rows and, but for a single larger row, so many bytes of that column.
+    At the end Arrow's pool gives back what it no longer uses, which a reused worker would hold from stage to stage."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     start = 0
     while start < batch.num_rows:
@@ -40,3 +41,4 @@ def small_slices(batch: pa.RecordBatch, column: int, rows: int = 500, size: int
         end = min(max(start + 1, int(np.searchsorted(ends, before + size, side="right"))), start + rows, batch.num_rows)
         yield batch.slice(start, end - start)
         start = end
+    pa.default_memory_pool().release_unused()
