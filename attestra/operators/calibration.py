@@ -104,11 +104,13 @@ def localizer_threshold(preds: DataFrame, threshold: float) -> DataFrame:
 
 
 def localizer_report(preds: DataFrame) -> DataFrame:
-    """Rows of each label: rate of support, unstable rows, six quantiles of the score."""
-    return preds.groupBy("label").agg(
+    """Rows of each label: rate of support, unstable rows, six quantiles of the score, each a column (q0 to q100)."""
+    out = preds.groupBy("label").agg(
         F.count("*").alias("n"), F.avg(F.col("localized_or_persistent_support").cast("double")).alias("support_rate"), F.count_if("force_inconclusive").alias("unstable"),
         F.percentile("manipulation_score", F.array(*[F.lit(q) for q in (0.0, 0.1, 0.5, 0.9, 0.99, 1.0)])).alias("quantiles"),
     )
+    names = ("q0", "q10", "q50", "q90", "q99", "q100")
+    return out.select("label", "n", "support_rate", "unstable", *[F.element_at("quantiles", i + 1).alias(name) for i, name in enumerate(names)])
 
 
 def localized_rule(preds: DataFrame, precision: float, warning: float, generated: float, max_view_range: float, grid: int = GRID) -> DataFrame:

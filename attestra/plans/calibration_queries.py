@@ -73,10 +73,12 @@ def localizer_threshold(preds):
 @query(
     "preds",
     """SELECT label, count(*) AS n, avg(localized_or_persistent_support::int::double) AS support_rate, count(*) FILTER (force_inconclusive) AS unstable,
- quantile_cont(manipulation_score, [0, 0.1, 0.5, 0.9, 0.99, 1]) AS quantiles FROM preds GROUP BY label""",
+ round(quantile_cont(manipulation_score, 0), 9) AS q0, round(quantile_cont(manipulation_score, 0.1), 9) AS q10, round(quantile_cont(manipulation_score, 0.5), 9) AS q50,
+ round(quantile_cont(manipulation_score, 0.9), 9) AS q90, round(quantile_cont(manipulation_score, 0.99), 9) AS q99, round(quantile_cont(manipulation_score, 1), 9) AS q100 FROM preds GROUP BY label""",
 )
 def localizer_report(preds):
-    return cal.localizer_report(preds)
+    out = cal.localizer_report(preds)
+    return out.select(*[F.round(c, 9).alias(c) if c[0] == "q" else F.col(c) for c in out.columns])
 
 
 @query(

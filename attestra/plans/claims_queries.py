@@ -115,10 +115,11 @@ def hash_citation_match(manifest):
     return claims.hash_citation_match(texts, manifest)
 
 
-@query("frames", "SELECT video_id, list(warning ORDER BY f) AS messages FROM (SELECT video_id, warning, min(frame_index) AS f FROM frames WHERE frame_index < 9 GROUP BY ALL) GROUP BY video_id")
+@query("frames", "SELECT video_id, list(m ORDER BY f, m) AS messages FROM (SELECT video_id, trim(warning) AS m, min(frame_index) AS f FROM frames GROUP BY ALL) WHERE m <> '' GROUP BY video_id")
 def messages_unique(frames):
-    rows = frames.filter("frame_index < 9").groupBy("video_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame_index", "warning"))), lambda x: F.concat(F.lit(" "), x["warning"], F.lit(" "))).alias("m"))
-    return rows.select("video_id", claims.unique_in_order(F.concat("m", F.array(F.lit(" ")))).alias("messages"))
+    first = frames.groupBy("video_id", F.trim("warning").alias("m")).agg(F.min("frame_index").alias("f")).filter("m <> ''")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("f", "m"))), lambda x: x["m"])
+    return first.groupBy("video_id").agg(listed.alias("m")).select("video_id", claims.unique_in_order("m").alias("messages"))
 
 
 @query("frames", "SELECT video_id, list(m ORDER BY f, m) AS messages FROM (SELECT video_id, trim(warning) AS m, min(frame_index) AS f FROM frames WHERE trim(warning) <> '' GROUP BY ALL) GROUP BY video_id")
