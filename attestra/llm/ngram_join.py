@@ -21,7 +21,9 @@ SHINGLE = 5
 BLOCKS = 0.4
 #: A shingle is common when so many different sets of a stretch of COMMON_STRETCH shingles hold it; so many common ones are sent out.
 COMMON_IN_STRETCH, COMMON_STRETCH, COMMON_SENT = 6, 1_000_000, 500_000
-#: A signature that so many sets of one batch hold is dealt out, in pieces of as many rows, over up to SALTS tasks (a power of two).
+#: Signatures that a task gathers before it deals them out.
+DEALT = 400_000
+#: A signature that so many of these sets hold is dealt out, in pieces of as many rows, over up to SALTS tasks (a power of two).
 HOT, SALTS = 64, 1_024
 #: Rounds in which each node left is compared with its nearest partner of one signature.
 NEAREST = 2
@@ -215,20 +217,26 @@ def _dealt(sigs: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def _signed(common: np.ndarray):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = WordHashes(), _Seen()
-        for whole in batches:
-            for batch in small_slices(whole, 0, rows=10_000, size=8 << 20):
-                sigs, nodes = [], []
-                for text in batch.column(0):
-                    s = shingle_set(text.as_py(), hashes)
-                    node = xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
-                    if len(s) and seen.first(node):
-                        sigs.append(signatures(s, common))
-                        nodes.append(node)
-                if nodes:
-                    owner = np.repeat(np.array(nodes, dtype=np.int64), [len(x) for x in sigs])
-                    sig, owner = _dealt(np.concatenate(sigs), owner)
-                    yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(owner)], names=["sig", "node"])
+        hashes, seen, sigs, nodes, held = WordHashes(), _Seen(), [], [], 0
+
+        def dealt() -> Iterator[pa.RecordBatch]:
+            if nodes:
+                owner = np.repeat(np.array(nodes, dtype=np.int64), [len(x) for x in sigs])
+                sig, owner = _dealt(np.concatenate(sigs), owner)
+                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(owner)], names=["sig", "node"])
+
+        for batch in (part for whole in batches for part in small_slices(whole, 0)):
+            for text in batch.column(0):
+                s = shingle_set(text.as_py(), hashes)
+                node = xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+                if len(s) and seen.first(node):
+                    sigs.append(signatures(s, common))
+                    nodes.append(node)
+                    held += len(sigs[-1])
+            if held >= DEALT:
+                yield from dealt()
+                sigs, nodes, held = [], [], 0
+        yield from dealt()
 
     return emit
 
