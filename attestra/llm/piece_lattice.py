@@ -24,7 +24,7 @@ N_BEST = 4
 #: The model's place; a parameter of every function here. The file is read by each Python worker.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Chunks after which a worker starts a new generation of remembered segmentations (it keeps two), and the longest chunk kept.
-CACHE, KEPT_CHARS = 50_000, 64
+CACHE, KEPT_CHARS = 40_000, 64
 #: Characters of a chunk from which numbers of its places are packed.
 LONG = 4_096
 #: Zipf-Mandelbrot offset: a piece of rank r has probability in proportion to 1 / (r + OFFSET).
@@ -461,6 +461,7 @@ def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     ],
                     names=[id_col, "ids", "scores", "n_pieces", "others", *(["decodes"] if verify else [])],
                 )
+        model.known, model.older, model.ranked = {}, {}, {}  # the worker may go on to other work
 
     ship_package(docs.sparkSession)
     return docs.select(id_col, text_col).mapInArrow(
