@@ -70,15 +70,33 @@ def detector_summary(detectors: DataFrame) -> DataFrame:
     )
 
 
-def robust_score(df: DataFrame, key: str, value: str, task: str = "generation") -> DataFrame:
-    """(key, score): mean, upper percentiles and share of high values of each group, weighted by task."""
-    v = F.col(value)
+def _robust(v: Column, task: str) -> Column:
     mean, p90, p95, high = F.avg(v), F.percentile(v, 0.9), F.percentile(v, 0.95), F.avg((v >= 0.65).cast("double"))
     if task == "manipulation":
-        score = 0.15 * mean + 0.20 * p90 + 0.25 * p95 + 0.30 * F.max(v) + 0.10 * high
-    else:
-        score = 0.55 * mean + 0.30 * p90 + 0.15 * high
-    return df.groupBy(key).agg(clamp(score, 0, 1).alias("score"))
+        return clamp(0.15 * mean + 0.20 * p90 + 0.25 * p95 + 0.30 * F.max(v) + 0.10 * high, 0, 1)
+    return clamp(0.55 * mean + 0.30 * p90 + 0.15 * high, 0, 1)
+
+
+def robust_score(df: DataFrame, key: str, value: str, task: str = "generation") -> DataFrame:
+    """(key, score): mean, upper percentiles and share of high values of each group, weighted by task."""
+    return df.groupBy(key).agg(_robust(F.col(value), task).alias("score"))
+
+
+def tile_rollup(tiles: DataFrame, task: str = "generation") -> DataFrame:
+    """One detector row for each medium from its tiles (media_id, tile, score): status, label, score, tiles used, mean,
+    percentiles, maximum, share of high tiles, and the highest tiles (see top_tiles). A score that is missing is a tile
+    whose labels were not understood; a medium with no other tiles is `unsupported_labels`."""
+    v = F.col("score")
+    out = tiles.groupBy("media_id").agg(
+        _robust(v, task).alias("score"), F.count(v).alias("tiles"), F.avg(v).alias("mean"), F.percentile(v, 0.9).alias("p90"), F.percentile(v, 0.95).alias("p95"),
+        F.max(v).alias("maximum"), F.avg((v >= 0.65).cast("double")).alias("suspicious_ratio"),
+    )
+    none = F.col("tiles") == 0
+    kind = "manipulated" if task == "manipulation" else "synthetic"
+    label = F.when(F.col("score") >= 0.65, f"tiled_regions_likely_{kind}").when(F.col("score") >= 0.35, "tiled_regions_uncertain").otherwise("tiled_regions_lower_signal")
+    out = out.withColumns({"status": F.when(none, "unsupported_labels").otherwise("completed"), "label": F.when(~none, label), "score": F.when(~none, F.col("score"))})
+    top = top_tiles(tiles).groupBy("media_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "tile"))), lambda x: x["tile"]).alias("top"))
+    return out.join(top, "media_id", "left").withColumn("top", F.coalesce("top", F.array().cast(top.schema["top"].dataType)))
 
 
 def video_score_rollup(frames: DataFrame, key: str, value: str) -> DataFrame:

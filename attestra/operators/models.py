@@ -19,9 +19,11 @@ from attestra.operators.splits import class_weights, seeded
 
 
 def feature_inventory(records: DataFrame, excluded: list[str]) -> DataFrame:
-    """One row: the sorted union of the feature maps' keys less the excluded ones."""
+    """One row: the sorted union of the feature maps' keys less the excluded ones, and the records' sampling policy, `mixed`
+    where they have several. A missing policy is none."""
     names = records.select(F.explode(F.map_keys("features")).alias("name")).filter(~F.col("name").isin(excluded)).distinct()
-    return names.agg(F.array_sort(F.collect_list("name")).alias("names"))
+    policy = records.agg(F.when(F.min("sampling_policy") == F.max("sampling_policy"), F.min("sampling_policy")).when(F.count("sampling_policy") > 0, "mixed").alias("sampling_policy"))
+    return names.agg(F.array_sort(F.collect_list("name")).alias("names")).crossJoin(F.broadcast(policy))
 
 
 def feature_matrix(records: DataFrame, names: list[str]) -> DataFrame:

@@ -119,3 +119,21 @@ def completed_parents(records: DataFrame, listing: DataFrame, version: str, vari
     there = own.join(listing.select("path", F.lit(True).alias("_there")).distinct().hint("merge"), "path", "left")
     done = there.groupBy("parent").agg(F.count("*").alias("n"), F.bool_and(F.coalesce("_there", F.lit(False))).alias("whole"))
     return done.filter(F.col("whole") & (F.col("n") >= variants)).select("parent")
+
+
+def numbered(rows: DataFrame, key: str) -> DataFrame:
+    """rows with ordinal, 0 and on, by the first three hex digits of the key's SHA-256 and then the key. Rows are ordered inside
+    these 4,096 buckets, and only the buckets' counts are summed up in order, so no task orders all rows."""
+    b = rows.withColumn("_b", F.substring(F.sha2(F.col(key).cast("string"), 256), 1, 3))
+    before = F.coalesce(F.sum("_c").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = b.groupBy("_b").agg(F.count("*").alias("_c")).select("_b", before.alias("_s"))
+    ranked = b.withColumn("_k", F.row_number().over(Window.partitionBy("_b").orderBy(key)))
+    return ranked.join(F.broadcast(starts), "_b").withColumn("ordinal", F.col("_s") + F.col("_k") - 1).drop("_b", "_s", "_k")
+
+
+def modulo_pairing(parents: DataFrame, references: DataFrame, key: str) -> DataFrame:
+    """parents with `reference`: the i-th parent gets the key of the (i mod n)-th of n references; null if there are none."""
+    refs = numbered(references.select(key), key).select(F.col("ordinal").alias("_at"), F.col(key).alias("reference"))
+    n = references.agg(F.nullif(F.count("*"), F.lit(0)).alias("_n"))
+    own = numbered(parents, key).crossJoin(F.broadcast(n)).withColumn("_at", F.pmod("ordinal", F.col("_n")))
+    return own.join(refs.hint("merge"), "_at", "left").drop("_at", "_n", "ordinal")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from attestra.operators import assembly
+from attestra.operators import assembly, splits
 from attestra.plans.registry import query
 
 _LISTED = "('0x' || substr(sha256(path), 1, 2))::bigint % 3 > 0"
@@ -25,6 +25,17 @@ def eligible_rows(manifest):
     return assembly.eligible_rows(manifest, _listed(manifest), "train", ["real_camera", "ai_generated"]).select("path", "class_label")
 
 
+@query(
+    "manifest",
+    """, p AS (SELECT path, row_number() OVER (ORDER BY substr(sha256(path), 1, 3), path) - 1 AS i FROM manifest WHERE class_label = 'real_camera'),
+r AS (SELECT path, row_number() OVER (ORDER BY substr(sha256(path), 1, 3), path) - 1 AS i FROM manifest WHERE class_label = 'ai_generated')
+SELECT p.path, r.path AS reference FROM p LEFT JOIN r ON r.i = p.i % (SELECT count(*) FROM r)""",
+)
+def modulo_pairing(manifest):
+    side = lambda label: manifest.filter(F.col("class_label") == label).select("path")
+    return splits.modulo_pairing(side("real_camera"), side("ai_generated"), "path")
+
+
 @query("preds", "SELECT path, label AS expected, CASE WHEN generation_score >= 0.5 THEN 'ai_generated' ELSE 'real_camera' END AS predicted FROM preds WHERE label <> CASE WHEN generation_score >= 0.5 THEN 'ai_generated' ELSE 'real_camera' END ORDER BY path LIMIT 40")
 def misclassified_top(preds):
     predicted = F.when(F.col("generation_score") >= 0.5, "ai_generated").otherwise("real_camera")

@@ -105,6 +105,21 @@ def top_tiles(frames):
     return fusion.top_tiles(frames.select(F.col("video_id").alias("media_id"), F.col("frame_index").alias("tile"), F.col("manipulation_probability").alias("score")))
 
 
+@query(
+    "frames",
+    """, t AS (SELECT video_id AS media_id, frame_index AS tile, CASE WHEN event_id % 5 > 0 THEN manipulation_probability END AS s FROM frames),
+a AS (SELECT media_id, count(s) AS tiles, avg(s) AS mean, quantile_cont(s, 0.9) AS p90, quantile_cont(s, 0.95) AS p95, max(s) AS maximum, avg((s >= 0.65)::int::double) AS suspicious_ratio FROM t GROUP BY media_id),
+b AS (SELECT *, greatest(0, least(1, 0.15 * mean + 0.20 * p90 + 0.25 * p95 + 0.30 * maximum + 0.10 * suspicious_ratio)) AS v FROM a),
+h AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY s DESC NULLS LAST, tile) AS r, count(*) OVER (PARTITION BY media_id) AS k FROM t), l AS (SELECT media_id, list(tile ORDER BY r) AS top FROM h WHERE r <= 5 AND s >= 0.65 AND k > 1 GROUP BY media_id)
+SELECT media_id, CASE WHEN tiles > 0 THEN 'completed' ELSE 'unsupported_labels' END AS status, CASE WHEN tiles = 0 THEN NULL WHEN v >= 0.65 THEN 'tiled_regions_likely_manipulated' WHEN v >= 0.35 THEN 'tiled_regions_uncertain' ELSE 'tiled_regions_lower_signal' END AS label,
+ CASE WHEN tiles > 0 THEN round(v, 9) END AS score, tiles, round(mean, 9) AS mean, round(p90, 9) AS p90, round(p95, 9) AS p95, maximum, round(suspicious_ratio, 9) AS suspicious_ratio, coalesce(top, []) AS top FROM b LEFT JOIN l USING (media_id)""",
+)
+def tile_rollup(frames):
+    score = F.when(F.col("event_id") % 5 > 0, F.col("manipulation_probability"))
+    out = fusion.tile_rollup(frames.select(F.col("video_id").alias("media_id"), F.col("frame_index").alias("tile"), score.alias("score")), "manipulation")
+    return out.withColumns({c: F.round(c, 9) for c in ("score", "mean", "p90", "p95", "suspicious_ratio")})
+
+
 CONTEXT = """SELECT p_partkey AS media_id, CASE WHEN p_partkey % 4 = 0 THEN 'video' ELSE 'image' END AS media_type, CASE WHEN p_partkey % 9 <> 0 THEN 100 + p_size * 40 END AS width, 700 AS height,
  CASE WHEN p_partkey % 12 <> 0 THEN cast(p_partkey % 30 AS int) END AS frames, cast(p_partkey % 40 AS double) / 100e0 AS instability, CASE WHEN p_partkey % 15 = 0 THEN ' SomeTool ' END AS ai_marker, p_partkey % 7 = 0 AS camera_marker, p_partkey % 11 = 0 AS provenance_verified FROM """
 

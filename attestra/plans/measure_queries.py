@@ -50,7 +50,12 @@ def synthetic_class_mass(image_stats):
     return n.select("media_id", measures.class_mass(F.col("n")).alias("synthetic"), measures.manipulation_mass(F.col("n")).alias("manipulation"), F.transform("n", lambda x: x["label"]).alias("labels"))
 
 
-@query("image_stats")
+@query(
+    "image_stats",
+    """, x AS (SELECT media_id, width, height, unnest(list_distinct(list_append(range(0, greatest(width - 512, 0) + 1, 384), greatest(width - 512, 0)))) AS l FROM image_stats),
+y AS (SELECT *, unnest(list_distinct(list_append(range(0, greatest(height - 512, 0) + 1, 384), greatest(height - 512, 0)))) AS t FROM x)
+SELECT media_id, l AS left, t AS top, least(l + 512, width) AS right, least(t + 512, height) AS bottom FROM y""",
+)
 def tile_grid(image_stats):
     return measures.tile_grid(image_stats)
 
@@ -100,10 +105,13 @@ def resume_pending(manifest):
     return readers.pending(manifest.select("path"), done, "path", "v1")
 
 
-@query("policy", "SELECT * REPLACE (0.9::double AS generation_upper) FROM policy")
-def policy_merge(policy):
-    override = policy.sparkSession.sql("SELECT 0.9e0 AS generation_upper, cast(null AS double) AS generation_lower")
-    return readers.merged_policy(policy, override)
+@query(
+    "preds policy",
+    "SELECT g.key, p.* REPLACE (coalesce(g.u, p.generation_upper) AS generation_upper) FROM policy p CROSS JOIN (SELECT generator_or_editor AS key, CASE WHEN count(*) >= 5 THEN max(generation_score) END AS u FROM preds GROUP BY generator_or_editor) g",
+)
+def policy_merge(preds, policy):
+    overrides = preds.groupBy(F.col("generator_or_editor").alias("key")).agg(F.when(F.count("*") >= 5, F.max("generation_score")).alias("generation_upper"))
+    return readers.merged_policies(policy, overrides, "key")
 
 
 @query("preds", "SELECT doc_id, lower(trim(label)) AS label, generation_score FROM preds")
@@ -112,15 +120,16 @@ def prediction_scan(preds):
     return readers.prediction_rows(raw).select("doc_id", "label", "generation_score")
 
 
-@query("embeddings", "SELECT vec_id, 1 / (1 + exp(-(list_sum(list_transform(range(1, 9), lambda i: embedding[i]::double * (i / 10.0::double))) + 0.1))) AS score FROM embeddings")
+@query("embeddings", "SELECT vec_id, round(1 / (1 + exp(-(list_sum(list_transform(range(1, 65), lambda i: embedding[i]::double * ((i % 7 - 3) / 10.0::double))) + 0.1))), 9) AS score FROM embeddings")
 def linear_head_score(embeddings):
-    return embeddings.select("vec_id", models.linear_head_score(F.slice("embedding", 1, 8), [i / 10 for i in range(1, 9)], 0.1).alias("score"))
+    return embeddings.select("vec_id", F.round(models.linear_head_score(F.col("embedding"), [(i % 7 - 3) / 10 for i in range(1, 65)], 0.1), 9).alias("score"))
 
 
-@query("frames", "SELECT ['a', 'b', 'c'] AS names, 0 AS missing FROM (SELECT 1)")
+@query("frames", "SELECT (SELECT list(DISTINCT warning ORDER BY warning) FROM frames WHERE warning <> 'view') AS names, CASE WHEN min(s) = max(s) THEN min(s) ELSE 'mixed' END AS sampling_policy FROM (SELECT CASE WHEN luma >= 0.1 THEN 'adaptive' ELSE 'uniform' END AS s FROM frames)")
 def feature_inventory(frames):
-    r = frames.select(F.when(F.col("frame_index") % 2 == 0, F.create_map(F.lit("b"), F.lit(1.0), F.lit("a"), F.lit(2.0))).otherwise(F.create_map(F.lit("c"), F.lit(1.0), F.lit("drop"), F.lit(1.0))).alias("features"))
-    return models.feature_inventory(r, ["drop"]).withColumn("missing", F.lit(0))
+    policy = F.when(F.col("luma") >= 0.1, "adaptive").otherwise("uniform")
+    records = frames.filter("warning IS NOT NULL").select(F.create_map("warning", "ai_probability").alias("features"), policy.alias("sampling_policy"))
+    return models.feature_inventory(records, ["view"])
 
 
 @query("image_stats")

@@ -70,6 +70,14 @@ def merged_policy(defaults: DataFrame, override: DataFrame) -> DataFrame:
     return row.select(*[F.coalesce(f"_{c}", c).alias(c) if c in override.columns else F.col(c) for c in defaults.columns])
 
 
+def merged_policies(defaults: DataFrame, overrides: DataFrame, key: str) -> DataFrame:
+    """One row for each row of overrides, named by its key: its columns where they are not null, else those of the one row
+    of defaults."""
+    own = [c for c in defaults.columns if c in overrides.columns]
+    rows = overrides.select(key, *[F.col(c).alias(f"_{c}") for c in own]).crossJoin(F.broadcast(defaults.limit(1)))
+    return rows.select(key, *[F.coalesce(f"_{c}", c).alias(c) if c in own else F.col(c) for c in defaults.columns])
+
+
 def pending(inputs: DataFrame, done: DataFrame, key: str, config: str) -> DataFrame:
     """inputs that are not done; an error if anything was done under another configuration."""
     if done.filter(~F.col("config").eqNullSafe(F.lit(config))).limit(1).count():
