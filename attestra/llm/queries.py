@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestra.llm import decontaminate, edit_counts, exact_dedup, language_id, line_dedup, ngram_join, pii, piece_lattice, quality, warc
+from attestra.llm import (
+    decontaminate,
+    edit_counts,
+    exact_dedup,
+    language_id,
+    line_dedup,
+    ngram_join,
+    periodic_runs,
+    pii,
+    piece_lattice,
+    quality,
+    turn_repair,
+    url_rules,
+    warc,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +67,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
+def op11_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.url_report(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair_report(table(spark, sf_dir, "conversations"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_quality_classifier,
@@ -65,16 +91,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_exact_dedup,
         op9_warc_derivatives,
         op10_decontamination,
+        op11_url_rules,
+        op12_conversation_repair,
+        op13_periodic_runs,
     )
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    """Operators 1 to 4 and 7 have none: models, trees and segmentations are tested against brute force instead."""
+    """Operators 1 to 4, 7, 11 and 13 have none: models, trees, segmentations and runs are tested against brute force instead."""
     return {
         "op5_line_dedup": line_dedup.SQL,
         "op6_ngram_jaccard_join": ngram_join.SQL,
         "op8_exact_dedup": exact_dedup.SQL,
         "op9_warc_derivatives": warc.SQL,
         "op10_decontamination": decontaminate.SQL,
+        "op12_conversation_repair": turn_repair.SQL,
     }
