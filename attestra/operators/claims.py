@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from attestra.functions.scores import clamp, clamp_score
 
 # Patterns and phrases, all in lower case; a word pattern is bounded by characters that are no word's.
-SOURCE_PATTERNS = ["https?://"]
+SOURCE_PATTERNS = ["https?://", r"(?:^|[^\p{L}\p{N}_])source:[\p{L}\p{N}_]"]
 SOURCE_WORDS = ["according to", "reported by", "reuters", "associated press", "ap news", "bbc", "npr", "university", "policy group", "official"]
 URGENCY = ["share now", "breaking", "they don't want you to know", "they dont want you to know", "before it gets deleted", "wake up", "urgent", "click this link now", "act now"]
 FEAR = ["secretly", "cover-up", "cover up", "destroyed", "collapse", "invasion", "takeover", "deleted", "permanent suspension", "exposed"]
@@ -215,6 +215,25 @@ def research_outcome(status: Column, citations: Column, exact: Column) -> Column
     )
 
 
+#: A JSON string from its first quote to its last, escapes within, and the colon that makes it a key; without backtracking.
+JSON_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:\s*+:)?+'
+
+
+def json_keys(body: Column) -> Column:
+    """The keys of a JSON text at any depth, in order, repeated ones too; empty for null and for what is no JSON.
+
+    Strings are taken one after the other from the left, so quotes, colons and escapes inside a string value are part of
+    that value; outside of strings JSON has no quotes. A key with a backslash is decoded. An object that repeats a key is
+    no JSON here.
+    """
+    found = F.filter(F.regexp_extract_all(body, F.lit(JSON_STRING), F.lit(0)), lambda x: x.endswith(":"))
+    quoted = F.transform(found, lambda x: F.rtrim(F.substring(x, F.lit(1), F.length(x) - 1), F.lit(" \t\r\n")))
+    plain = lambda x: F.substring(x, F.lit(2), F.length(x) - 2)
+    keys = F.transform(quoted, lambda x: F.when(F.contains(x, F.lit("\\")), F.from_json(F.concat(F.lit("["), x, F.lit("]")), "array<string>")[0]).otherwise(plain(x)))
+    return F.when(F.try_parse_json(body).isNotNull(), keys).otherwise(F.array().cast("array<string>"))
+
+
 def manifest_key_count(body: Column) -> Column:
     """How many keys of a JSON text name a manifest or a claim, at any depth."""
-    return F.regexp_count(F.lower(F.coalesce(body, F.lit(""))), F.lit(r'"[^"]*(?:manifest|claim)[^"]*"\s*:'))
+    named = F.filter(json_keys(body), lambda k: F.lower(k).contains("manifest") | F.lower(k).contains("claim"))
+    return F.size(named)

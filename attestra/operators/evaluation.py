@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestra.functions.scores import GENERATED, MANIPULATED, count_if, expected_verdict, is_positive, normalized_label, ratio
 from attestra.operators.prefix import prefix_counts
+from attestra.shipping import ship_package
 
 AI_VERDICTS = ["likely_ai_generated", "likely_ai_manipulated"]
 
@@ -242,24 +247,28 @@ def class_report(pairs: DataFrame, truth: str = "truth", predicted: str = "predi
 
 
 def bootstrap_intervals(classified: DataFrame, samples: int = 1000, seed: int = 404) -> DataFrame:
-    """(metric, low, high): 95 % intervals of coverage and the authentic false-AI rate.
+    """(metric, low, high): 95 % intervals of coverage and the authentic false-AI rate; no rows without predictions.
 
-    The input is reduced to its verdict cells, 12 at most; each replicate draws cell counts with the cells' means
-    (Poisson weights by a normal approximation of the cell total), so the work does not depend on the rows.
+    Rows drawn with replacement have multinomial counts by verdict cell, of which there are 12 at most. Each replicate
+    draws these counts, from a generator seeded by its number, so the work does not depend on the rows. Bounds are
+    the replicates' nearest ranks.
     """
-    cells = verdict_cells(classified)
-    reps = classified.sparkSession.range(samples).withColumnRenamed("id", "replicate")
-    u = lambda k: (F.pmod(F.xxhash64("replicate", "normalized_label", "verdict", F.lit(seed), F.lit(k)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    normal = F.sqrt(-2 * F.log(u(1))) * F.cos(2 * 3.141592653589793 * u(2))
-    drawn = F.greatest(F.lit(0.0), F.col("n") + F.sqrt(F.col("n").cast("double")) * normal)
-    d = reps.crossJoin(F.broadcast(cells)).withColumn("w", drawn)
-    s = lambda c: F.sum(F.when(c, F.col("w")).otherwise(0.0))
-    auth = F.col("normalized_label") == "authentic"
-    r = d.groupBy("replicate").agg(
-        (s(F.col("verdict") != "inconclusive") / F.greatest(F.sum("w"), F.lit(1e-9))).alias("decisive_coverage"),
-        (s(auth & F.col("verdict").isin(AI_VERDICTS)) / F.greatest(s(auth), F.lit(1.0))).alias("authentic_false_ai_rate"),
-    )
-    q = r.select(F.expr("stack(2, 'decisive_coverage', decisive_coverage, 'authentic_false_ai_rate', authentic_false_ai_rate) AS (metric, v)"))
-    return q.groupBy("metric").agg(F.percentile("v", 0.025).alias("low"), F.percentile("v", 0.975).alias("high"))
-
-
+    ship_package(classified.sparkSession)
+    cells = verdict_cells(classified).agg(F.array_sort(F.collect_list(F.struct("normalized_label", "verdict", "n"))).alias("cells"))
+    reps = classified.sparkSession.range(samples).withColumnRenamed("id", "replicate").crossJoin(F.broadcast(cells.filter("size(cells) > 0")))
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rates = []
+            for replicate, found in zip(b["replicate"], b["cells"], strict=True):
+                label, verdict = [c["normalized_label"] for c in found], [c["verdict"] for c in found]
+                n = np.array([c["n"] for c in found], dtype=np.int64)
+                drawn = np.random.default_rng([seed, int(replicate)]).multinomial(n.sum(), n / n.sum())
+                auth = np.array([x == "authentic" for x in label])
+                decided, ai = np.array([v != "inconclusive" for v in verdict]), np.array([v in AI_VERDICTS for v in verdict])
+                rates += [("decisive_coverage", drawn[decided].sum() / n.sum()), ("authentic_false_ai_rate", drawn[auth & ai].sum() / max(1, drawn[auth].sum()))]
+            yield pd.DataFrame(rates, columns=["metric", "v"])
+
+    q = reps.mapInPandas(draw, "metric string, v double").groupBy("metric").agg(F.array_sort(F.collect_list("v")).alias("v"))
+    nearest = lambda share: F.col("v")[round(share * (samples - 1))]
+    return q.select("metric", nearest(0.025).alias("low"), nearest(0.975).alias("high"))

@@ -10,6 +10,7 @@ from attestra.functions.scores import clamp, ratio
 
 # What is a scene cut, a duplicate frame, a high frame.
 CUT_DELTA, CUT_CORRELATION, DUPLICATE_DELTA, HIGH = 0.18, 0.65, 0.0015, 0.65
+FLOW = ("flow_warp_error", "flow_inconsistency")
 
 
 def _order():
@@ -55,8 +56,15 @@ def persistent_run(frames: DataFrame, value: str, threshold: float = 0.95, run:
 
 
 def video_features(frames: DataFrame) -> DataFrame:
-    """One row for each video: mean, deviation, percentiles, shares, runs and pair-based ratios of its series."""
-    d = frame_deltas(frames)
+    """One row for each video: mean, deviation, percentiles, shares, runs and pair-based ratios of its series.
+
+    pixel_probability, flow_warp_error and flow_inconsistency may be missing; without any value the first is 0.5 and the others
+    are 0. Flow counts between frames that are neither a scene cut nor a duplicate.
+    """
+    every = frames.withColumns({c: F.lit(None).cast("double") for c in ("pixel_probability", *FLOW) if c not in frames.columns})
+    d = frame_deltas(every)
+    moving = F.col("luma_delta").isNotNull() & ~F.col("scene_cut") & ~F.col("duplicate")
+    d = d.withColumns({c: F.when(moving, F.col(c)) for c in FLOW})
     p = lambda c, q: F.percentile(c, q)
     pairs = F.greatest(F.lit(1), F.count("*") - 1).cast("double")
     ai, truth, luma = "ai_probability", "truth_score", "luma_delta"
@@ -68,14 +76,18 @@ def video_features(frames: DataFrame) -> DataFrame:
         F.coalesce(p(truth, 0.1), F.lit(50.0)).alias("frame_truth_score_p10"),
         F.coalesce(F.avg(luma), F.lit(0.0)).alias("luma_delta_mean"), F.coalesce(F.stddev_pop(luma), F.lit(0.0)).alias("luma_delta_std"), F.coalesce(p(luma, 0.95), F.lit(0.0)).alias("luma_delta_p95"),
         F.coalesce(F.avg("noise_delta"), F.lit(0.0)).alias("noise_delta_mean"), F.coalesce(F.avg("edge_delta"), F.lit(0.0)).alias("edge_density_delta_mean"),
+        F.coalesce(F.avg("pixel_probability"), F.lit(0.5)).alias("pixel_forensic_probability_mean"), F.coalesce(p("pixel_probability", 0.95), F.lit(0.5)).alias("pixel_forensic_probability_p95"),
+        F.coalesce(F.avg("flow_warp_error"), F.lit(0.0)).alias("flow_warp_error_mean"), F.coalesce(p("flow_warp_error", 0.95), F.lit(0.0)).alias("flow_warp_error_p95"),
+        F.coalesce(F.avg("flow_inconsistency"), F.lit(0.0)).alias("flow_inconsistency_mean"),
         (F.count_if("duplicate") / pairs).alias("duplicate_frame_ratio"), (F.count_if("scene_cut") / pairs).alias("scene_cut_ratio"), F.count("*").alias("frames"),
     )
     return out.join(longest_run_share(frames, ai).withColumnRenamed("share", "frame_ai_sustained_ratio"), "video_id")
 
 
 def temporal_rules(features: DataFrame) -> DataFrame:
-    """(video_id, probability, reasons): a rule-based score of the features at hand; 0.35 for under three frames."""
+    """(video_id, probability, reasons): a rule-based score of the features; 0.35 for under three frames."""
     rules = [
+        (F.col("flow_warp_error_mean") > 0.10, 0.10, "warp"), (F.col("flow_warp_error_p95") > 0.18, 0.10, "warp_peaks"), (F.col("flow_inconsistency_mean") > 1.35, 0.08, "flow"),
         (F.col("noise_delta_mean") > 0.38, 0.09, "noise"), (F.col("edge_density_delta_mean") > 0.055, 0.06, "edges"),
         (F.col("duplicate_frame_ratio") > 0.18, 0.07, "duplicates"), (F.col("frame_ai_sustained_ratio") >= 0.35, 0.12, "sustained"),
     ]

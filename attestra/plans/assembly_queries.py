@@ -69,11 +69,11 @@ def detector_union(detectors, frames):
 
 @query(
     "detectors",
-    "SELECT media_id, round((sum(p * w) / sum(CASE WHEN p IS NOT NULL THEN w END))::double, 9) AS probability FROM (SELECT media_id, synthetic_probability::double AS p, CASE WHEN pos = 1 THEN 1.25::double WHEN name = 'packaged-detector' THEN 1.35::double ELSE 0.55::double END AS w FROM detectors WHERE pos = 1 OR (pos > 2 AND coalesce(task, 'generation') = 'generation')) GROUP BY media_id",
+    "SELECT media_id, round((sum(p * w) / sum(CASE WHEN p IS NOT NULL THEN w END))::double, 9) AS probability FROM (SELECT media_id, synthetic_probability::double AS p, CASE WHEN pos = 1 THEN 1.25::double WHEN name = 'packaged-detector' THEN 1.35::double ELSE 0.55::double END AS w FROM detectors WHERE pos = 1 OR (pos > 1 AND coalesce(task, 'generation') = 'generation')) GROUP BY media_id",
 )
 def video_fusion(detectors):
     summary = detectors.filter("pos = 1").select("media_id", F.col("synthetic_probability").cast("double").alias("summary"))
-    others = detectors.filter("pos > 2").withColumn("synthetic_probability", F.col("synthetic_probability").cast("double"))
+    others = detectors.filter("pos > 1").withColumn("synthetic_probability", F.col("synthetic_probability").cast("double"))
     return assembly.video_fusion(summary, others, "packaged-detector").withColumn("probability", F.round("probability", 9))
 
 

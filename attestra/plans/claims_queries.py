@@ -208,7 +208,15 @@ def research_outcome(pages):
     return pages.select("page_id", claims.research_outcome(status, F.col("page_id") % 7, F.col("page_id") % 2 == 0).alias("score"))
 
 
-@query("pages", "SELECT page_id, page_id % 3 + 1 AS n FROM pages")
-def manifest_key_count(pages):
-    body = F.concat(F.lit('{"active_manifest": {'), F.array_join(F.transform(F.sequence(F.lit(1), (F.col("page_id") % 3 + 1).cast("int")), lambda i: F.concat(F.lit('"k'), i, F.lit('": 1'))), ", "), F.lit('}, "x": ['), F.array_join(F.array_repeat(F.lit('{"Claim_a" : 2}'), (F.col("page_id") % 3).cast("int")), ", "), F.lit("]}"))
-    return pages.select("page_id", claims.manifest_key_count(body).cast("long").alias("n"))
+@query(
+    "conversations",
+    """SELECT conv_id, turn, count(t.key) FILTER (lower(t.key) LIKE '%manifest%' OR lower(t.key) LIKE '%claim%') AS n
+FROM (SELECT conv_id, turn, to_json({'active_manifest': {'label': text || ' "manifest": {', 'Claim "a"': turn}, 'turns': [{'role': role, 'text': 'said "claim": ' || text, 'claims': CASE WHEN turn % 2 = 0 THEN [{'manifest\\x': turn}] ELSE [] END}]})::json AS body
+ FROM conversations), json_tree(body) AS t GROUP BY conv_id, turn""",
+)
+def manifest_key_count(conversations):
+    claims_of = F.when(F.col("turn") % 2 == 0, F.array(F.struct(F.col("turn").alias("manifest\\x")))).otherwise(F.array())
+    said = F.struct("role", F.concat(F.lit('said "claim": '), "text").alias("text"), claims_of.alias("claims"))
+    active = F.struct(F.concat("text", F.lit(' "manifest": {')).alias("label"), F.col("turn").alias('Claim "a"'))
+    body = F.to_json(F.struct(active.alias("active_manifest"), F.array(said).alias("turns")))
+    return conversations.select("conv_id", "turn", claims.manifest_key_count(body).cast("long").alias("n"))

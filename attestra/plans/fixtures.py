@@ -38,7 +38,9 @@ SELECT user_id AS video_id, cast(row_number() OVER (PARTITION BY user_id ORDER B
        least(1e0, value/200e0) AS ai_probability, value/500e0 AS luma,
        1e0 + cast(event_id % 31 AS double)/10e0 AS noise, cast(event_id % 97 AS double)/485e0 AS edge_density,
        1e0 - cast(event_id % 11 AS double)/20e0 AS hist_correlation, 100e0 - least(100e0, value/2e0) AS truth_score,
-       cast(event_id % 101 AS double)/100e0 AS manipulation_probability, event_type AS warning, 30e0 AS fps
+       cast(event_id % 101 AS double)/100e0 AS manipulation_probability, event_type AS warning, 30e0 AS fps,
+       CASE WHEN event_id % 7 <> 0 THEN cast(event_id % 89 AS double)/100e0 END AS pixel_probability,
+       cast(event_id % 53 AS double)/400e0 AS flow_warp_error, 0.8e0 + cast(event_id % 67 AS double)/50e0 AS flow_inconsistency
 FROM {events}""",
     "manifest": """
 SELECT concat('doc/', cast(d.doc_id as string)) AS path, sha2(d.text,256) AS sha256, 'text' AS media_type,

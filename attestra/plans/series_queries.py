@@ -40,7 +40,8 @@ def persistent_run(frames):
 
 FEATURES = (
     "frame_ai_probability_mean frame_ai_probability_std frame_ai_probability_p90 frame_ai_probability_p95 frame_ai_high_risk_ratio frame_truth_score_mean frame_truth_score_std frame_truth_score_p10 "
-    "luma_delta_mean luma_delta_std luma_delta_p95 noise_delta_mean edge_density_delta_mean duplicate_frame_ratio scene_cut_ratio frame_ai_sustained_ratio"
+    "luma_delta_mean luma_delta_std luma_delta_p95 noise_delta_mean edge_density_delta_mean duplicate_frame_ratio scene_cut_ratio frame_ai_sustained_ratio "
+    "pixel_forensic_probability_mean pixel_forensic_probability_p95 flow_warp_error_mean flow_warp_error_p95 flow_inconsistency_mean"
 ).split()
 FEATURE_SQL = (
     DELTAS
@@ -48,7 +49,10 @@ FEATURE_SQL = (
     + """, f AS (SELECT video_id, avg(ai_probability) AS frame_ai_probability_mean, stddev_pop(ai_probability) AS frame_ai_probability_std, quantile_cont(ai_probability, 0.9) AS frame_ai_probability_p90, quantile_cont(ai_probability, 0.95) AS frame_ai_probability_p95,
  count(*) FILTER (ai_probability >= 0.65) / greatest(1, count(ai_probability)) AS frame_ai_high_risk_ratio, avg(truth_score) AS frame_truth_score_mean, stddev_pop(truth_score) AS frame_truth_score_std, quantile_cont(truth_score, 0.1) AS frame_truth_score_p10,
  coalesce(avg(luma_delta), 0) AS luma_delta_mean, coalesce(stddev_pop(luma_delta), 0) AS luma_delta_std, coalesce(quantile_cont(luma_delta, 0.95), 0) AS luma_delta_p95, coalesce(avg(noise_delta), 0) AS noise_delta_mean, coalesce(avg(edge_delta), 0) AS edge_density_delta_mean,
- count(*) FILTER (duplicate) / greatest(1, count(*) - 1) AS duplicate_frame_ratio, count(*) FILTER (scene_cut) / greatest(1, count(*) - 1) AS scene_cut_ratio, count(*) AS frames, any_value(run / n) AS frame_ai_sustained_ratio FROM d JOIN runs USING (video_id) GROUP BY video_id)
+ count(*) FILTER (duplicate) / greatest(1, count(*) - 1) AS duplicate_frame_ratio, count(*) FILTER (scene_cut) / greatest(1, count(*) - 1) AS scene_cut_ratio, count(*) AS frames, any_value(run / n) AS frame_ai_sustained_ratio,
+ coalesce(avg(pixel_probability), 0.5) AS pixel_forensic_probability_mean, coalesce(quantile_cont(pixel_probability, 0.95), 0.5) AS pixel_forensic_probability_p95, coalesce(avg(flow_warp_error) FILTER (moving), 0) AS flow_warp_error_mean,
+ coalesce(quantile_cont(flow_warp_error, 0.95) FILTER (moving), 0) AS flow_warp_error_p95, coalesce(avg(flow_inconsistency) FILTER (moving), 0) AS flow_inconsistency_mean
+ FROM (SELECT *, luma_delta IS NOT NULL AND NOT scene_cut AND NOT duplicate AS moving FROM d) d JOIN runs USING (video_id) GROUP BY video_id)
 """
 )
 
@@ -61,9 +65,9 @@ def video_features(frames):
 @query(
     "frames",
     FEATURE_SQL
-    + """, r AS (SELECT video_id, frames, list_filter([CASE WHEN noise_delta_mean > 0.38 THEN 'noise' END, CASE WHEN edge_density_delta_mean > 0.055 THEN 'edges' END, CASE WHEN duplicate_frame_ratio > 0.18 THEN 'duplicates' END,
+    + """, r AS (SELECT video_id, frames, list_filter([CASE WHEN flow_warp_error_mean > 0.10 THEN 'warp' END, CASE WHEN flow_warp_error_p95 > 0.18 THEN 'warp_peaks' END, CASE WHEN flow_inconsistency_mean > 1.35 THEN 'flow' END, CASE WHEN noise_delta_mean > 0.38 THEN 'noise' END, CASE WHEN edge_density_delta_mean > 0.055 THEN 'edges' END, CASE WHEN duplicate_frame_ratio > 0.18 THEN 'duplicates' END,
  CASE WHEN frame_ai_sustained_ratio >= 0.35 THEN 'sustained' END], lambda x: x IS NOT NULL) AS rs FROM f)
-SELECT video_id, round(CASE WHEN frames < 3 THEN 0.35 ELSE greatest(0.03, least(0.9, 0.12 + coalesce(list_sum(list_transform(rs, lambda x: CASE x WHEN 'noise' THEN 0.09 WHEN 'edges' THEN 0.06 WHEN 'duplicates' THEN 0.07 ELSE 0.12 END)), 0))) END::double, 10) AS probability,
+SELECT video_id, round(CASE WHEN frames < 3 THEN 0.35 ELSE greatest(0.03, least(0.9, 0.12 + coalesce(list_sum(list_transform(rs, lambda x: CASE x WHEN 'warp' THEN 0.1 WHEN 'warp_peaks' THEN 0.1 WHEN 'flow' THEN 0.08 WHEN 'noise' THEN 0.09 WHEN 'edges' THEN 0.06 WHEN 'duplicates' THEN 0.07 ELSE 0.12 END)), 0))) END::double, 10) AS probability,
  CASE WHEN frames < 3 THEN ['few_frames'] WHEN len(rs) = 0 THEN ['none'] ELSE rs END AS reasons FROM r""",
 )
 def temporal_rules(frames):
