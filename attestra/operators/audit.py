@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -53,18 +55,29 @@ def split_label_counts(manifest: DataFrame) -> DataFrame:
     return manifest.withColumn("label", F.coalesce("class_label", F.lit("unlabelled"))).rollup("split", "label").agg(F.count("*").alias("n"))
 
 
-def hamming_near_match(prints: DataFrame, max_distance: int = 4) -> DataFrame:
-    """(path_a, path_b, distance): rows of different splits whose 64-bit fingerprints differ in max_distance bits or fewer.
+def hamming_near_prints(prints: DataFrame, max_distance: int = 4) -> DataFrame:
+    """(fa, fb, distance), fa <= fb: distinct 64-bit fingerprints that differ in max_distance bits or fewer, each with itself too.
 
-    Of 8 bytes at least one is equal if 7 bits or fewer differ, so equal (place, byte) pairs block the join without
-    loss. Equal fingerprints meet once: rows are joined through their distinct fingerprints.
+    Bits that differ touch max_distance of 8 bytes at most, so all the others are equal: each choice of 8 - max_distance
+    bytes is a key (70 keys of 32 bits for a distance of 4), and two fingerprints meet by chance once in 2**32 for each.
+    prints says which paths have a fingerprint; copies are not made into pairs here.
     """
-    fps = prints.select("fp").distinct()
-    byte = F.expr("explode(transform(sequence(0, 7), i -> struct(i AS place, shiftrightunsigned(fp, 8 * i) & 255 AS byte)))")
-    keyed = fps.select("fp", byte.alias("k")).select("fp", "k.place", "k.byte")
-    a, b = keyed.select(F.col("fp").alias("fa"), "place", "byte"), keyed.select(F.col("fp").alias("fb"), "place", "byte")
-    near = a.join(b.hint("merge"), ["place", "byte"]).filter("fa <= fb").select("fa", "fb", F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))).alias("distance"))
+    if not 0 <= max_distance < 8:
+        raise ValueError("a distance from 0 to 7 leaves an equal byte")
+    masks = [sum(0xFF << 8 * b for b in chosen) for chosen in combinations(range(8), 8 - max_distance)]
+    signed = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m) for m in masks])
+    fps = prints.filter("fp IS NOT NULL").select("fp").distinct()
+    keyed = fps.select("fp", F.posexplode(F.transform(signed, lambda m: F.col("fp").bitwiseAND(m))).alias("mask", "bytes"))
+    a, b = keyed.select(F.col("fp").alias("fa"), "mask", "bytes"), keyed.select(F.col("fp").alias("fb"), "mask", "bytes")
+    near = a.join(b.hint("merge"), ["mask", "bytes"]).filter("fa < fb").select("fa", "fb", F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))).alias("distance"))
     near = near.filter(F.col("distance") <= max_distance).distinct()
+    return near.unionByName(fps.select(F.col("fp").alias("fa"), F.col("fp").alias("fb"), F.lit(0).alias("distance")))
+
+
+def hamming_near_match(prints: DataFrame, max_distance: int = 4) -> DataFrame:
+    """(path_a, path_b, distance): rows of different splits whose fingerprints are near, all pairs of paths. Where many rows share a
+    fingerprint, hamming_near_prints says the same in fewer rows."""
+    near = hamming_near_prints(prints, max_distance)
     x, y = (prints.select(F.col("path").alias(f"p{s}"), F.col("split").alias(f"s{s}"), F.col("fp").alias(f"f{s}")) for s in "ab")
     out = near.join(x.hint("merge"), "fa").join(y.hint("merge"), "fb").filter((F.col("sa") != F.col("sb")) & ((F.col("fa") != F.col("fb")) | (F.col("pa") < F.col("pb"))))
     return out.select(F.least("pa", "pb").alias("path_a"), F.greatest("pa", "pb").alias("path_b"), "distance").distinct()

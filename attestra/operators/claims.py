@@ -161,15 +161,17 @@ def hash_citation_match(texts: DataFrame, prints: DataFrame) -> DataFrame:
 
 
 def monthly_quota(requests: DataFrame, limit: int) -> DataFrame:
-    """requests with month and allowed: the first `limit` of a UTC month by time and id; a limit of 0 or less allows none."""
-    w = Window.partitionBy("month").orderBy("ts", "request_id")
-    rows = requests.withColumn("month", F.date_format("ts", "yyyy-MM"))
-    return rows.withColumn("allowed", (F.row_number().over(w) <= limit) & F.lit(limit > 0))
-
+    """requests with month (UTC) and allowed: the first `limit` of a month by time and id; none if limit is 0 or less. Ids are unique.
 
-WEB_DETECTION = """struct<responses:array<struct<webDetection:struct<fullMatchingImages:array<struct<url:string>>,partialMatchingImages:array<struct<url:string>>,
- visuallySimilarImages:array<struct<url:string>>,pagesWithMatchingImages:array<struct<url:string,pageTitle:string,fullMatchingImages:array<struct<url:string>>,partialMatchingImages:array<struct<url:string>>>>,
- bestGuessLabels:array<struct<label:string>>,webEntities:array<struct<description:string,score:double>>>>>>"""
+    The last allowed request of each month is found with a group limit, so that a month's task gets a few times `limit`
+    rows; every request is then compared with it."""
+    rows = requests.withColumn("month", F.date_format("ts", "yyyy-MM"))
+    if limit <= 0:
+        return rows.withColumn("allowed", F.lit(False))
+    first = rows.select("month", "ts", "request_id").withColumn("_r", F.row_number().over(Window.partitionBy("month").orderBy("ts", "request_id"))).filter(F.col("_r") <= limit)
+    last = first.groupBy(F.col("month").alias("_month")).agg(F.max(F.struct("ts", "request_id")).alias("_last"))
+    out = rows.join(last.hint("merge"), F.col("month").eqNullSafe(F.col("_month")), "left")
+    return out.withColumn("allowed", F.struct("ts", "request_id") <= F.col("_last")).drop("_month", "_last")
 
 
 def web_detection_parse(responses: DataFrame, column: str = "body") -> DataFrame:

@@ -55,6 +55,20 @@ def persistent_run(frames: DataFrame, value: str, threshold: float = 0.95, run:
     return longest_run(frames, F.col(value) >= threshold).select("video_id", (F.col("run") >= run).alias("persistent"))
 
 
+def frame_states(frames: DataFrame, threshold: float = HIGH) -> DataFrame:
+    """What a stream holds of each video when all its frames have come in order: frames, last_index, high_run (the run of high
+    frames at its end), longest_run, mean_probability, luma_total. Frame indexes of a video are distinct."""
+    high = F.coalesce(F.col("ai_probability") >= threshold, F.lit(False))
+    low = frames.groupBy("video_id").agg(F.max(F.when(~high, F.col("frame_index"))).alias("_low"))
+    d = frames.withColumn("_d", F.abs(F.col("luma") - F.lag("luma").over(_order()))).join(low.hint("merge"), "video_id")
+    out = d.groupBy("video_id").agg(
+        F.count("*").alias("frames"), F.max("frame_index").cast("long").alias("last_index"), F.count_if(F.col("_low").isNull() | (F.col("frame_index") > F.col("_low"))).alias("high_run"),
+        F.avg("ai_probability").alias("mean_probability"), F.coalesce(F.sum("_d"), F.lit(0.0)).alias("luma_total"),
+    )
+    runs = longest_run(frames, high).select("video_id", F.col("run").alias("longest_run"))
+    return out.join(runs.hint("merge"), "video_id")
+
+
 def video_features(frames: DataFrame) -> DataFrame:
     """One row for each video: mean, deviation, percentiles, shares, runs and pair-based ratios of its series.
 
@@ -136,15 +150,15 @@ def adaptive_positions(frames: DataFrame, limit: int, fps: float = 30.0) -> Data
     required = sizes.select("video_id", "n", F.explode(F.array_union(F.array(F.lit(0), F.col("n") - 1), uniform_positions(F.col("n"), F.least(F.lit(16), cap)))).alias("frame_index"))
     ranked = d.filter("anomaly IS NOT NULL").withColumn("_r", F.row_number().over(Window.partitionBy("video_id").orderBy(F.desc("anomaly"), "frame_index")))
     beside = max(1, round(fps * 0.20))
-    peaks = ranked.join(sizes, "video_id").filter(F.col("_r") <= F.greatest(F.lit(1), F.floor(cap / 3)))
+    peaks = ranked.join(sizes.hint("merge"), "video_id").filter(F.col("_r") <= F.greatest(F.lit(1), F.floor(cap / 3)))
     peaks = peaks.select("video_id", "n", F.explode(F.array(*[F.col("frame_index") + i for i in (0, -1, 1, -beside, beside)])).alias("frame_index"))
-    cuts = d.filter("scene_cut").join(sizes, "video_id").select("video_id", "n", "frame_index")
+    cuts = d.filter("scene_cut").join(sizes.hint("merge"), "video_id").select("video_id", "n", "frame_index")
     every = spread.unionByName(peaks).unionByName(cuts).withColumn("_req", F.lit(0)).unionByName(required.withColumn("_req", F.lit(1)))
     every = every.filter("frame_index >= 0 AND frame_index < n").groupBy("video_id", "n", "frame_index").agg(F.max("_req").alias("_req"), F.min("_req").alias("_any"))
     # required positions that no set selected only count once the limit is exceeded
     chosen = every.withColumn("_selected", F.count_if(F.col("_any") == 0).over(Window.partitionBy("video_id")))
     over = F.col("_selected") > cap
-    chosen = chosen.filter((F.col("_any") == 0) | over).join(d.select("video_id", "frame_index", "anomaly"), ["video_id", "frame_index"])
+    chosen = chosen.filter((F.col("_any") == 0) | over).join(d.select("video_id", "frame_index", "anomaly").hint("merge"), ["video_id", "frame_index"])
     w = Window.partitionBy("video_id").orderBy(F.desc("_req"), F.desc(F.coalesce("anomaly", F.lit(0.0))), "frame_index")
     return chosen.withColumn("_k", F.row_number().over(w)).filter(~over | (F.col("_k") <= cap)).select("video_id", "frame_index")
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Borders of the stretches that ordered texts are cut into.
+EDGES = 128
+
 
 def hash_bucket(key: Column, buckets: int = 100) -> Column:
     """The first 8 hex digits of the SHA-256, modulo buckets."""
@@ -79,10 +82,19 @@ def fallback_split(rows: DataFrame, key: str, fraction: float, seed: int) -> Col
 
 
 def donor_ring(parents: DataFrame) -> DataFrame:
-    """(path, split, donor): each parent's donor is the next path of its split, the last one's is the first."""
-    w = Window.partitionBy("split").orderBy("path")
-    first = parents.groupBy("split").agg(F.min("path").alias("_first"))
-    return parents.withColumn("_next", F.lead("path").over(w)).join(F.broadcast(first), "split").select("path", "split", F.coalesce("_next", "_first").alias("donor"))
+    """(path, split, donor): each parent's donor is the next path of its split, the last one's is the first; paths are unique.
+
+    Paths are ordered within stretches alone, whose EDGES borders are those of a sample of at most 32 times as many rows;
+    what follows a stretch is the first path of the next one that has any."""
+    sample = parents.filter("path IS NOT NULL").select("path").orderBy(F.xxhash64("path"), "path").limit(EDGES * 32).collect()
+    ordered = sorted(r["path"].encode() for r in sample)
+    edges = F.array(*[F.lit(e.decode()) for e in ordered[:: max(1, len(ordered) // EDGES)]]) if ordered else F.array(F.lit(""))
+    rows = parents.select("path", "split", F.size(F.filter(edges, lambda e: e <= F.col("path"))).alias("_b"))
+    starts = rows.groupBy("split", "_b").agg(F.min("path").alias("_start"))  # at most EDGES + 33 rows a split
+    by = Window.partitionBy("split").orderBy("_b")
+    starts = starts.select("split", "_b", F.coalesce(F.lead("_start").over(by), F.first("_start").over(by)).alias("_after"))
+    out = rows.withColumn("_next", F.lead("path").over(Window.partitionBy("split", "_b").orderBy("path"))).join(starts.hint("merge"), ["split", "_b"])
+    return out.select("path", "split", F.coalesce("_next", "_after").alias("donor"))
 
 
 def plan_filter(rows: DataFrame, plan: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from attestra.operators import claims, forensics
@@ -51,7 +53,15 @@ def claim_score(claims_view):
     return claims.claim_score(claims.claim_features(claims_view))
 
 
-@query("claims")
+_CLEAN = rf"trim(regexp_replace({{}}, '{_SPACE}', ' ', 'g'))"
+
+
+@query(
+    "claims",
+    rf""", t AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(string_split(regexp_replace(trim(coalesce(text, ''), concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))), '([.!?]){_SPACE}', concat('\1', chr(1)), 'g'), chr(1)),
+ lambda s: len(list_filter(string_split_regex(s, '{_SPACE}'), lambda w: w <> '')) >= 4) AS s FROM claims)
+SELECT doc_id, list_filter(list_transform(CASE WHEN len(s) > 0 THEN s[1:3] ELSE [t] END, lambda x: substr({_CLEAN.format("x")}, 1, 180)), lambda x: x <> '') AS queries FROM t""",
+)
 def claim_queries(claims_view):
     return claims_view.select("doc_id", claims.claim_queries(F.col("text")).alias("queries"))
 
@@ -139,6 +149,9 @@ FORENSIC = """, f AS (SELECT *, least(0.92, greatest(0.03, 0.16 + CASE WHEN mean
  + CASE WHEN duplicate_patch_ratio > 0.08 THEN 0.18 ELSE 0 END))::double AS m FROM image_stats)
 """
 
+#: The same in doubles, for limits that a sum can meet exactly.
+FORENSIC_DOUBLE = re.sub(r"(\d+\.\d+)", r"\1e0", FORENSIC)
+
 
 @query(
     "image_stats",
@@ -151,7 +164,13 @@ def forensic_rules(image_stats):
     )
 
 
-@query("image_stats")
+@query(
+    "image_stats",
+    FORENSIC_DOUBLE
+    + """SELECT media_id, round_even(least(0.98e0, greatest(0.02e0, 0.14e0 + CASE WHEN entropy < 3.5e0 OR entropy > 7.8e0 THEN 0.1e0 ELSE 0e0 END + CASE WHEN blur < 35 THEN 0.12e0 ELSE 0e0 END
+ + CASE WHEN block_noise_cv > 0.7e0 THEN CASE WHEN caption_likely THEN 0.02e0 ELSE 0.08e0 END ELSE 0e0 END + CASE WHEN s >= 0.6e0 THEN least(0.26e0, (s - 0.5e0) * 0.7e0) WHEN s <= 0.28e0 THEN -0.07e0 ELSE 0e0 END
+ + CASE WHEN m >= 0.58e0 AND NOT caption_likely THEN 0.06e0 ELSE 0e0 END + CASE WHEN caption_likely THEN -0.04e0 ELSE 0e0 END)), 3) AS probability FROM f""",
+)
 def heuristic_fallback(image_stats):
     return image_stats.select("media_id", forensics.heuristic_fallback().alias("probability"))
 

@@ -93,6 +93,56 @@ def unique_records(records: DataFrame, key: str) -> DataFrame:
     return records
 
 
+# The arrays of path groups that an audit report has.
+AUDIT_GROUPS = ["cross_split_exact_duplicates", "cross_split_normalized_pixel_duplicates", "cross_split_perceptual_hash_collisions", "cross_split_perceptual_near_matches"]
+
+
+def audit_group_rows(reports: DataFrame, column: str = "body") -> DataFrame:
+    """reports without the JSON text of a column, and a row for each path of each of its groups: kind, group and place (both from
+    0), path (backslashes, lower case), split (the path's first part) and cross_split: whether the group's paths have more
+    than one. A report without groups, or that is no JSON, has no rows; a group without paths has none."""
+    schema = "struct<" + ", ".join(f"{k}: array<struct<paths: array<string>>>" for k in AUDIT_GROUPS) + ">"
+    kept = [c for c in reports.columns if c != column]
+    j = reports.select(*kept, F.from_json(column, schema).alias("j"))
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"j.{k}").alias("groups")) for k in AUDIT_GROUPS])
+    groups = j.select(*kept, F.explode(kinds).alias("k")).select(*kept, "k.kind", F.posexplode("k.groups").alias("group", "g"))
+    paths = groups.select(*kept, "kind", "group", F.transform("g.paths", lambda p: F.replace(p, F.lit("/"), F.lit("\\"))).alias("paths"))
+    split = lambda p: F.substring_index(p, "\\", 1)
+    cross = F.size(F.array_distinct(F.transform("paths", split))) > 1
+    rows = paths.select(*kept, "kind", "group", cross.alias("cross_split"), F.posexplode("paths").alias("place", "p"))
+    return rows.select(*kept, "kind", "group", "place", F.lower("p").alias("path"), split(F.col("p")).alias("split"), "cross_split")
+
+
+def load_audit_groups(spark: SparkSession, path: str) -> DataFrame:
+    """audit_group_rows of the report files below a path, one report a file."""
+    return audit_group_rows(spark.read.text(path, wholetext=True).toDF("body"))
+
+
+def without_audited(samples: DataFrame, groups: DataFrame, split: str) -> DataFrame:
+    """samples of a split whose path (split first) is in no group of an audit that spans splits; case and slashes do not count."""
+    bad = groups.filter(F.col("cross_split") & (F.col("split") == split)).select(F.col("path").alias("_bad")).distinct()
+    own = F.lower(F.replace("path", F.lit("/"), F.lit("\\")))
+    return samples.filter(F.col("split") == split).join(bad.hint("merge"), own == F.col("_bad"), "left_anti")
+
+
+REGISTRY = "struct<registry_version: string, models: array<struct<id: string, task: string, role: string, license: string, enabled_by_default: boolean, integration_status: string, url: string>>>"
+
+
+def registry_rows(bodies: DataFrame, column: str = "body") -> DataFrame:
+    """A row for each model of JSON registries: bodies' other columns, registry_version, place, and the model's fields; models
+    without an id are dropped. enabled_by_default is false where it is missing."""
+    kept = [c for c in bodies.columns if c != column]
+    j = bodies.select(*kept, F.from_json(column, REGISTRY).alias("j"))
+    rows = j.select(*kept, "j.registry_version", F.posexplode("j.models").alias("place", "m")).filter("m.id IS NOT NULL")
+    out = rows.select(*kept, "registry_version", "place", "m.*")
+    return out.withColumn("enabled_by_default", F.coalesce("enabled_by_default", F.lit(False)))
+
+
+def load_registry(spark: SparkSession, path: str) -> DataFrame:
+    """registry_rows of the files below a path."""
+    return registry_rows(spark.read.text(path, wholetext=True).toDF("body"))
+
+
 def training_view(listing: DataFrame) -> DataFrame:
     """Files with the split that training may see: tuning as validation, calibration and locked_test never, an old test
     split only where there is no locked_test."""

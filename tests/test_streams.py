@@ -5,7 +5,6 @@ import struct
 import zlib
 
 import pytest
-from pyspark.sql import functions as F
 
 from attestra.operators import claims, models, series
 from attestra.plans.fixtures import view
@@ -35,8 +34,11 @@ def test_verdict_stream(spark, tmp_path):
 def test_frame_state_stream(spark, tmp_path):
     frames = view(spark, SF, "frames").select("video_id", "frame_index", "ai_probability", "luma", "ts")
     got = {r["video_id"]: r for r in drained(spark, streams.stream_frame_state, frames, tmp_path, "update").collect() if not r["closed"]}
-    runs = {r["video_id"]: (r["run"], r["n"]) for r in series.longest_run(frames, F.col("ai_probability") >= 0.65).collect()}
-    assert {k: (r["longest_run"], r["frames"]) for k, r in got.items()} == runs
+    want = {r["video_id"]: r for r in series.frame_states(frames).collect()}
+    assert set(got) == set(want)
+    for k, r in want.items():
+        assert all(got[k][c] == r[c] for c in ("frames", "last_index", "high_run", "longest_run"))
+        assert (got[k]["mean_probability"], got[k]["luma_total"]) == pytest.approx((r["mean_probability"], r["luma_total"]))
 
 
 def test_quota_stream(spark, tmp_path):
