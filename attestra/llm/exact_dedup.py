@@ -13,7 +13,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """Members of groups of equal texts: id, mark, keep_id, group_size, kept. Texts that stand alone have no row.
 
     Texts are equal when identical after white space is deleted. Of a group, the row with most code points in the
-    original text stays, then the one with the smallest id. mark is a hash of the original text: with the id it names a row.
+    original text stays, then the one with the smallest id, which may be of any ordered type; a null id is the largest. mark is a hash of the original text: with the id it names a row.
 
     First level: lengths and hashes of the first `prefix` characters leave one scan together and are counted; a length
     that occurs once has no prefix hash that occurs twice, so a count of its own would only cost a scan. Second level:
@@ -43,7 +43,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
     members = written(survivors.join(again.hint("merge"), ["length", "h"], "left_semi"), "dedup-members")
     key = ["length", "h", "full_hash"]
-    best = F.max_by(F.struct("id", "mark"), F.struct("full_length", (-F.col("id")).alias("neg"), "mark"))
+    best = F.min_by(F.struct("id", "mark"), F.struct((-F.col("full_length")).alias("longest"), F.col("id").isNull().alias("nameless"), "id", "mark"))
     groups = members.groupBy(*key).agg(F.count("*").alias("group_size"), best.alias("best")).filter("group_size > 1")
     kept = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("mark") == F.col("best.mark"))
     return members.join(groups.hint("merge"), key).select(

@@ -187,7 +187,7 @@ def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without those that the classifier rejects, all columns, whatever their names. Rows are scored by id and text hash,
-    then the rejected ones are dropped by these keys."""
-    model = fit_quality(docs, labels.filter(~held_out()), id_col, text_col)
+    then the rejected ones are dropped by these keys. id_col names the ids of docs and of labels."""
+    model = fit_quality(docs, labels.filter(~held_out(id_col)), id_col, text_col)
     bad = scores(docs, model, id_col, text_col).filter("predicted = 0").select("doc_id", "mark")
     return without_keys(docs, [F.col(f"`{id_col}`"), F.xxhash64(F.col(f"`{text_col}`"))], bad)

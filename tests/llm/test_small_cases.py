@@ -341,3 +341,16 @@ def test_all_segmentations_come_back(spark):
         assert r["decodes"] == [True] * len(want) and r["n_pieces"] == [len(x) for x in want]
     assert max(map(len, all_ids.values())) == piece_lattice.N_BEST
     assert {"others", "decodes"} <= set(piece_lattice.piece_report(given).columns)
+
+
+def test_ids_of_other_names_and_types(spark):
+    t = ["same text here", "same  text here", "other", None, ""]
+    named = spark.createDataFrame([(f"k{i}", x) for i, x in enumerate(t)] + [(None, "same text here")], "key string, body string")
+    got = {r["key"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_duplicates(named, "key", "body").collect()}
+    assert got == {"k0": ("k1", 3, False), "k1": ("k1", 3, True), None: ("k1", 3, False), "k3": ("k3", 2, True), "k4": ("k3", 2, False)}
+    r = random.Random(2)
+    good, bad = [text(i, 80) + "." for i in range(60)], ["$$ ## " * r.randint(5, 40) for _ in range(60)]
+    frame = spark.createDataFrame([(i, x) for i, x in enumerate(good + bad)], "key long, body string")
+    labels = spark.createDataFrame([(i, int(i < 60), 0) for i in range(120)], "key long, quality int, toxic int")
+    kept = {x["key"] for x in quality.keep_good(frame, labels, "key", "body").collect()}
+    assert kept == set(range(60))
