@@ -166,6 +166,37 @@ def test_personal_data_trees_find_what_rules_cannot(spark):
     assert report == {}
 
 
+#: (kind, text before, span): formats that neither a rule nor HIDDEN writes; the fit has seen none of them.
+UNSEEN = [
+    *[("email", "write to ", f"anna{i}.berg{at}example{i}{dot}{tld}") for i, (at, dot, tld) in enumerate([("<at>", ".", "com"), ("{at}", "{dot}", "org"), ("[@]", "[.]", "net"), (" @ ", ".", "de"), ("@", ",", "com"), ("＠", ".", "fr"), (" (AT) ", " (DOT) ", "com"), ("<at>", "<dot>", "org"), (" [ at ] ", ".", "net")])],
+    *[("ip", "on ", sep.join(("192", "168", str(i), "17"))) for i, sep in enumerate(["(.)", "[dot]", "{.}", " [.] ", "(dot)", "。"])],
+    *[("card", "number ", sep.join(("4111", "1111", "1111", "1111"))) for sep in ("_", "\t", "—", ", ", " _", "–")],
+    *[("card", "amex ", x) for x in ("378282246310005", "3782.822463.10005", "3782 822463 10005")],
+    *[("phone", before, x) for before, x in (("tel ", "+49 (0)30 / 1234567"), ("whatsapp ", "00 44 7700 900123"), ("dial ", "(030) 12 34 567"), ("mobile ", "07700 900123"), ("call ", "1-800-555-0199"), ("fax ", "(020)7946 0958"), ("phone ", "089 – 123 456 7"), ("my number is ", "555 123 4567"))],
+]
+CLEAN = [
+    "on 2024-01-15 at 10:30", "order 12345678 of 2023", "isbn 978-3-16-148410-0", "ratio 3.14159265", "page 12 of 345", "1234 5678 9012 3456 7", "sum 1.000.000,50 euro", "id 2024/03/11-55", "§ 12.3.4 ff",
+    "@home at work", "we met at noon dot the i", "look at example dot dot", "in 1990 2000 2010 they", "score 10-12 9-7 11-5", "1111111111111111", "lat 52.5200 long 13.4050", "5 x 10 x 15 x 20", "ends 12:30-13:45", "sizes 192,168,4,17 mm", "user@ home.", "a (at) b", "v1.2.3-4",
+]
+
+
+def test_personal_data_in_unseen_formats(spark):
+    """Recall on formats kept out of the fit, and what is found in texts without personal data."""
+    selector = pii.fit_selector(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    rows_in = [f"Alpha beta gamma delta. {before}{span} then more words." for _, before, span in UNSEEN] + [f"Alpha beta gamma {x} and more words." for x in CLEAN]
+    out = rows(pii.find_personal_data(docs(spark, rows_in), selector))
+    held = {k: [] for k in pii.KINDS}
+    for i, (kind, before, span) in enumerate(UNSEEN):
+        start = len("Alpha beta gamma delta. ") + len(before)
+        found = {c for x in out[i][f"all_{kind}"] for c in range(x["s"], x["e"])}
+        held[kind].append(len(found & set(range(start, start + len(span)))) > 0.8 * len(span))
+    every = [x for found in held.values() for x in found]
+    assert sum(every) >= 0.9 * len(every), held
+    assert all(sum(x) >= 0.7 * len(x) for x in held.values()), held
+    wrong = [x for i, x in enumerate(CLEAN) if any(out[len(UNSEEN) + i][f"all_{k}"] for k in pii.KINDS)]
+    assert len(wrong) <= 0.05 * len(CLEAN), wrong
+
+
 def test_edit_counts(spark):
     frame = docs(spark, [*ODD, text(3, 400)])
     edits = spark.createDataFrame([(8, 2, 50, 10, " new words"), (8, 1, 0, 3, None), (3, 1, 0, 0, "bb"), (99, 1, 0, 0, "x")], "doc_id long, seq int, at int, cut int, paste string")
