@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attestra.operators.fusion import robust
+
 # Weights of a video's generation score, and what each kind of evidence adds to the confidence of an analysis.
 SUMMARY_WEIGHT, TRAINED_WEIGHT, OTHER_WEIGHT = 1.25, 1.35, 0.55
 CONFIDENCE, WITH_MODEL, WITH_DETECTOR, WITH_PROVENANCE, WITH_WEB = 0.45, 0.18, 0.08, 0.10, 0.15
@@ -42,6 +44,53 @@ def finalize_union(bundles: list[DataFrame], version: str) -> DataFrame:
     return every.filter(F.col("version") == version).orderBy("split", "path")
 
 
+def valid_bundles(bundles: DataFrame, listing: DataFrame, version: str) -> DataFrame:
+    """bundles (parent, version, records, localization: an array of structs with path and mask_path) of one version that have a
+    localization, all of whose files are listed. parent names a bundle."""
+    own = bundles.filter((F.col("version") == version) & (F.coalesce(F.size("localization"), F.lit(0)) > 0))
+    both = F.transform("localization", lambda x: F.array(x["path"], x["mask_path"]))
+    files = own.select("parent", F.explode(F.flatten(both)).alias("file"))
+    there = listing.select(F.col("path").alias("file"), F.lit(True).alias("_there")).distinct()
+    lost = files.join(there.hint("merge"), "file", "left").filter("_there IS NULL").select("parent").distinct()
+    return own.join(lost.hint("merge"), "parent", "left_anti")
+
+
+def finalized(bundles: DataFrame, listing: DataFrame, version: str) -> tuple[DataFrame, DataFrame]:
+    """The records, and the localization rows, of all valid bundles, each sorted by split and path."""
+    good = valid_bundles(bundles, listing, version)
+    rows = lambda c: good.select(F.explode(c).alias("r")).select("r.*").orderBy("split", "path")
+    return rows("records"), rows("localization")
+
+
+def frame_summaries(frames: DataFrame, key: str = "video_id") -> DataFrame:
+    """Two detector rows for each video (media_id, name, status, label, task, synthetic_probability, manipulation_probability,
+    model_version, n): the robust score of its frames' generation scores, and of their manipulation scores. A video without
+    any score of a kind has an unavailable row; the manipulation row supports and never decides."""
+    p = F.lit(None).cast("double")
+    generation, manipulation = robust(F.col("ai_probability")), robust(F.col("manipulation_probability"))
+    g = frames.groupBy(F.col(key).alias("media_id")).agg(generation.alias("g"), manipulation.alias("m"), F.count("ai_probability").alias("ng"), F.count("manipulation_probability").alias("nm"))
+    state = lambda v: F.when(v.isNull(), "unavailable").otherwise("completed")
+    label = F.when(F.col("g") >= 0.65, "likely_synthetic").when(F.col("g") <= 0.35, "lower_signal").when(F.col("g").isNotNull(), "uncertain")
+    first = g.select(
+        "media_id", F.lit("all_frame_ai_detector_summary").alias("name"), state(F.col("g")).alias("status"), label.alias("label"), F.lit("generation").alias("task"),
+        F.col("g").alias("synthetic_probability"), p.alias("manipulation_probability"), F.lit("frame-fusion-v4").alias("model_version"), F.col("ng").alias("n"),
+    )
+    second = g.select(
+        "media_id", F.lit("all_frame_manipulation_screen_summary").alias("name"), state(F.col("m")).alias("status"), F.lit("editing_signal_summary").alias("label"), F.lit("supporting").alias("task"),
+        p.alias("synthetic_probability"), F.col("m").alias("manipulation_probability"), F.lit("frame-manipulation-screen-v4").alias("model_version"), F.col("nm").alias("n"),
+    )
+    return first.unionByName(second)
+
+
+def model_versions(detectors: DataFrame) -> DataFrame:
+    """(media_id, model_versions): the distinct versions (the name where there is none) of a medium's completed deciding rows, in
+    the order in which they come first; detectors: media_id, pos, name, model_version, status, task."""
+    used = detectors.filter((F.col("status") == "completed") & F.coalesce("task", F.lit("generation")).isin("generation", "manipulation", "temporal"))
+    named = used.withColumn("v", F.trim(F.coalesce(F.nullif("model_version", F.lit("")), "name", F.lit("")))).filter("v <> ''")
+    first = named.groupBy("media_id", "v").agg(F.min("pos").alias("pos"))
+    return first.groupBy("media_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda x: x["v"]).alias("model_versions"))
+
+
 def detector_union(*frames: DataFrame) -> DataFrame:
     """All detector rows in one table; columns that a list lacks are null there."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

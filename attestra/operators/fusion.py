@@ -70,7 +70,8 @@ def detector_summary(detectors: DataFrame) -> DataFrame:
     )
 
 
-def _robust(v: Column, task: str) -> Column:
+def robust(v: Column, task: str = "generation") -> Column:
+    """The aggregate that robust_score gives; null without values."""
     mean, p90, p95, high = F.avg(v), F.percentile(v, 0.9), F.percentile(v, 0.95), F.avg((v >= 0.65).cast("double"))
     if task == "manipulation":
         return clamp(0.15 * mean + 0.20 * p90 + 0.25 * p95 + 0.30 * F.max(v) + 0.10 * high, 0, 1)
@@ -79,7 +80,7 @@ def _robust(v: Column, task: str) -> Column:
 
 def robust_score(df: DataFrame, key: str, value: str, task: str = "generation") -> DataFrame:
     """(key, score): mean, upper percentiles and share of high values of each group, weighted by task."""
-    return df.groupBy(key).agg(_robust(F.col(value), task).alias("score"))
+    return df.groupBy(key).agg(robust(F.col(value), task).alias("score"))
 
 
 def tile_rollup(tiles: DataFrame, task: str = "generation") -> DataFrame:
@@ -88,7 +89,7 @@ def tile_rollup(tiles: DataFrame, task: str = "generation") -> DataFrame:
     whose labels were not understood; a medium with no other tiles is `unsupported_labels`."""
     v = F.col("score")
     out = tiles.groupBy("media_id").agg(
-        _robust(v, task).alias("score"), F.count(v).alias("tiles"), F.avg(v).alias("mean"), F.percentile(v, 0.9).alias("p90"), F.percentile(v, 0.95).alias("p95"),
+        robust(v, task).alias("score"), F.count(v).alias("tiles"), F.avg(v).alias("mean"), F.percentile(v, 0.9).alias("p90"), F.percentile(v, 0.95).alias("p95"),
         F.max(v).alias("maximum"), F.avg((v >= 0.65).cast("double")).alias("suspicious_ratio"),
     )
     none = F.col("tiles") == 0

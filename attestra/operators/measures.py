@@ -82,6 +82,12 @@ def scale_box(box: Column, resolution: float, width: Column, height: Column) ->
     return F.array(at(0, width), at(1, height), at(2, width), at(3, height))
 
 
+def expand_box(box: Column, pad: Column, width: Column, height: Column) -> Column:
+    """A box (left, top, right, bottom) with pad on each side, within the image."""
+    at = lambda i, sign, limit: F.greatest(F.lit(0), F.least(limit, F.get(box, i) + sign * pad)).cast("int")
+    return F.array(at(0, -1, width), at(1, -1, height), at(2, 1, width), at(3, 1, height))
+
+
 def iou(a: Column, b: Column) -> Column:
     g = F.get
     w = F.greatest(F.lit(0), F.least(g(a, 2), g(b, 2)) - F.greatest(g(a, 0), g(b, 0)))

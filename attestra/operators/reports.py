@@ -82,7 +82,8 @@ def detector_score(content_type: Column, evidence: Column, detectors: Column) ->
     finite = lambda v: F.when(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")), v)
     keys = [F.when((content_type == "video") | (k == VIDEO_SCORES[-1]), finite(F.try_element_at(evidence, F.lit(k)))) for k in VIDEO_SCORES]
     learned = F.get(F.filter(detectors, lambda d: (d["status"] == "completed") & (d["name"] != HEURISTIC) & finite(d["synthetic_probability"]).isNotNull()), F.lit(0))
-    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.coalesce(*keys, learned["synthetic_probability"] * 100)))
+    score = F.coalesce(*keys, learned["synthetic_probability"] * 100)
+    return F.when(score.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)))
 
 
 def display_headline(score: Column, learned: Column) -> Column:
@@ -132,7 +133,7 @@ def score_feedback(label: Column, score: Column, probability: Column, match: Col
 
 def video_feedback(probability: Column, learned: Column, warnings: Column, positives: Column) -> Column:
     """headline, and codes of reasons for and against, of a video's trained score."""
-    p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), probability))
+    p = F.when(probability.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), probability)))
     usable = F.coalesce(learned, F.lit(False)) & probability.isNotNull()
     headline = (
         F.when(~usable, "No reliable AI verdict for this video").when(p >= 0.90, "This video may be AI-generated").when(p <= 0.15, "This video appears less likely to be AI-generated").otherwise("We cannot tell with enough confidence")

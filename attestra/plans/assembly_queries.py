@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from attestra.operators import assembly, splits
+from attestra.operators.splits import hash_bucket
 from attestra.plans.registry import query
 
 _LISTED = "('0x' || substr(sha256(path), 1, 2))::bigint % 3 > 0"
@@ -90,3 +91,44 @@ def analysis_confidence(detectors):
     p = F.element_at(F.array(*[F.lit(x) for x in ("verified", "no_manifest", "error")]), (F.col("media_id") % 3 + 1).cast("int"))
     w = F.element_at(F.array(F.lit("completed"), F.lit("no_results"), F.lit("error"), F.lit(None).cast("string")), (F.col("media_id") % 4 + 1).cast("int"))
     return rows.select("media_id", assembly.analysis_confidence(F.col("m"), F.col("c"), p, w).alias("confidence"), assembly.analysis_mode(w).alias("mode"))
+
+
+@query(
+    "manifest",
+    """, b AS (SELECT * FROM manifest WHERE class_label IS NOT NULL AND license <> ' '),
+l AS (SELECT path FROM b WHERE ('0x' || substr(sha256(path), 1, 8))::bigint % 10 > 1), g AS (SELECT b.* FROM b JOIN l USING (path) WHERE split <> 'tuning')
+SELECT 'record' AS kind, split, path || s AS path, NULL AS mask_path FROM (SELECT *, unnest(['#a', '#b']) AS s FROM g) UNION ALL SELECT 'localization', split, path, path || '.png' FROM g""",
+)
+def finalized_bundles(manifest):
+    rows = manifest.filter("class_label IS NOT NULL")
+    record = lambda s: F.struct("split", F.concat("path", F.lit(s)).alias("path"))
+    version = F.when(F.col("license") == " ", "v1").otherwise("v2").alias("version")
+    masks = F.array(F.struct("split", "path", F.concat("path", F.lit(".png")).alias("mask_path")))
+    bundles = rows.select(F.col("path").alias("parent"), version, F.array(record("#a"), record("#b")).alias("records"), F.when(F.col("split") != "tuning", masks).alias("localization"))
+    stored = rows.filter(hash_bucket(F.col("path"), 10) > 1).select(F.explode(F.array("path", F.concat("path", F.lit(".png")))).alias("path"))
+    records, localization = assembly.finalized(bundles, stored, "v2")
+    return records.select(F.lit("record").alias("kind"), "split", "path", F.lit(None).cast("string").alias("mask_path")).unionByName(localization.select(F.lit("localization").alias("kind"), "split", "path", "mask_path"))
+
+
+_FRAME_ROBUST = "greatest(0, least(1, 0.55 * avg({v}) + 0.30 * quantile_cont({v}, 0.9) + 0.15 * avg(({v} >= 0.65)::int::double)))"
+
+
+@query(
+    "frames",
+    f""", g AS (SELECT video_id AS media_id, CASE WHEN count(pixel_probability) > 0 THEN {_FRAME_ROBUST.format(v="pixel_probability")} END AS g, {_FRAME_ROBUST.format(v="manipulation_probability")} AS m, count(pixel_probability) AS ng, count(manipulation_probability) AS nm FROM frames GROUP BY video_id)
+SELECT media_id, 'all_frame_ai_detector_summary' AS name, CASE WHEN g IS NULL THEN 'unavailable' ELSE 'completed' END AS status, 'generation' AS task, round(g, 9) AS synthetic_probability, NULL::double AS manipulation_probability, ng AS n FROM g
+UNION ALL SELECT media_id, 'all_frame_manipulation_screen_summary', 'completed', 'supporting', NULL, round(m, 9), nm FROM g""",
+)
+def frame_summaries(frames):
+    out = assembly.frame_summaries(frames.withColumn("ai_probability", F.col("pixel_probability")))
+    return out.select("media_id", "name", "status", "task", F.round("synthetic_probability", 9).alias("synthetic_probability"), F.round("manipulation_probability", 9).alias("manipulation_probability"), "n")
+
+
+@query(
+    "detectors",
+    """, v AS (SELECT media_id, pos, trim(coalesce(CASE WHEN pos % 3 <> 0 THEN name || '-v' || media_id % 2 END, name)) AS v FROM detectors WHERE status = 'completed' AND coalesce(task, 'generation') IN ('generation', 'manipulation')),
+f AS (SELECT media_id, v, min(pos) AS pos FROM v GROUP BY media_id, v) SELECT media_id, list(v ORDER BY pos) AS model_versions FROM f GROUP BY media_id""",
+)
+def model_versions(detectors):
+    version = F.when(F.col("pos") % 3 != 0, F.concat("name", F.lit("-v"), F.col("media_id") % 2)).otherwise("")
+    return assembly.model_versions(detectors.withColumn("model_version", version))

@@ -42,12 +42,22 @@ def localizer_rows(raw: DataFrame) -> DataFrame:
     return out.dropna(subset=numbers).withColumns({c: flag(c) for c in ("localized_or_persistent_support", "stable_across_views")})
 
 
+def read_localizer_rows(spark: SparkSession, path: str) -> DataFrame:
+    """localizer_rows of CSV files with a header."""
+    return localizer_rows(spark.read.option("header", True).csv(path))
+
+
+def load_feature_records(spark: SparkSession, path: str, schema: T.StructType | str, key: str = "source_id") -> DataFrame:
+    """JSON lines of feature records; a key that occurs twice is an error."""
+    return unique_records(spark.read.schema(schema).json(path), key)
+
+
 def scan_corpus(spark: SparkSession, root: str, glob: str = "*.{png,jpg,jpeg}") -> DataFrame:
     """(path, split, label, length, modified) of files below root: split and label are the two folders above a file.
 
     Names and sizes alone are read; contents stay where they are."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
-    part = lambda i: F.element_at(F.split("path", "/"), i)
+    part = lambda i: F.try_element_at(F.split("path", "/"), F.lit(i))
     return files.select("path", part(-3).alias("split"), part(-2).alias("label"), "length", F.col("modificationTime").alias("modified"))
 
 
@@ -177,6 +187,11 @@ def write_manifest_csv(df: DataFrame, path: str, partitions: int | None = None)
     ranged.sortWithinPartitions(*order).write.option("header", True).csv(path)
 
 
+def write_predictions_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
+    """CSV of predictions with the given columns, in the order of path; the committer makes the folder appear whole."""
+    df.select(*(columns or df.columns)).repartitionByRange("path").sortWithinPartitions("path").write.option("header", True).csv(path)
+
+
 def write_report_json(df: DataFrame, path: str) -> None:
     """A one-row table as one JSON object with keys in order."""
     df.select(F.to_json(F.struct(*sorted(df.columns))).alias("value")).coalesce(1).write.text(path)

@@ -1,10 +1,14 @@
 """Hand-made cases with known answers."""
 
+import json
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from attestra.functions import scores
-from attestra.operators import audit, calibration, decision, evaluation, series, splits
+from attestra.operators import audit, calibration, claims, decision, evaluation, importance, measures, models, reports, series, splits
+from attestra.sources import policies, readers
 
 POLICY = "SELECT 0.15e0 AS generation_lower, 0.95e0 AS generation_upper, 0.15e0 AS manipulation_lower, 0.95e0 AS manipulation_upper, 0.18e0 AS max_view_range, 0.30e0 AS max_window_range, 224 AS minimum_short_side, 8 AS minimum_frames, true AS generation_enabled, true AS manipulation_enabled"
 
@@ -153,3 +157,101 @@ def test_messages_of_late_frames_are_kept(spark):
     frames = spark.createDataFrame(rows, "video_id long, frame_index int, warning string")
     got = {r["video_id"]: r["messages"] for r in claims_queries.messages_unique_all(frames).collect()}
     assert got == {1: ["b", "a", "late"], 2: []}
+
+
+def test_permutation_importance(spark):
+    import random
+
+    r = random.Random(1)
+    rows = [(i, r.random(), r.random(), r.random() < 0.5) for i in range(400)]
+    rows = [(i, a if y else -a, b, y) for i, a, b, y in rows]
+    frame = spark.createDataFrame(rows, "id long, a double, b double, y boolean")
+    got = importance.permutation_importance(frame, "id", ["a", "b"], lambda d: d.withColumn("s", 0.5 + F.col("a") / 2), repeats=4).collect()
+    assert [x["feature"] for x in got] == ["a", "b"] and got[0]["importance"] > 0.4 and got[1]["importance"] == 0.0
+    dealt = importance.permutations(frame, "id", ["a"], repeats=2, seed=3)
+    for k in (1, 2):
+        assert sorted(x["a"] for x in dealt.filter(F.col("repeat") == k).select("other.a").collect()) == sorted(a for _, a, _, _ in rows)
+    assert importance.permutation_importance(frame.limit(0), "id", ["a"], lambda d: d.withColumn("s", F.col("a"))).count() == 0
+
+
+def test_feature_bundles(spark):
+    rows = spark.createDataFrame([(1, {"a": 1.0, "b": 2.0}), (2, {"b": 5.0}), (3, None)], "id long, features map<string,double>")
+    bundle = models.FeatureBundle(("a", "b"), total_predict, classes=("real", "FAKE"), threshold=3.0)
+    got = {x["id"]: x for x in models.feature_model(rows, bundle, "id").collect()}
+    assert [(got[i]["score"], got[i]["label"]) for i in (1, 2, 3)] == [(3.0, "likely_generated"), (5.0, "likely_generated"), (0.0, "lower_signal")]
+    wrong = models.FeatureBundle(("a", "b"), total_predict, model_names=("b", "a"))
+    assert {(x["status"], x["score"]) for x in models.feature_model(rows, wrong, "id").collect()} == {("unavailable", None)}
+    broken = models.FeatureBundle(("a",), total_predict, classes=("x", "y", "z"))
+    assert all(x["status"] == "unavailable" and "shape" in x["reason"] for x in models.feature_model(rows, broken, "id").collect())
+
+
+def total_predict(x):
+    return np.column_stack([np.zeros(len(x)), x.sum(axis=1)])
+
+
+def test_bootstrap_is_a_multinomial_resample(spark):
+    cells = [("authentic", "likely_authentic", 60), ("authentic", "inconclusive", 30), ("authentic", "likely_ai_generated", 10), ("generated", "likely_ai_generated", 40), ("generated", "inconclusive", 20)]
+    frame = spark.createDataFrame([(a, v) for a, v, n in cells for _ in range(n)], "normalized_label string, verdict string")
+    got = {x["metric"]: (x["low"], x["high"]) for x in evaluation.bootstrap_intervals(frame, samples=2000).collect()}
+    rng = np.random.default_rng(0)
+    draws = rng.choice(5, size=(2000, 160), p=[n / 160 for *_, n in cells])
+    decided = np.isin(draws, [0, 2, 3]).mean(axis=1)
+    false = (draws == 2).sum(axis=1) / np.maximum(1, (draws < 3).sum(axis=1))
+    for name, values in (("decisive_coverage", decided), ("authentic_false_ai_rate", false)):
+        assert got[name] == pytest.approx(tuple(np.quantile(values, [0.025, 0.975])), abs=0.012)
+    assert evaluation.bootstrap_intervals(frame.limit(0)).count() == 0
+
+
+def test_json_keys(spark):
+    cases = [
+        (r'{"x": "he said \"manifest\": no", "manifest_a": 1}', 1), (r'{"a": [{"Claim": {"manifests": []}}], "b\\\\": "claim:"}', 2), (r'{"m\u0061nifest" : {}}', 1), ("[1, 2]", 0), ('{"claim": ', 0), ("", 0), (None, 0),
+        ('{"long": "' + "x" * 100_000 + '", "claim" \n: 1}', 1),
+    ]
+    frame = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string")
+    got = {x["i"]: x["n"] for x in frame.select("i", claims.manifest_key_count(F.col("t")).alias("n")).collect()}
+    assert got == {i: n for i, (_, n) in enumerate(cases)}
+
+
+def test_policies(spark, tmp_path):
+    (tmp_path / "p.json").write_text('{"generation": {"upper_threshold": 0.8, "more": {"b": 1, "a": 2}}, "quality": null, "calibration_id": "mine"}')
+    r = policies.load_policy(spark, str(tmp_path / "p.json")).first()
+    assert (r["generation_upper"], r["generation_lower"], r["minimum_short_side"], r["manipulation_upper"]) == (0.8, 0.15, None, 0.95)
+    assert json.loads(r["policy"])["generation"]["more"] == {"a": 2, "b": 1} and list(json.loads(r["policy"])) == sorted(json.loads(r["policy"]))
+    (tmp_path / "bad.json").write_text("{nothing")
+    for path in (None, str(tmp_path / "none.json"), str(tmp_path / "bad.json")):
+        assert json.loads(policies.load_policy(spark, path).first()["policy"]) == policies.DEFAULT_POLICY
+    assert policies.configured_models(" b, a ,b,", ["p"], keep_packaged=True) == ["p", "b", "a"] and policies.configured_models(" ", ["p"]) == ["p"]
+
+
+def test_audit_files_and_registries(spark, tmp_path):
+    report = {"cross_split_exact_duplicates": [{"paths": ["train/A.png", "test\\b.png"]}, {"paths": ["train/c.png", "train/d.png"]}, {"paths": []}], "other": 1}
+    (tmp_path / "audit.json").write_text(json.dumps(report))
+    groups = readers.load_audit_groups(spark, str(tmp_path / "audit.json"))
+    assert sorted((x["group"], x["place"], x["split"], x["cross_split"]) for x in groups.collect()) == [(0, 0, "train", True), (0, 1, "test", True), (1, 0, "train", False), (1, 1, "train", False)]
+    samples = spark.createDataFrame([("test/B.PNG", "test"), ("test/x.png", "test"), ("train/a.png", "train")], "path string, split string")
+    assert [x["path"] for x in readers.without_audited(samples, groups, "test").collect()] == ["test/x.png"]
+    (tmp_path / "registry.json").write_text(json.dumps({"registry_version": "1", "models": [{"id": "m", "task": "generation", "enabled_by_default": True}, {"task": "x"}]}))
+    assert [(x["id"], x["enabled_by_default"]) for x in readers.load_registry(spark, str(tmp_path / "registry.json")).collect()] == [("m", True)]
+    (tmp_path / "rows.csv").write_text("path,manipulation_score,predicted_region_area_ratio,view_score_range,localized_or_persistent_support,stable_across_views\na,0.5,0.1,0.2,TRUE,no\nb,x,0.1,0.2,1,1\n")
+    assert [(x["path"], x["localized_or_persistent_support"], x["stable_across_views"]) for x in readers.read_localizer_rows(spark, str(tmp_path / "rows.csv")).collect()] == [("a", True, False)]
+    readers.write_predictions_csv(samples, str(tmp_path / "out"), ["path", "split"])
+    assert spark.read.csv(str(tmp_path / "out"), header=True).count() == 3
+
+
+def test_hot_keys_are_thinned(spark):
+    rows = spark.createDataFrame([("k" if i % 10 else None, i % 7, i) for i in range(500)], "key string, a int, b int")
+    got = {(x["key"], x["rank"]): (x["a"], x["b"], x["total"], x["beyond"]) for x in reports.capped(rows, ["key"], [F.desc("a"), F.asc("b")], 3).collect()}
+    assert got == {(None, 1): (6, 20, 50, 47), (None, 2): (6, 90, 50, 47), (None, 3): (6, 160, 50, 47), ("k", 1): (6, 6, 450, 447), ("k", 2): (6, 13, 450, 447), ("k", 3): (6, 27, 450, 447)}
+    names = [f"{s}/{i:04d}" for s in "ab" for i in range(700)]
+    ring = {x["path"]: x["donor"] for x in splits.donor_ring(spark.createDataFrame([(n, n[0]) for n in names] + [("z", "z")], "path string, split string")).collect()}
+    for s in "ab":
+        own = [n for n in names if n[0] == s]
+        assert [ring[n] for n in own] == own[1:] + own[:1]
+    assert ring["z"] == "z"
+    near = audit.hamming_near_prints(spark.createDataFrame([(0,), (15,), (31,), (-1,), (None,)], "fp long"), 4).collect()
+    assert sorted((x["fa"], x["fb"], x["distance"]) for x in near) == [(-1, -1, 0), (0, 0, 0), (0, 15, 4), (15, 15, 0), (15, 31, 1), (31, 31, 0)]
+    assert measures_box(spark) == [0, 5, 40, 30]
+
+
+def measures_box(spark):
+    return spark.range(1).select(measures.expand_box(F.array(*[F.lit(x) for x in (5, 15, 30, 28)]), F.lit(10), F.lit(200), F.lit(30)).alias("b")).first()["b"]
