@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestra.functions.scores import clamp, ratio
+from attestra.shipping import ship_package
 
 # What is a scene cut, a duplicate frame, a high frame.
 CUT_DELTA, CUT_CORRELATION, DUPLICATE_DELTA, HIGH = 0.18, 0.65, 0.0015, 0.65
@@ -166,8 +169,14 @@ def adaptive_positions(frames: DataFrame, limit: int, fps: float = 30.0) -> Data
 def window_scores(windows: DataFrame, frames: DataFrame) -> DataFrame:
     """(video_id, start_frame, end_frame, generation, manipulation, start_time, end_time, n) of frame intervals.
 
-    windows: (start_frame, end_frame), a short list for every series; a range condition beside the broadcast."""
-    j = frames.join(F.broadcast(windows), (frames["frame_index"] >= windows["start_frame"]) & (frames["frame_index"] <= windows["end_frame"]))
+    windows: (start_frame, end_frame), a short list for every series, which is broadcast; or with video_id, each series' own,
+    which are joined by video_id with a range condition beside it."""
+    inside = (F.col("frame_index") >= F.col("start_frame")) & (F.col("frame_index") <= F.col("end_frame"))
+    if "video_id" in windows.columns:
+        own = windows.select(F.col("video_id").alias("_video"), "start_frame", "end_frame")
+        j = frames.join(own.hint("merge"), (F.col("video_id") == F.col("_video")) & inside)
+    else:
+        j = frames.join(F.broadcast(windows), inside)
     at = lambda c: F.when(F.max("fps") > 0, F.col(c) / F.max("fps"))
     return j.groupBy("video_id", "start_frame", "end_frame").agg(
         F.avg("ai_probability").alias("generation"), F.avg("manipulation_probability").alias("manipulation"), F.count("*").alias("n"), at("start_frame").alias("start_time"), at("end_frame").alias("end_time")
@@ -212,6 +221,13 @@ def frame_score_summary(frames: DataFrame, value: str) -> DataFrame:
     return frames.groupBy("video_id").agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("minimum"), F.percentile(value, 0.1).alias("p10"), F.max(value).alias("maximum"))
 
 
+def per_series(rows: DataFrame, key: str, order: str, choose: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """choose over each series of a key, its rows in order; schema: the key's and what choose gives. A series is one pandas group,
+    so this is for series that a task can hold, and for choices that depend on one another; give it few columns."""
+    ship_package(rows.sparkSession)
+    return rows.groupBy(key).applyInPandas(lambda pdf: choose(pdf.sort_values(order, ignore_index=True)), schema)
+
+
 def temporal_windows(frames: DataFrame, limit: int = 6, fps: float = 30.0) -> DataFrame:
     """(video_id, start_frame, end_frame, reason): windows around anomaly peaks in order of their score, then around uniform
     positions; one that overlaps a chosen window is skipped. Each choice depends on the ones before it, so a series is
@@ -235,7 +251,7 @@ def temporal_windows(frames: DataFrame, limit: int = 6, fps: float = 30.0) -> Da
         rows = sorted(chosen)
         return pd.DataFrame({"video_id": pdf["video_id"].iloc[0], "start_frame": [r[0] for r in rows], "end_frame": [r[1] for r in rows], "reason": [r[2] for r in rows]})
 
-    return d.groupBy("video_id").applyInPandas(choose, "video_id long, start_frame int, end_frame int, reason string")
+    return per_series(d, "video_id", "frame_index", choose, "video_id long, start_frame int, end_frame int, reason string")
 
 
 def video_context_score(frames: DataFrame, width: int, height: int, fps: float = 30.0) -> DataFrame:

@@ -255,3 +255,14 @@ def test_hot_keys_are_thinned(spark):
 
 def measures_box(spark):
     return spark.range(1).select(measures.expand_box(F.array(*[F.lit(x) for x in (5, 15, 30, 28)]), F.lit(10), F.lit(200), F.lit(30)).alias("b")).first()["b"]
+
+
+def test_windows_of_each_series(spark):
+    frames = spark.createDataFrame([(v, i, i / 10, i / 20, 10.0) for v in (1, 2) for i in range(10)], "video_id long, frame_index int, ai_probability double, manipulation_probability double, fps double")
+    own = spark.createDataFrame([(1, 0, 1), (2, 8, 9)], "video_id long, start_frame int, end_frame int")
+    got = sorted((x["video_id"], x["start_frame"], round(x["generation"], 6), x["n"]) for x in series.window_scores(own, frames).collect())
+    assert got == [(1, 0, 0.05, 2), (2, 8, 0.85, 2)]
+    every = series.window_scores(own.select("start_frame", "end_frame"), frames)
+    assert every.count() == 4
+    last = series.per_series(frames.select("video_id", "frame_index"), "video_id", "frame_index", lambda p: p.tail(1), "video_id long, frame_index int")
+    assert sorted(tuple(x) for x in last.collect()) == [(1, 9), (2, 9)]
