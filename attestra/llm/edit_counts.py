@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.text import or_empty
+from attestra.llm.text import or_empty, small_slices
 from attestra.shipping import ship_package
 
 #: Rank file of the byte-level BPE; a parameter of every function here. Each Python worker reads it.
@@ -50,10 +51,19 @@ class CountTree:
     pre-tokens do.
     """
 
-    def __init__(self, text: str, tokens: PreTokens):
+    def __init__(self, text: str, tokens: PreTokens, leaves: np.ndarray | None = None):
+        """leaves: sums of characters, pre-tokens and tokens of each leaf, as `leaves` gave them for this text; nothing is
+        encoded then."""
         self.tokens, self.text = tokens, text
         self.encoded = 0
-        self.build()
+        if leaves is None:
+            self.build()
+        else:
+            self._grow(leaves)
+
+    @property
+    def leaves(self) -> np.ndarray:
+        return self.sums[:, self.size : self.size + self.used]
 
     @property
     def count(self) -> int:
@@ -74,14 +84,18 @@ class CountTree:
 
     def build(self) -> None:
         each = self._measure(self.tokens.pattern.findall(self.text))
-        leaves = max(1, -(-each.shape[1] // LEAF))
-        self.size = 1 << (leaves - 1).bit_length()
+        starts = np.arange(0, each.shape[1], LEAF)
+        self._grow(np.add.reduceat(each, starts, axis=1) if len(starts) else np.zeros((3, 1), dtype=np.int64))
+
+    def _grow(self, leaves: np.ndarray) -> None:
+        self.used = leaves.shape[1]
+        self.size = 1 << (self.used - 1).bit_length()
         self.sums = np.zeros((3, 2 * self.size), dtype=np.int64)
-        if each.shape[1]:
-            self.sums[:, self.size : self.size + leaves] = np.add.reduceat(each, np.arange(0, each.shape[1], LEAF), axis=1)
-        self.used = leaves
-        for i in range(self.size - 1, 0, -1):
-            self.sums[:, i] = self.sums[:, 2 * i] + self.sums[:, 2 * i + 1]
+        self.sums[:, self.size : self.size + self.used] = leaves
+        low = self.size
+        while low > 1:
+            self.sums[:, low // 2 : low] = self.sums[:, low : 2 * low].reshape(3, -1, 2).sum(axis=2)
+            low //= 2
 
     def find(self, at: int) -> tuple[int, int]:
         """The leaf that holds the character `at`, and where it starts; the last used leaf, if `at` is the text's end."""
@@ -148,36 +162,77 @@ def with_edits(docs: DataFrame, edits: DataFrame, id_col: str = "doc_id") -> Dat
     return docs.join(by_doc.hint("merge"), id_col, "left")
 
 
-def edited_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits_col: str = "edits", rank_file: str = RANKS) -> DataFrame:
-    """(id, n_before, n_after, n_pieces, n_encoded, text) of each row.
+#: A kept tree: its text's checksum, and the sums of its leaves; inner nodes follow from these.
+TREE = "struct<crc:bigint,chars:array<bigint>,pieces:array<bigint>,tokens:array<bigint>>"
+SUMS = ["chars", "pieces", "tokens"]
+
+
+def _crc(text: str) -> int:
+    return zlib.crc32(text.encode("utf-8", "surrogatepass"))
+
+
+def _kept_leaves(tree: pa.StructScalar, text: str) -> np.ndarray | None:
+    """The leaves of a kept tree; None if there is none, or one of another text."""
+    if not tree.is_valid or tree["crc"].as_py() != _crc(text):
+        return None
+    parts = [tree[name].values for name in SUMS]
+    if any(x is None or x.null_count for x in parts) or len({len(x) for x in parts}) != 1 or not len(parts[0]):
+        return None
+    leaves = np.stack([x.to_numpy(zero_copy_only=False) for x in parts]).astype(np.int64)
+    return leaves if leaves.min() >= 0 and leaves[0].sum() == len(text) else None
+
+
+def edited_counts(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits_col: str = "edits", rank_file: str = RANKS, tree_col: str | None = None
+) -> DataFrame:
+    """(id, n_before, n_after, n_pieces, n_encoded, text) of each row; with tree_col also n_built and that column.
 
     n_before and n_after: tokens before and after its edits, which follow one another, each on the text that the last one
     left. n_pieces: pre-tokens in the end; n_encoded: those that edits made to be encoded again; text: the edited text.
 
-    A null text is empty; null edits, and an empty list, are none; a null place or cut is 0, a null paste is empty. A
-    row's tree lives while its row is worked on: no state is kept between rows but the cache of pre-tokens. Equal rows get
-    equal results.
+    tree_col names the column of kept trees (type TREE). The result's tree is that of the edited text, so a table of
+    results is the input of the next batch of edits, of which each row then costs its touched leaves alone. n_built counts
+    the pre-tokens encoded to make a tree first: 0 if one was kept. The column may be missing from docs. A null tree, one
+    with a null part, and one whose checksum or length is not the text's is made anew; trees of another rank file can't be
+    told apart, so a table of trees belongs to one.
+
+    A null text is empty; null edits, and an empty list, are none; a null place or cut is 0, a null paste is empty. A very
+    long text is one row's work. Equal rows get equal results, an empty table an empty one. Columns other than those
+    named here are left out; the id's name must not be one of the result's.
     """
     ship_package(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = pre_tokens(rank_file)
-        for batch in batches:
-            columns: list[list] = [[] for _ in range(5)]
-            for text, edits in zip(batch.column(1), batch.column(2), strict=True):
-                tree = CountTree(text.as_py() or "", tokens)
-                before, tree.encoded = tree.count, 0
+        for batch in (part for whole in batches for part in small_slices(whole, 1)):
+            columns: list[list] = [[] for _ in range(6)]
+            grown: list[list] = [[] for _ in range(4)]
+            for i, (text, edits) in enumerate(zip(batch.column(1), batch.column(2), strict=True)):
+                text = text.as_py() or ""
+                tree = CountTree(text, tokens, _kept_leaves(batch.column(3)[i], text) if tree_col else None)
+                before, built, tree.encoded = tree.count, tree.encoded, 0
                 for e in edits.as_py() or []:
                     tree.edit(e["at"] or 0, e["cut"] or 0, e["paste"] or "")
-                for column, value in zip(columns, (before, tree.count, tree.pieces, tree.encoded, tree.text), strict=True):
+                for column, value in zip(columns, (before, tree.count, tree.pieces, tree.encoded, tree.text, built), strict=True):
                     column.append(value)
+                if tree_col:
+                    for column, value in zip(grown, (_crc(tree.text), *tree.leaves), strict=True):
+                        column.append(value)
             arrays = [pa.array(c, pa.int64()) for c in columns[:4]] + [pa.array(columns[4], pa.string())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=[id_col, "n_before", "n_after", "n_pieces", "n_encoded", "text"])
+            names = [id_col, "n_before", "n_after", "n_pieces", "n_encoded", "text"]
+            if tree_col:
+                kept = [pa.array(grown[0], pa.int64()), *[pa.array(c, pa.list_(pa.int64())) for c in grown[1:]]]
+                arrays += [pa.array(columns[5], pa.int64()), pa.StructArray.from_arrays(kept, names=["crc", *SUMS])]
+                names += ["n_built", tree_col]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col, edits_col).mapInArrow(
-        count, f"`{id_col}` {kind}, n_before long, n_after long, n_pieces long, n_encoded long, text string"
-    )
+    columns = [F.col(f"`{c}`") for c in (id_col, text_col, edits_col)]
+    schema = f"`{id_col}` {kind}, n_before long, n_after long, n_pieces long, n_encoded long, text string"
+    if tree_col:
+        columns.append((F.col(f"`{tree_col}`") if tree_col in docs.columns else F.lit(None)).cast(TREE).alias(tree_col))
+        schema += f", n_built long, `{tree_col}` {TREE}"
+    return docs.select(*columns).mapInArrow(count, schema)
 
 
 def sample_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count: int = 4) -> DataFrame:

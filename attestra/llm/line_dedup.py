@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm.storage import key_bitmap, remove, shared_folder, with_possible, written
+from attestra.llm.storage import Scratch, key_bitmap, remove, shared_folder, with_possible, written
 from attestra.llm.text import SPACES, ascii_lower, or_empty
 
 #: Shortest key, in code points, that can be dropped, and in how many documents it must be found.
@@ -33,56 +33,86 @@ def _hashes(key: str) -> list[Column]:
 class LineRuns:
     """Sorted runs of (h1, h2, n_docs, max_id) on levels, in a shared folder.
 
-    A run holds each key once, sorted by key within its files. n_docs and max_id are totals up to the run's batch, so
-    for a key that several runs hold the newest run has the largest of both. add() joins a batch with the runs: keys that
-    no run holds (the anti-join part) enter with their own counts, known keys enter with their new totals. A level with
-    FANOUT runs is merged into one run of the next level, so a key is rewritten as often as there are levels, which is
-    the logarithm of the number of batches.
+    A run is a Parquet table bucketed and sorted by key, in as many buckets as every other run, with each key once. So
+    old runs are never shuffled again: a batch is dealt to their buckets, and runs are merged bucket by bucket. n_docs and
+    max_id are totals up to the run's batch, so for a key that several runs hold the newest run has the largest of both.
+    add() joins a batch with the runs: keys that no run holds (the anti-join part) enter with their own counts, known keys
+    enter with their new totals. A level with FANOUT runs is merged into one run of the next level, so a key is rewritten
+    as often as there are levels, which is the logarithm of the number of batches.
+
+    Bucketed tables need names in the session's catalog; close() takes them out and deletes the files. buckets: by default
+    as many as the session has shuffle partitions.
     """
 
-    def __init__(self, spark: SparkSession, fanout: int = FANOUT):
-        self.spark, self.fanout, self.levels = spark, fanout, []
+    def __init__(self, spark: SparkSession, fanout: int = FANOUT, buckets: int | None = None):
+        self.spark, self.fanout, self.levels, self.folders = spark, fanout, [], {}
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def _write(self, keys: DataFrame, level: int) -> None:
         path = shared_folder(self.spark, f"line-run-l{level}")
-        keys.select(*KEY, "n_docs", "max_id").sortWithinPartitions(*KEY).write.parquet(path)
+        name = path.rsplit("/", 1)[1].replace("-", "_")
+        run = keys.select(*KEY, "n_docs", "max_id")
+        run.write.format("parquet").bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", path).saveAsTable(name)
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(path)
-
-    def _totals(self, paths: list[str]) -> DataFrame:
-        rows = self.spark.read.parquet(*paths)
-        return rows if len(paths) == 1 else rows.groupBy(*KEY).agg(F.max("n_docs").alias("n_docs"), F.max("max_id").alias("max_id"))
+        self.levels[level].append(name)
+        self.folders[name] = path
+
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        remove(self.spark, self.folders.pop(name))
+
+    def _totals(self, names: list[str]) -> DataFrame:
+        # Joined, not united: Spark 4.1 plans no exchange above a union of bucketed tables, and groups then come twice.
+        rows = self.spark.table(names[0])
+        for name in names[1:]:
+            other = self.spark.table(name).withColumnsRenamed({"n_docs": "other_n", "max_id": "other_max"})
+            rows = rows.join(other.hint("merge"), KEY, "full").select(
+                *KEY, F.greatest("n_docs", "other_n").alias("n_docs"), F.greatest("max_id", "other_max").alias("max_id")
+            )
+        return rows
 
-    def paths(self) -> list[str]:
-        return [p for level in self.levels for p in level]
+    def names(self) -> list[str]:
+        return [n for level in self.levels for n in level]
 
     def totals(self) -> DataFrame:
         """Every key once, with its totals."""
-        return self._totals(self.paths())
+        return self._totals(self.names())
+
+    def joined(self, batch: DataFrame) -> DataFrame:
+        """The batch's keys with their totals over the runs and the batch."""
+        if not self.names():
+            return batch.repartition(self.buckets, *KEY)
+        keys, before = batch, []
+        for i, name in enumerate(self.names()):
+            known = self.spark.table(name).select(*KEY, F.col("n_docs").alias(f"n_{i}"), F.col("max_id").alias(f"max_{i}"))
+            keys = keys.join(known.hint("merge"), KEY, "left")
+            before.append(i)
+        return keys.select(
+            *KEY,
+            (F.col("n_docs") + F.greatest(F.lit(0), *[f"n_{i}" for i in before])).alias("n_docs"),
+            F.greatest("max_id", *[f"max_{i}" for i in before]).alias("max_id"),
+        )
 
     def add(self, batch: DataFrame) -> str:
-        """Adds a batch of (h1, h2, n_docs, max_id), each key once; returns the folder of its run."""
-        keys = batch
-        if self.paths():
-            known = self.totals().select(*KEY, F.col("n_docs").alias("n_before"), F.col("max_id").alias("max_before"))
-            keys = batch.join(known.hint("merge"), KEY, "left").select(
-                *KEY,
-                (F.col("n_docs") + F.coalesce("n_before", F.lit(0))).alias("n_docs"),
-                F.greatest("max_id", "max_before").alias("max_id"),
-            )
-        self._write(keys, 0)
+        """Adds a batch of (h1, h2, n_docs, max_id), each key once; returns the name of its run."""
+        self._write(self.joined(batch), 0)
         newest = self.levels[0][-1]
         level = 0
         while level < len(self.levels) and len(self.levels[level]) >= self.fanout:
             old = self.levels[level]
             self._write(self._totals(old), level + 1)
             self.levels[level] = []
-            for p in old:
-                remove(self.spark, p)
+            for name in old:
+                self._drop(name)
             newest, level = self.levels[level + 1][-1], level + 1
         return newest
 
+    def close(self) -> None:
+        for name in self.names():
+            self._drop(name)
+        self.levels = []
+
 
 def index_lines(docs: DataFrame, id_col: str, text_col: str, min_length: int = MIN_LENGTH, batches: int = BATCHES) -> LineRuns:
     """Runs over all documents, batch by batch. A document counts once for a key, however often it holds it."""
@@ -91,10 +121,12 @@ def index_lines(docs: DataFrame, id_col: str, text_col: str, min_length: int = M
         F.col(id_col).alias("id"), F.pmod(F.xxhash64(id_col), F.lit(batches)).alias("batch"), F.explode(keys).alias("key")
     ).select("id", "batch", *_hashes("key"))
     counted = lines.groupBy("batch", *KEY).agg(F.count("*").alias("n_docs"), F.max("id").alias("max_id"))
-    by_batch = written(counted, "line-batches", partition_by="batch")
+    scratch = Scratch(docs.sparkSession)
+    by_batch = scratch.written(counted, "line-batches", partition_by="batch")
     runs = LineRuns(docs.sparkSession)
     for b in range(batches):
         runs.add(by_batch.filter(F.col("batch") == b).drop("batch"))
+    scratch.clear()
     return runs
 
 
@@ -122,6 +154,7 @@ def dedup_lines(
     common = written(
         runs.totals().filter(F.col("n_docs") >= min_docs).select(*KEY, F.col("max_id").alias("keep_id")), "line-common"
     )
+    runs.close()
     held = docs.select(
         F.col(id_col).alias("id"),
         F.xxhash64(text_col).alias("text_hash"),

@@ -41,9 +41,10 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
 
-    def written(self, df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+    def written(self, df: DataFrame, label: str, keep: bool = False, partition_by: str | None = None) -> DataFrame:
         path = shared_folder(self.spark, label)
-        df.write.parquet(path)
+        writer = df.write.partitionBy(partition_by) if partition_by else df.write
+        writer.parquet(path)
         if not keep:
             self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)

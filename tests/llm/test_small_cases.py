@@ -55,6 +55,36 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(docs(spark, [])).count() == 0
 
 
+def test_line_runs_join_batches_without_moving_runs(spark):
+    runs, want, r = line_dedup.LineRuns(spark, buckets=3), {}, random.Random(6)
+    for b in range(7):
+        batch = {(r.randrange(40), r.randrange(2)): (r.randrange(1, 5), b * 100 + r.randrange(100)) for _ in range(30)}
+        frame = spark.createDataFrame([(*k, *v) for k, v in batch.items()], "h1 long, h2 long, n_docs long, max_id long")
+        if b:
+            plan = runs.joined(frame)._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange") == 1 and plan.count("Bucketed: true") == len(runs.names())
+        runs.add(frame)
+        for k, (n, i) in batch.items():
+            old = want.get(k, (0, i))
+            want[k] = (old[0] + n, max(old[1], i))
+        plan = runs._totals(runs.names()[:2])._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan
+        totals = runs.totals().collect()
+        assert {(x["h1"], x["h2"]): (x["n_docs"], x["max_id"]) for x in totals} == want and len(totals) == len(want)
+    assert len(runs.names()) == 3
+    names = runs.names()
+    runs.close()
+    assert not any(spark.catalog.tableExists(n) for n in names)
+
+
+def test_line_dedup_leaves_no_runs_behind(spark):
+    before = len(spark.catalog.listTables())
+    frame = docs(spark, ["this line is certainly longer than forty code points"] * 6 + [None])
+    frame = frame.unionByName(frame)
+    assert line_dedup.dedup_lines(frame).count() == 14
+    assert len(spark.catalog.listTables()) == before
+
+
 def brute_components(t):
     sets = []
     for x in t:
@@ -208,6 +238,36 @@ def test_edit_counts(spark):
     assert out[3]["text"] == "bba" and 0 < out[8]["n_encoded"] < out[8]["n_pieces"]
 
 
+def test_kept_trees_take_the_next_edits(spark):
+    t = [*ODD, text(3, 4000)]
+    long = len(t) - 1
+    kind = "doc_id long, seq int, at int, cut int, paste string"
+    first = spark.createDataFrame([(long, 1, 5000, 10, " new words"), (3, 1, 0, 0, "bb"), (5, 1, 7, 9000, None)], kind)
+    frame = docs(spark, t).withColumn("n_built", F.lit("x")).withColumn("crc", F.lit(1))
+    one = edit_counts.edited_counts(edit_counts.with_edits(frame, first), tree_col="tree")
+    encoding = edit_counts.pre_tokens(edit_counts.RANKS).encoding
+    a = rows(one)
+    assert a[long]["n_built"] > 4000 and 0 < a[long]["n_encoded"] < 400
+    second = spark.createDataFrame([(long, 1, 100, 3, "it's"), (long, 2, 20000, 0, "\n\n"), (0, 1, 0, 0, "was null"), (5, 1, 3, 2, "é")], kind)
+    two = rows(edit_counts.edited_counts(edit_counts.with_edits(one.drop("n_before", "n_after"), second), tree_col="tree"))
+    for i in range(len(t)):
+        assert two[i]["n_built"] == 0 and two[i]["n_before"] == a[i]["n_after"]
+        assert two[i]["n_after"] == len(encoding.encode_ordinary(two[i]["text"]))
+        assert (two[i]["text"] == a[i]["text"]) == (i not in (0, 5, long))
+    assert 0 < two[long]["n_encoded"] < 800 and two[1]["n_encoded"] == 0
+    changed = one.withColumn("text", F.reverse("text")).withColumn("edits", F.lit(None).cast("array<struct<at:int,cut:int,paste:string>>"))
+    built = rows(edit_counts.edited_counts(changed, tree_col="tree"))
+    for i in range(len(t)):
+        assert built[i]["n_after"] == len(encoding.encode_ordinary(a[i]["text"][::-1]))
+    assert built[long]["n_built"] > 4000
+    holed = one.withColumn("tree", F.when(F.col("doc_id") % 2 == 0, F.col("tree").withField("tokens", F.array(F.lit(None).cast("long")))))
+    holed = holed.withColumn("edits", F.lit(None).cast("array<struct<at:int,cut:int,paste:string>>"))
+    assert {i: x["n_after"] for i, x in rows(edit_counts.edited_counts(holed, tree_col="tree")).items()} == {i: x["n_after"] for i, x in a.items()}
+    twice = edit_counts.edited_counts(edit_counts.with_edits(frame.unionByName(frame), first), tree_col="tree")
+    assert twice.count() == 2 * len(t) and twice.drop("tree").distinct().count() == len(t)
+    assert edit_counts.edited_counts(edit_counts.with_edits(docs(spark, []), first), tree_col="tree").count() == 0
+
+
 def test_edit_trees_equal_whole_counts():
     tokens, r = edit_counts.pre_tokens(edit_counts.RANKS), random.Random(4)
     for x in [text(1, 900), "it's  we'll  'll 'x", " " * 300, ""]:
