@@ -137,6 +137,7 @@ def dedup_lines(
     min_length: int = MIN_LENGTH,
     min_docs: int = MIN_DOCS,
     batches: int = BATCHES,
+    counts: bool = True,
 ) -> DataFrame:
     """docs with text_col rewritten, and n_lines and n_dropped (line counts before dropping, and of what went).
 
@@ -149,6 +150,7 @@ def dedup_lines(
     A null or empty text is one empty line, and becomes an empty text. Rows that repeat an id count as a document each,
     and all of them are the largest id if their id is. A null id is never the largest unless all are null. An empty
     table gives an empty result; other columns come through, but for ones named n_lines or n_dropped, which are replaced.
+    Without counts these two are not made, and columns of these names come through as well.
     """
     runs = index_lines(docs, id_col, text_col, min_length, batches)
     common = written(
@@ -179,7 +181,9 @@ def dedup_lines(
     lines = lines_of(F.col(f"row.`{text_col}`"))
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("lost_at", i)), "\n")
     new_text = F.when(F.col("lost_at").isNull(), text).otherwise(kept)
-    keep = [new_text.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    keep = [new_text.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns if not counts or c not in ("n_lines", "n_dropped")]
+    if not counts:
+        return out.select(*keep)
     return out.select(
         *keep,
         (F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1).cast("long").alias("n_lines"),
