@@ -1,4 +1,8 @@
-"""From raw documents to segmented training text, in five stages."""
+"""From raw documents to segmented training text, in five stages.
+
+In every stage a null text counts as empty, rows that repeat an id are rows of their own, an empty table gives an empty
+result, and columns that documents have besides keep their names and values in all stages but the last, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -20,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that many of them hold; every document stays, an emptied one too. n_chars is counted anew."""
-    out = dedup_lines(docs)
+    out = dedup_lines(docs, counts=False)
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
