@@ -25,6 +25,8 @@ N_BEST = 4
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Chunks after which a worker starts a new generation of remembered segmentations (it keeps two), and the longest chunk kept.
 CACHE, KEPT_CHARS = 40_000, 64
+#: Rows and bytes of text that a worker segments at once: what a slice adds to the remembered chunks is small beside CACHE.
+SLICE = 125, 1 << 20
 #: Characters of a chunk from which numbers of its places are packed.
 LONG = 4_096
 #: Zipf-Mandelbrot offset: a piece of rank r has probability in proportion to 1 / (r + OFFSET).
@@ -53,7 +55,8 @@ class PieceModel:
         sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
         size = sp.get_piece_size()
         self.pieces = [sp.id_to_piece(i) for i in range(size)]
-        plain = [i for i in range(size) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
+        self.numbers = list(range(size))
+        plain = [i for i in self.numbers if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         total = math.log(sum(1 / (r + OFFSET) for r in range(len(plain))))
         self.ids = {self.pieces[i].replace(SPACE_MARK, " "): i for i in plain}
         self.scores = {p: -math.log(r + OFFSET) - total for r, p in enumerate(self.ids)}
@@ -245,7 +248,8 @@ class PieceModel:
             rows = rows[place[rows] > 0]
         table = np.stack(steps[::-1], axis=1)
         used = (table >= 0).sum(axis=1)
-        flat, ends = table[table >= 0].tolist(), np.cumsum(used).tolist()
+        # remembered ids are the model's own numbers, not a copy for each place
+        flat, ends = list(map(self.numbers.__getitem__, table[table >= 0].tolist())), np.cumsum(used).tolist()
         top, gap = best[size, np.arange(n)].tolist(), (best[size, np.arange(n)] - second[size, np.arange(n)]).tolist()
         out, begin = [], 0
         for k, end in enumerate(ends):
@@ -426,7 +430,7 @@ def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_model(model_file)
         for whole in batches:
-            for batch in small_slices(whole, 1):
+            for batch in small_slices(whole, 1, *SLICE):
                 ids, scores, sizes, others, decodes = [], [], [], [], []
                 texts = [text or "" for text in batch.column(1).to_pylist()]
                 chunks = [model.chunks(" " + text) for text in texts]
@@ -475,9 +479,11 @@ def decode_pieces(encoded: DataFrame, id_col: str = "doc_id", model_file: str =
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_model(model_file)
-        for batch in batches:
-            texts = [model.decode(x.as_py()) if x.is_valid else None for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[id_col, "text"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, SLICE[0]):
+                batch = whole.slice(start, SLICE[0])
+                texts = [model.decode(x.as_py()) if x.is_valid else None for x in batch.column(1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[id_col, "text"])
 
     ship_package(encoded.sparkSession)
     return encoded.select(id_col, "ids").mapInArrow(decode, f"`{id_col}` {encoded.schema[id_col].dataType.simpleString()}, text string")
@@ -486,8 +492,8 @@ def decode_pieces(encoded: DataFrame, id_col: str = "doc_id", model_file: str =
 def _of_all(encoded: DataFrame, id_col: str, name: str, kind: str, arrow: pa.DataType, make: Callable[[list[int]], object]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, whole.num_rows, 500):
-                batch = whole.slice(start, 500)
+            for start in range(0, whole.num_rows, SLICE[0]):
+                batch = whole.slice(start, SLICE[0])
                 out = []
                 for ids, others in zip(batch.column(1), batch.column(2)):
                     ids = ids.as_py()
