@@ -24,9 +24,9 @@ N_BEST = 4
 #: The model's place; a parameter of every function here. The file is read by each Python worker.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Chunks after which a worker starts a new generation of remembered segmentations (it keeps two), and the longest chunk kept.
-CACHE, KEPT_CHARS = 40_000, 64
-#: Rows and bytes of text that a worker segments at once: what a slice adds to the remembered chunks is small beside CACHE.
-SLICE = 125, 1 << 20
+CACHE, KEPT_CHARS = 100_000, 64
+#: Rows that are decoded at once.
+SLICE = 125
 #: Characters of a chunk from which numbers of its places are packed.
 LONG = 4_096
 #: Zipf-Mandelbrot offset: a piece of rank r has probability in proportion to 1 / (r + OFFSET).
@@ -263,9 +263,9 @@ class PieceModel:
             begin = end
         return out
 
-    def learn(self, texts: list[list[str]]) -> None:
+    def learn(self, texts: list[list[str]], remembered: int = CACHE) -> None:
         """Makes the best segmentations of all chunks of some texts known. Long chunks are to be forgotten by the caller."""
-        if len(self.known) > CACHE:
+        if len(self.known) > remembered:
             self.known, self.older, self.ranked = {}, self.known, {}
         new = set().union(*texts) - self.known.keys()
         again = new & self.older.keys()
@@ -416,25 +416,26 @@ def restored(ids: list[int], other: list[Stretch]) -> list[int]:
     return out + list(ids[done:])
 
 
-def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N_BEST, model_file: str = MODEL, verify: bool = False) -> DataFrame:
+def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N_BEST, model_file: str = MODEL, verify: bool = False, remembered: int = CACHE) -> DataFrame:
     """(id, ids, scores, n_pieces, others) of each row: the best segmentation's piece ids, the n best's scores and numbers of
     pieces, and for the second to the n-th the stretches in which they differ from the best; all_segmentations() and
     decode_segmentations() restore them. verify adds decodes: whether each, restored so, decodes to the text.
 
     Whole texts; a null text is an empty one, whose segmentation is that of the leading space alone. Equal rows get
     equal results. A row's work and memory grow with its text's length, whatever the number of equal scores; a worker also
-    keeps two generations of about CACHE chunks. Scores are log-probabilities by rank (see PieceModel), since a
+    keeps two generations of about so many remembered chunks, and takes slices of rows in proportion: fewer cost less memory
+    and more time, and results are the same. Scores are log-probabilities by rank (see PieceModel), since a
     byte-pair model's own scores are merge ranks, whose sums say nothing of a whole segmentation.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_model(model_file)
         for whole in batches:
-            for batch in small_slices(whole, 1, *SLICE):
+            for batch in small_slices(whole, 1, max(1, remembered // 200), 40 * remembered):
                 ids, scores, sizes, others, decodes = [], [], [], [], []
                 texts = [text or "" for text in batch.column(1).to_pylist()]
                 chunks = [model.chunks(" " + text) for text in texts]
-                model.learn(chunks)
+                model.learn(chunks, remembered)
                 for text, parts in zip(texts, chunks, strict=True):
                     found, ways = model.ways(parts, n)
                     sure = list(map(itemgetter(0), found))
@@ -480,8 +481,8 @@ def decode_pieces(encoded: DataFrame, id_col: str = "doc_id", model_file: str =
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_model(model_file)
         for whole in batches:
-            for start in range(0, whole.num_rows, SLICE[0]):
-                batch = whole.slice(start, SLICE[0])
+            for start in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(start, SLICE)
                 texts = [model.decode(x.as_py()) if x.is_valid else None for x in batch.column(1)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[id_col, "text"])
 
@@ -492,8 +493,8 @@ def decode_pieces(encoded: DataFrame, id_col: str = "doc_id", model_file: str =
 def _of_all(encoded: DataFrame, id_col: str, name: str, kind: str, arrow: pa.DataType, make: Callable[[list[int]], object]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, whole.num_rows, SLICE[0]):
-                batch = whole.slice(start, SLICE[0])
+            for start in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(start, SLICE)
                 out = []
                 for ids, others in zip(batch.column(1), batch.column(2)):
                     ids = ids.as_py()

@@ -16,6 +16,9 @@ from attestra.llm.piece_lattice import encode_pieces
 from attestra.llm.quality import keep_good
 from attestra.llm.storage import written
 
+#: Chunks that a worker of the last stage remembers: fewer than by default, since its executor still holds what earlier stages used.
+REMEMBERED = 25_000
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps. It is fitted on these documents and the labels of all but a fifth."""
@@ -40,7 +43,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def segmentation(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids of the best segmentation's pieces, scores and n_pieces of the n best, others: where those differ from the best."""
-    return encode_pieces(docs)
+    return encode_pieces(docs, remembered=REMEMBERED)
 
 
 STAGES = [

@@ -445,3 +445,13 @@ def test_ids_of_other_names_and_types(spark):
     labels = spark.createDataFrame([(i, int(i < 60), 0) for i in range(120)], "key long, quality int, toxic int")
     kept = {x["key"] for x in quality.keep_good(frame, labels, "key", "body").collect()}
     assert kept == set(range(60))
+
+
+def test_few_remembered_chunks_give_the_same_segmentations(spark):
+    from attestra.llm.piece_lattice import encode_pieces
+
+    texts = [" ".join(f"w{i * k}x{k}" for k in range(40)) for i in range(30)] + [None, "", "a\nb", "a\nb"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    few = encode_pieces(docs, remembered=50, verify=True).orderBy("doc_id").collect()
+    assert few == encode_pieces(docs, verify=True).orderBy("doc_id").collect()
+    assert all(all(r.decodes) for r in few) and len(few) == len(texts)
