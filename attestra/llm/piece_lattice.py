@@ -209,21 +209,23 @@ class PieceModel:
         best[0] = 0.0
 
         def relax(rows: np.ndarray, start: int, end: int, score: np.ndarray, nodes: np.ndarray | int) -> None:
-            whole, other = best[start, rows] + score, second[start, rows] + score
-            top = best[end, rows]
+            whole, other = best[start].take(rows) + score, second[start].take(rows) + score
+            top = best[end].take(rows)
             better = whole > top
-            second[end, rows] = np.where(better, np.maximum(top, other), np.maximum(second[end, rows], whole))
-            best[end, rows] = np.where(better, whole, top)
-            last[end, rows[better]] = start
-            node_of[end, rows[better]] = nodes[better] if isinstance(nodes, np.ndarray) else nodes
+            second[end][rows] = np.where(better, np.maximum(top, other), np.maximum(second[end].take(rows), whole))
+            best[end][rows] = np.maximum(whole, top)
+            changed = rows[better]
+            last[end][changed] = start
+            node_of[end][changed] = nodes[better] if isinstance(nodes, np.ndarray) else nodes
 
         for i in range(width):
             rows, end = np.flatnonzero(size > i), i
             at = np.zeros(len(rows), dtype=np.int32)
             while len(rows):
-                key = at.astype(np.int64) * self.wide + column[end, rows]
+                letter = column[end].take(rows)
+                key = at.astype(np.int64) * self.wide + letter
                 found = np.minimum(np.searchsorted(self.step_key, key), len(self.step_key) - 1)
-                there = (self.step_key[found] == key) & (column[end, rows] >= 0)
+                there = (self.step_key.take(found) == key) & (letter >= 0)
                 if end == i:  # a character without a piece of its own: its bytes
                     lacks = rows[~there | np.isnan(self.node_score[self.step_to[found]])]
                     if len(lacks):
