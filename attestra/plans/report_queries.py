@@ -218,4 +218,5 @@ SELECT video_id, count(*) AS n, epoch(min(ts))::bigint AS first_second, epoch(ma
 )
 def stream_sessions(frames):
     out = streams.stream_sessions(frames)
-    return out.select("video_id", "n", F.unix_timestamp("start").alias("first_second"), (F.unix_timestamp("end") - 1800).alias("last_second"))
+    nearest = lambda c: F.bround(c.cast("double")).cast("long")
+    return out.select("video_id", "n", nearest(F.col("start")).alias("first_second"), nearest(F.col("end") - F.expr("INTERVAL 30 MINUTE")).alias("last_second"))

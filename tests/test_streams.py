@@ -185,3 +185,15 @@ def test_stream_into_the_ledger_once(spark, tmp_path):
     rows(3, 6, 7).coalesce(1).write.mode("append").parquet(str(tmp_path / "src"))
     assert run("a") == ["h1", "h2", "h3"]
     assert run("b") == ["h1", "h2", "h3"]  # the checkpoint is lost: all files come again
+
+
+def test_session_seconds_are_the_nearest(spark):
+    from attestra.plans.report_queries import stream_sessions
+
+    spots = [(1, "2024-01-01T00:00:00.400"), (1, "2024-01-01T00:10:00.600"), (2, "2024-01-01T00:00:01.700"), (2, "2024-01-01T00:31:02.100"), (3, "2024-01-01T00:00:00.500"), (3, "2024-01-01T00:00:01.500")]
+    rows = [(video, i, 0.9, 0.1, at(ts).replace(tzinfo=datetime.timezone.utc)) for i, (video, ts) in enumerate(spots)]
+    day = 1704067200
+    found = {r["n"]: r for r in stream_sessions(spark.createDataFrame(rows[:2], FRAMES)).collect()}
+    assert (found[2]["first_second"] - day, found[2]["last_second"] - day) == (0, 601)
+    found = sorted((r["video_id"], r["n"], r["first_second"] - day, r["last_second"] - day) for r in stream_sessions(spark.createDataFrame(rows, FRAMES)).collect())
+    assert found == [(1, 2, 0, 601), (2, 1, 2, 2), (2, 1, 1862, 1862), (3, 2, 0, 2)]  # a half goes to the even second
