@@ -266,3 +266,8 @@ def test_windows_of_each_series(spark):
     assert every.count() == 4
     last = series.per_series(frames.select("video_id", "frame_index"), "video_id", "frame_index", lambda p: p.tail(1), "video_id long, frame_index int")
     assert sorted(tuple(x) for x in last.collect()) == [(1, 9), (2, 9)]
+
+
+def test_video_context_takes_losses_off_one_by_one(spark):
+    frames = spark.createDataFrame([(1, t, 0.1, 0.1) for t in (56.0, 56.0, 56.0, 56.0, 57.0, 0.0)], "video_id long, truth_score double, ai_probability double, manipulation_probability double").coalesce(1)
+    assert series.video_context_score(frames, 320, 480).first()["score"] == 30  # 30.5 to the even one; 46.8333 - (3.3333 + 5 + 8) is 30.500000000000004
