@@ -271,3 +271,23 @@ def test_windows_of_each_series(spark):
 def test_video_context_takes_losses_off_one_by_one(spark):
     frames = spark.createDataFrame([(1, t, 0.1, 0.1) for t in (56.0, 56.0, 56.0, 56.0, 57.0, 0.0)], "video_id long, truth_score double, ai_probability double, manipulation_probability double").coalesce(1)
     assert series.video_context_score(frames, 320, 480).first()["score"] == 30  # 30.5 to the even one; 46.8333 - (3.3333 + 5 + 8) is 30.500000000000004
+
+
+def test_threshold_sweep_equals_plain_counts(spark):
+    from attestra.operators.evaluation import binary_metrics, threshold_sweep
+
+    steps = [0.5, 0.05, 0.1, 0.3, 0.5]
+    values = [0.0, 0.05, 0.1 - 1e-17, 0.1, 0.3, 0.29999999999999999, 0.1 + 0.2, 0.5, 1.0, None, float("nan"), float("inf"), float("-inf")]
+    rows = spark.createDataFrame([(v, y) for v in values for y in (True, False, True, None)], "s double, y boolean")
+    got = {r["threshold"]: r.asDict() for r in threshold_sweep(rows, steps).collect()}
+    want = {t: binary_metrics(rows, F.lit(t)).first().asDict() | {"threshold": t} for t in set(steps)}
+    assert got == want
+
+
+def test_candidates_are_fitted_on_all_cores(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(models, "PART_ROWS", 10, raising=False)
+    monkeypatch.setattr(models, "_scored_models", lambda rows, estimators: seen.append((rows.rdd.getNumPartitions(), rows.count(), len(estimators))), raising=False)
+    rows = spark.range(200).selectExpr("cast(id % 7 AS double) AS a", "cast(id % 2 AS int) AS y", "if(id % 3 = 0, 'validation', 'train') AS split").coalesce(1)
+    models.fit_candidates(rows, ["a"])
+    assert seen == [(spark.sparkContext.defaultParallelism, 200, 4)]
