@@ -291,3 +291,24 @@ def test_candidates_are_fitted_on_all_cores(spark, monkeypatch):
     rows = spark.range(200).selectExpr("cast(id % 7 AS double) AS a", "cast(id % 2 AS int) AS y", "if(id % 3 = 0, 'validation', 'train') AS split").coalesce(1)
     models.fit_candidates(rows, ["a"])
     assert seen == [(spark.sparkContext.defaultParallelism, 200, 4)]
+
+
+def test_claim_features_of_odd_texts(spark):
+    texts = [
+        "source:x", "xsource:y", "a source: b", "An official.", "unofficial", "𝐀official official", "bbc", "abbc bbcs", "https:/ http//", "(http://a)", "AP News", "by Jan", "Janet", "on 1/2/34\n", "1/2/3456x", "U.S.", "U.S.A",
+        "in New York", "Foo\x0bBar", "foo Bar", "Foo Bar2", "AB", "ABc AB cd", "A1 BC_D", "aB Cd", "É AB", "", " \t\x0b\n", None, "\n x  y z\t", "1999", "x2019", "UK?", "𝐔UK",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    t = F.trim(F.coalesce(F.col("text"), F.lit("")))
+    words = F.filter(F.split(t, r"[^\p{L}\p{N}_]+"), lambda w: w.rlike("^[A-Za-z]{2,}$"))
+    caps = F.filter(words, lambda w: w.rlike("^[A-Z]+$"))
+    want = docs.select(
+        "doc_id", (F.lower(t).rlike("|".join(claims.SOURCE_PATTERNS)) | F.lower(t).rlike(claims.bounded("|".join(claims.SOURCE_WORDS)))).alias("has_source"),
+        F.when(F.size(words) > 0, F.size(caps) / F.size(words)).otherwise(F.lit(0.0)).alias("caps_ratio"),
+        (t.rlike(claims.bounded(claims.DATES)) | t.rlike(claims.bounded(claims.PLACES)) | t.rlike(claims.bounded(claims.NAMES))).alias("has_details"),
+        F.size(F.filter(F.split(t, r"[ \t\n\r\f\x0b]+"), lambda w: w != "")).alias("word_count"),
+    )
+    got = claims.claim_features(docs)
+    assert sorted(got.select(want.columns).collect()) == sorted(want.collect())
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") <= 5 and plan.count("split(") <= 2  # each text is searched and split once for each purpose
