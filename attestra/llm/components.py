@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.storage import remove, shared_folder
+from attestra.llm.storage import remove, settle, shared_folder
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -37,6 +37,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if state == before:
             break
         before = state
+    settle(spark)
     return e.select(F.col("u").alias("id"), F.col("v").alias("label")).unionByName(
         e.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct()
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -35,11 +36,22 @@ def written(df: DataFrame, label: str, partition_by: str | None = None) -> DataF
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settle(spark: SparkSession) -> None:
+    """Drops what the driver still holds of finished steps: plans that Python's frames refer to, then the JVM's records of them,
+    whereupon Spark also removes their shuffle files. An operator of many short steps fills the driver's heap otherwise."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+#: Tables that an operator writes between two calls of settle.
+SETTLED = 5
+
+
 class Scratch:
     """The written tables of one operator, which it removes when they are no longer read."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
+        self.spark, self.paths, self.steps = spark, [], 0
 
     def written(self, df: DataFrame, label: str, keep: bool = False, partition_by: str | None = None) -> DataFrame:
         path = shared_folder(self.spark, label)
@@ -47,12 +59,16 @@ class Scratch:
         writer.parquet(path)
         if not keep:
             self.paths.append(path)
+        self.steps += 1
+        if self.steps % SETTLED == 0:
+            settle(self.spark)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def clear(self) -> None:
         for path in self.paths:
             remove(self.spark, path)
         self.paths = []
+        settle(self.spark)
 
 
 def remove(spark: SparkSession, path: str) -> None:
