@@ -114,8 +114,6 @@ KEY = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+"
 KEY_FORMS = r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,}|xox[bp]-[A-Za-z0-9-]{10,}|(?i:password|passwd|pwd|token|secret|api[_-]?key)=[^=]{8,})$"
 KEY_WORDS = r"(?i)(?:password|passwd|pwd|token|secret|api[_-]?key|credential)[\x22\x27]?\s*[:=]\s*[\x22\x27]?$"
 
-#: The fit reads the texts of at most so many documents (smallest id hashes) and uses at most so many candidates.
-SAMPLE_DOCS, SAMPLE_CANDIDATES = 20_000, 40_000
 #: Trees, their depth, and the precision that a kind's threshold has on candidates that the fit did not use.
 TREES, DEPTH, PRECISION = 12, 3, 0.98
 
@@ -262,31 +260,31 @@ class Selector:
 
 
 def _examples(cands: DataFrame, id_col: str, kinds: tuple[str, ...], label: str) -> DataFrame:
-    """(kind, f, label, fold): what rules confirm, as found and in its hidden form, are positives; its spoilt form, and what is not
+    """(kind, f, label, fold, n), n of them: what rules confirm, as found and in its hidden form, are positives; its spoilt form, and what is not
     well formed, are negatives; well-formed candidates that nothing confirms are left out, so the trees are not taught to reject them."""
     every = F.concat(*[F.expr(f"transform(cand_{k}, c -> struct('{k}' AS kind, c.f AS f, c.g AS g, c.b AS b, c.same AS same, c.ok AS ok))") for k in kinds])
     rows = cands.select(id_col, F.posexplode(every).alias("pos", "c")).filter("c.same OR NOT c.ok")
     forms = F.expr("IF(c.same, array(c.f, c.g, c.b), array(c.f))")
     rows = rows.select("c.kind", F.posexplode(forms).alias("form", "f"), "c.same", id_col, "pos")
-    rows = rows.select("kind", "f", F.expr("cast(same AND form < 2 AS double)").alias("label"), F.xxhash64(id_col, "pos").alias("h"), "form")
-    rows = rows.orderBy("h", "form").limit(SAMPLE_CANDIDATES).withColumn("fold", F.pmod("h", F.lit(5)))
-    return written(rows, label)
+    fold = F.pmod(F.xxhash64(id_col, "pos"), F.lit(5)).alias("fold")
+    rows = rows.select("kind", "f", F.expr("cast(same AND form < 2 AS double)").alias("label"), fold)
+    return written(rows.groupBy("kind", "f", "label", "fold").agg(F.count("*").cast("double").alias("n")), label)
 
 
 def _boosted(rows: DataFrame, kinds: tuple[str, ...]) -> Selector:
     """Trees fitted on four fifths of the examples; on the rest each kind gets the lowest threshold with PRECISION (0.5 at
     least), or none."""
     train = rows.filter("fold > 0")
-    counts = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
+    counts = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.sum("n").alias("n")).collect()}
     if min(counts.get(0.0, 0), counts.get(1.0, 0)) < 20:
         return Selector(None, dict.fromkeys(kinds))
-    gbt = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7, labelCol="label", featuresCol="v")
-    model = gbt.fit(train.select("label", array_to_vector("f").alias("v")))
+    gbt = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7, labelCol="label", featuresCol="v", weightCol="n")
+    model = gbt.fit(train.select("label", "n", array_to_vector("f").alias("v")))
     weights = list(model.treeWeights)
     trees = [f"{w!r}D * {_tree_sql(t.rootNode(), '%f%')}" for w, t in zip(weights, model._call_java("trees"), strict=True)]
     selector = Selector(trees, {})
-    scored = rows.filter("fold = 0").select("kind", "label", F.expr(f"floor(1000 * ({selector.probability('f')}))").alias("p"))
-    table = scored.groupBy("kind", "p").agg(F.sum("label").alias("good"), F.count("*").alias("n")).collect()  # at most 1001 rows a kind
+    scored = rows.filter("fold = 0").select("kind", "label", "n", F.expr(f"floor(1000 * ({selector.probability('f')}))").alias("p"))
+    table = scored.groupBy("kind", "p").agg(F.sum(F.col("label") * F.col("n")).alias("good"), F.sum("n").alias("n")).collect()  # at most 1001 rows a kind
     for kind in kinds:
         good = n = 0
         best = None
@@ -303,11 +301,11 @@ def fit_selector(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Boosted trees that tell personal data from other candidates, by format and context.
 
     Positives are what rules confirm, each also rewritten in a form that rules cannot find; negatives are candidates that
-    fail checks apart from the rules. Documents are chosen by id hash before a text is read, and used whole. Too few of
-    either class: no trees, and only rules find spans.
+    fail checks apart from the rules. All texts are read whole and all their examples used; equal ones are one row with
+    their number as its weight, so the fit grows with the different examples only. Too few of either class: no trees, and
+    only rules find spans.
     """
-    ids = written(docs.select(F.col(id_col).alias("pii_id")).distinct().orderBy(F.xxhash64("pii_id"), "pii_id").limit(SAMPLE_DOCS), "pii-sample")
-    texts = docs.select(F.col(id_col).alias("pii_id"), F.col(text_col).alias("pii_source")).join(F.broadcast(ids), "pii_id")
+    texts = docs.select(F.col(id_col).alias("pii_id"), F.col(text_col).alias("pii_source"))
     cands = with_key_candidates(with_candidates(with_rule_spans(texts, "pii_source"), fit=True))
     selector = _boosted(_examples(cands, "pii_id", KINDS, "pii-candidates"), KINDS)
     selector.keys = _boosted(_examples(cands, "pii_id", ("key",), "pii-keys"), ("key",))

@@ -455,3 +455,14 @@ def test_few_remembered_chunks_give_the_same_segmentations(spark):
     few = encode_pieces(docs, remembered=50, verify=True).orderBy("doc_id").collect()
     assert few == encode_pieces(docs, verify=True).orderBy("doc_id").collect()
     assert all(all(r.decodes) for r in few) and len(few) == len(texts)
+
+
+def test_personal_data_is_learned_from_all_documents(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(pii, "SAMPLE_DOCS", 3, raising=False)
+    monkeypatch.setattr(pii, "SAMPLE_CANDIDATES", 10, raising=False)
+    monkeypatch.setattr(pii, "_boosted", lambda rows, kinds: seen.update({kinds: rows}) or pii.Selector(None, dict.fromkeys(kinds)))
+    pii.fit_selector(spark.createDataFrame([(i, f"mail me at a{i}@example.com") for i in range(50)], "doc_id long, text string"))
+    rows = seen[pii.KINDS]
+    assert rows.groupBy("label").agg(F.sum("n")).sort("label").collect() == [(0.0, 50.0), (1.0, 100.0)]  # each match, its hidden and its spoilt form
+    assert rows.count() < 150
