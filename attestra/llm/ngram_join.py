@@ -477,6 +477,35 @@ def _mixed(members: DataFrame, placed: DataFrame, turn: int, work: Scratch) -> D
     return work.written(lab.join(several.select("sig", "c_label").hint("merge"), "sig"), f"join-mixed{turn}")
 
 
+def _completed(members: DataFrame, placed: DataFrame, nodes: DataFrame, tried: DataFrame, texts: DataFrame, work: Scratch) -> DataFrame:
+    """placed with components joined by all links that the pairs tried so far leave out. It ends where no signature is left."""
+    mixed = _mixed(members, placed, 0, work)
+    if mixed.isEmpty():
+        return placed
+    sizes = mixed.groupBy("sig").agg((F.count_if(F.col("label") != F.col("c_label")) * F.count("*")).alias("pairs"))
+    sizes = work.written(sizes, "join-sizes")
+    large = work.written(mixed.join(sizes.filter(F.col("pairs") > SMALL).select("sig").hint("merge"), "sig"), "join-large")
+    pairs = _small_pairs(mixed, sizes.filter(F.col("pairs") <= SMALL))
+    if not large.isEmpty():
+        pairs = pairs.unionByName(_nearest(large, nodes, 1, work))
+    for turn in range(1, NEAREST + 1):
+        new = work.written(pairs.distinct().join(tried.hint("merge"), ["x", "y"], "left_anti"), f"join-new{turn}")
+        if not new.isEmpty():
+            tried = tried.unionByName(new)
+            placed = _joined(placed, _verified(_possible(new, nodes), nodes, texts, f"join-turn{turn}", work), work)
+        if large.isEmpty():
+            return placed
+        large = _mixed(large, placed, turn, work)
+        if large.isEmpty():
+            return placed
+        if turn < NEAREST:
+            pairs = _nearest(large, nodes, turn + 1, work)
+    rest = _blockwise(_parted(large.filter("label <> c_label")), large, nodes, False)
+    rest = work.written(rest.select(*_ordered("x", "y")).distinct(), "join-screened")
+    rest = rest.join(tried.hint("merge"), ["x", "y"], "left_anti")
+    return _joined(placed, _verified(_possible(rest, nodes), nodes, texts, "join-rest", work), work)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row: id, n_shingles, component_id (the smallest id that it reaches by links), stays (whether it is the
     document that stands for its component).
@@ -540,22 +569,7 @@ def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     links = _verified(_possible(tried, nodes), nodes, texts, "join-first", work)
     placed = _placed(nodes, links, work)
 
-    mixed = _mixed(members, placed, 0, work)
-    sizes = mixed.groupBy("sig").agg((F.count_if(F.col("label") != F.col("c_label")) * F.count("*")).alias("pairs"))
-    sizes = work.written(sizes, "join-sizes")
-    large = work.written(mixed.join(sizes.filter(F.col("pairs") > SMALL).select("sig").hint("merge"), "sig"), "join-large")
-    pairs = _small_pairs(mixed, sizes.filter(F.col("pairs") <= SMALL)).unionByName(_nearest(large, nodes, 1, work))
-    for turn in range(1, NEAREST + 1):
-        new = work.written(pairs.distinct().join(tried.hint("merge"), ["x", "y"], "left_anti"), f"join-new{turn}")
-        tried = tried.unionByName(new)
-        placed = _joined(placed, _verified(_possible(new, nodes), nodes, texts, f"join-turn{turn}", work), work)
-        large = _mixed(large, placed, turn, work)
-        if turn < NEAREST:
-            pairs = _nearest(large, nodes, turn + 1, work)
-    rest = _blockwise(_parted(large.filter("label <> c_label")), large, nodes, False)
-    rest = work.written(rest.select(*_ordered("x", "y")).distinct(), "join-screened")
-    rest = rest.join(tried.hint("merge"), ["x", "y"], "left_anti")
-    placed = _joined(placed, _verified(_possible(rest, nodes), nodes, texts, "join-rest", work), work)
+    placed = _completed(members, placed, nodes, tried, texts, work)
 
     out = rows.join(placed.select("node", "label").hint("merge"), "node", "left")
     out = work.written(out, "join-out", keep=True)

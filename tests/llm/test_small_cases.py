@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from attestra.llm import decontaminate, edit_counts, exact_dedup, language_id, line_dedup, ngram_join, pii, piece_lattice, quality, warc
+from attestra.llm import components, decontaminate, edit_counts, exact_dedup, language_id, line_dedup, ngram_join, pii, piece_lattice, quality, storage, warc
 from attestra.llm.components import connected_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -135,6 +135,34 @@ def test_components(spark):
     assert got == {**{i: 1 for i in range(1, 41)}, 100: 100, 200: 100}
 
 
+def folders(module, monkeypatch):
+    """Labels of the tables that module writes from now on."""
+    made, named = [], module.shared_folder
+    monkeypatch.setattr(module, "shared_folder", lambda s, label: made.append(label) or named(s, label))
+    return made
+
+
+def test_components_of_stars_take_no_step(spark, monkeypatch):
+    made = folders(components, monkeypatch)
+    e = spark.createDataFrame([(7, 1), (1, 8), (8, 1), (30, 20), (5, 5), (None, 7)], "a long, b long")
+    got = {r["id"]: r["label"] for r in connected_components(e).collect()}
+    assert got == {1: 1, 7: 1, 8: 1, 20: 20, 30: 20}
+    assert len(made) == 1
+    far = spark.createDataFrame([(1, 3), (2, 3), (4, 3), (6, 7), (8, 7)], "a long, b long")
+    got = {r["id"]: r["label"] for r in connected_components(far).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 6: 6, 7: 6, 8: 6}
+
+
+def test_ngram_join_ends_when_no_signature_is_left(spark, monkeypatch):
+    made = folders(storage, monkeypatch)
+    t = [text(1, 30), text(1, 30) + " end", *(text(i, 30) for i in range(2, 6)), ""]
+    n, label = brute_components(t)
+    got = rows(ngram_join.near_duplicates(docs(spark, t)))
+    assert [got[i]["n_shingles"] for i in range(len(t))] == n
+    assert [got[i]["component_id"] for i in range(len(t))] == label
+    assert made and not [x for x in made if x.startswith(("join-own", "join-screened", "join-rest"))]
+
+
 def test_decontamination(spark):
     item = text(5, 30)
     bench = spark.createDataFrame([(1, item), (2, "One two"), (3, None), (4, "...")], "item_id long, text string")
